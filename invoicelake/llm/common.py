@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,12 @@ class Scratch:
                 delete_path(self.spark, path)
 
 
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps now, not when the driver's memory happens to be collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def _fs(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath

@@ -15,8 +15,9 @@ needed leave 1 + spare parts with an agreeing subset. A set in which at most ``s
 leaves out its empty signatures and still shares another one; a set with more such parts keeps them. Two sets that agree in
 nothing but empty subsets both have more than ``spare`` such parts, so no pair is lost.
 
-``sketch`` has the parity of the number of elements in each of 512 cells: sets whose sketches differ in more than k bits differ
-in more than k elements, which rules out most pairs that share a signature by chance, and never a similar one.
+``sketch`` has the parity of the number of elements in each of at least as many cells as the set has elements: sets whose sketches
+differ in more than k bits differ in more than k elements, which rules out most pairs that share a signature by chance, and
+never a similar one. A longer sketch folds to a shorter one's length.
 """
 
 from __future__ import annotations
@@ -94,10 +95,14 @@ def _instance(elements: np.ndarray, instance: int, percent: int) -> np.ndarray:
     return np.concatenate([s if keep_empty else s[h > 0] for s, h in out])
 
 
-SKETCH_BITS = 512
-
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """8 words of 64 parity bits."""
-    cells = np.bincount((elements & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+    """Words of 64 parity bits; a power of two of them, 8 at least."""
+    bits = max(512, 1 << max(len(elements) - 1, 0).bit_length())
+    cells = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((cells & 1).astype(np.uint8)).view("<u8")
+
+
+def folded(words: np.ndarray, length: int) -> np.ndarray:
+    """A sketch at a shorter length: cells are low bits of the elements, so equal remainders add up."""
+    return np.bitwise_xor.reduce(words.reshape(-1, length), axis=0)

@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, batch_columns, small_batches
+from .common import Scratch, as_bytes, batch_columns, n_shuffle, small_batches
 from .components import components
-from .partenum import SKETCH_BITS, signatures, sketch
+from .grouping import groups, sorted_groups
+from .partenum import folded, signatures, sketch
 from .shingles import mix, shingle_set
 
 #: Members of one block in step 3.
@@ -37,7 +38,7 @@ BROADCAST_IDS = 1_000_000
 
 
 def _fingerprints(size: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary()), ("sigs", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -51,7 +52,7 @@ def _fingerprints(size: int, percent: int):
                     seen.add((h1, h2))
                     if len(seen) > 1_000_000:
                         seen.clear()
-                rows.append((doc_id, len(s), h1, h2, sketch(s).view(np.int64), signatures(s, percent).view(np.int64) if new else None))
+                rows.append((doc_id, len(s), h1, h2, sketch(s).tobytes(), signatures(s, percent).view(np.int64) if new else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return run
@@ -83,27 +84,56 @@ def _exact(percent: int):
     return run
 
 
+def _open_pairs(percent: int, lo: np.ndarray, hi: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether sizes and differing sketch bits leave a pair open."""
+    return (100 * lo >= percent * hi) & (bits * (100 + percent) <= (100 - percent) * (lo + hi))
+
+
+def _sift(percent: int):
+    """Pairs (a, b, sizes, sketches) that stay open."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, n_a, n_b, s_a, s_b in batch_columns(batches, "a", "b", "n_a", "n_b", "sketch_a", "sketch_b"):
+            keep = []
+            for k in range(len(a)):
+                lo, hi = sorted((n_a[k], n_b[k]))
+                if 100 * lo >= percent * hi:
+                    x, y = np.frombuffer(s_a[k], "<u8"), np.frombuffer(s_b[k], "<u8")
+                    words = min(len(x), len(y))
+                    if _open_pairs(percent, lo, hi, int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())):
+                        keep.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([v[k] for k in keep], pa.int64()) for v in (a, b)], schema=schema)
+
+    return run
+
+
 def _block_pairs(percent: int):
-    """One call per (bucket, block, block): pairs of different components that size and sketch leave open."""
-
-    def run(table: pa.Table) -> pa.Table:
-        side, doc, comp, n = (table.column(c).to_numpy() for c in ("side", "doc", "comp", "n"))
-        sk = np.array(table.column("sketch").to_pylist(), np.int64).reshape(len(doc), SKETCH_BITS // 64).view(np.uint64)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = not len(right)
-        right = left if same else right
-        a, b = [], []
-        for i in left:
-            bits = np.bitwise_count(sk[right] ^ sk[i]).sum(1, dtype=np.int64)
-            lo, hi = np.minimum(n[right], n[i]), np.maximum(n[right], n[i])
-            ok = (comp[right] != comp[i]) & (100 * lo >= percent * hi) & (bits * (100 + percent) <= (100 - percent) * (lo + hi))
-            if same:
-                ok &= doc[right] > doc[i]
-            hit = doc[right[ok]]
-            a.append(np.full(len(hit), doc[i]))
-            b.append(hit)
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+    """Groups are (bucket, block, block): pairs of different components that stay open."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()  # many buckets hold the same pair
+        for g in groups(batches, ["sig", "bi", "bj"]):
+            if g.num_rows < 2:
+                continue
+            side, doc, comp, n = (g.column(g.schema.get_field_index(c)).to_numpy() for c in ("side", "doc", "comp", "n"))
+            raw = g.column(g.schema.get_field_index("sketch")).to_pylist()
+            words = min(map(len, raw)) // 8
+            sk = np.array([folded(np.frombuffer(x, "<u8"), words) for x in raw])
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            inner = g.column(g.schema.get_field_index("bi"))[0] == g.column(g.schema.get_field_index("bj"))[0]
+            for at, i in enumerate(left):
+                to = left[at + 1 :] if inner else right
+                to = to[comp[to] != comp[i]]
+                if len(to):
+                    bits = np.bitwise_count(sk[to] ^ sk[i]).sum(1, dtype=np.int64)
+                    told.update((min(d, int(doc[i])), max(d, int(doc[i]))) for d in doc[to[_open_pairs(percent, np.minimum(n[to], n[i]), np.maximum(n[to], n[i]), bits)]].tolist())
+            if len(told) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*told)], schema=schema)
+                told = set()
+        if told:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*told)], schema=schema)
 
     return run
 
@@ -115,48 +145,57 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     work = Scratch(spark, "setjoin")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(F.col(text_col)).alias("utf8"))
 
-    prints = work.store(source.mapInArrow(_fingerprints(size, percent), "doc_id long, n long, h1 long, h2 long, sketch array<long>, sigs array<long>"))
-    classes = prints.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    known = work.store(prints.join(classes, ["h1", "h2"], "left").select("doc_id", "n", "sketch", "rep"))
+    prints = work.store(source.mapInArrow(_fingerprints(size, percent), "doc_id long, n long, h1 long, h2 long, sketch binary, sigs array<long>"))
+    known, members = _members(prints, work)
+    work.drop(prints)
+    work.sweep()
     nodes = known.filter("doc_id = rep").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumnRenamed("doc_id", "doc")
 
+    first = members.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
+    first = first.join(nodes.toDF("a", "n_a", "sketch_a"), "a").join(nodes.toDF("b", "n_b", "sketch_b"), "b")
+    links = _checked(source, first.mapInArrow(_sift(percent), "a long, b long"), size, percent, work)
+    work.sweep()
+    more = _checked(source, _further_pairs(members, nodes, components(links, work), percent), size, percent, work)
+    work.drop(members)
+    final = components(links.unionByName(more), work)
+    work.sweep()
+    out = known.join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def _members(prints: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Documents with their class (doc_id, n, sketch, rep); members (sig, doc, pivot, c) of the buckets of several classes."""
+    classes = prints.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    known = work.store(prints.join(classes, ["h1", "h2"], "left").select("doc_id", "n", "sketch", "rep"))
     shared = prints.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")).selectExpr("sig", "doc", "count(*) over (partition by sig) as c")
     buckets = work.store(shared.filter("c > 1").select("sig", "doc"))
-    work.drop(prints)
     copies = known.filter("doc_id <> rep").select(F.col("doc_id").alias("doc"), "rep").distinct()
     members = buckets.join(copies, "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct()
-    members = work.store(members.selectExpr("sig", "doc", "min(doc) over (partition by sig) as pivot"))
+    members = members.selectExpr("sig", "doc", "min(doc) over (partition by sig) as pivot", "count(*) over (partition by sig) as c")
+    members = work.store(members.filter("c > 1"))
     work.drop(buckets)
+    return known, members
 
-    far = F.expr("aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    first = members.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    first = first.join(nodes.toDF("a", "n_a", "sketch_a"), "a").filter("n_a > 0").join(nodes.toDF("b", "n_b", "sketch_b"), "b")
-    first = first.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).filter(far * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = work.store(pairs.select("a", "b"))
-        wanted = work.store(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        few = wanted.count() <= BROADCAST_IDS
-        texts = source.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-        sets = work.store(texts.mapInArrow(_sets(size), "doc long, set binary").dropDuplicates(["doc"]))
-        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        links = work.store(both.mapInArrow(_exact(percent), "a long, b long"))
-        work.drop(pairs, wanted, sets)
-        return links
-
-    links = checked(first)
-    comp = components(links, work)
-
-    labelled = members.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
-    labelled = work.store(labelled)
-    split = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("sig", "c")
-    rest = labelled.join(split, "sig").join(nodes, "doc")
-    rest = rest.withColumn("blocks", F.expr(f"cast((c + {BLOCK - 1}) div {BLOCK} as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(doc), blocks) as int)"))
+
+def _further_pairs(members: DataFrame, nodes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Open pairs of different components in one bucket, but for those with the bucket's pivot, which were checked."""
+    rest = members.filter("c > 2 and doc <> pivot").select("sig", "doc").join(nodes, "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
+    rest = rest.select("sig", "doc", F.coalesce("component", "doc").alias("comp"), "n", "sketch")
+    counts = rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("sig", F.expr(f"cast((m + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks"))
+    rest = rest.join(counts, "sig").withColumn("own", F.expr("cast(pmod(xxhash64(doc), blocks) as int)"))
     dealt = rest.selectExpr("sig", "doc", "comp", "n", "sketch", "own", "explode(sequence(0, blocks - 1)) as other")
     dealt = dealt.selectExpr("sig", "doc", "comp", "n", "sketch", "least(own, other) as bi", "greatest(own, other) as bj", "if(own <= other, 0, 1) as side")
-    found = dealt.groupBy("sig", "bi", "bj").applyInArrow(_block_pairs(percent), "a long, b long").distinct()
-    more = checked(found)
-    final = components(links.unionByName(more), work)
-    work.drop(labelled, members)
-    out = known.join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return sorted_groups(dealt, ["sig", "bi", "bj"], n_shuffle(members.sparkSession)).mapInArrow(_block_pairs(percent), "a long, b long").distinct()
+
+
+def _checked(source: DataFrame, pairs: DataFrame, size: int, percent: int, work: Scratch) -> DataFrame:
+    """The pairs whose sets are similar enough; reads the sets of documents in some pair only."""
+    pairs = work.store(pairs)
+    wanted = work.store(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    few = wanted.count() <= BROADCAST_IDS
+    texts = source.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    sets = work.store(texts.mapInArrow(_sets(size), "doc long, set binary").dropDuplicates(["doc"]))
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    links = work.store(both.mapInArrow(_exact(percent), "a long, b long"))
+    work.drop(pairs, wanted, sets)
+    return links

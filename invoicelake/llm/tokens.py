@@ -40,7 +40,7 @@ _TO_LETTERS = {b: c for b, c in _byte_letters().items()}
 class CachedTokenizer:
     """ids(utf8) gives a text's ids as uint16 (or uint32) numpy array. ``limit`` bounds each cache's entries."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer

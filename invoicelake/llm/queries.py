@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, set_join, token_store
+from . import mixing, packing, pii, quality, set_join, token_store, toxicity, vector_join
 from .common import fresh_path
 
 
@@ -29,7 +30,31 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.near_duplicate_classes(_table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_token_files, op3_ngram_jaccard_join)}
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.ledger(_table(spark, sf_dir, "documents"))
+    base_failed = F.col("failures").bitwiseAND(F.lit(quality.BASE_MASK).cast("long")) != 0
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), quality.passes(quality.CURRENT_POLICY).alias("kept"), "failures")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_packing, op2_token_files, op3_ngram_jaccard_join, op4_pii, op6_quality_rules, op7_mixing, op8_toxicity, op10_embedding_near_dedup)
+}
 
 #: DuckDB SQL of those queries whose rows SQL can express.
 ORACLE_SQL: dict[str, str] = {}

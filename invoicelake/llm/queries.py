@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, set_join, token_store, toxicity, vector_join
+from . import compaction, mixing, packing, pii, quality, set_join, token_store, toxicity, vector_join, warc
 from .common import fresh_path
 
 
@@ -34,6 +34,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
 
 
+def op5_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    store = compaction.ShardStore(spark, fresh_path(spark, "shards"))
+    store.append_each(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(8))), "arrival")
+    return compaction.content_digest(store.read())
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(_table(spark, sf_dir, "documents"))
     base_failed = F.col("failures").bitwiseAND(F.lit(quality.BASE_MASK).cast("long")) != 0
@@ -48,13 +55,31 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.convert(warc.arc_files(_table(spark, sf_dir, "pages")), path, least_bytes=100)
+    return warc.read_warcs(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_token_files, op3_ngram_jaccard_join, op4_pii, op6_quality_rules, op7_mixing, op8_toxicity, op10_embedding_near_dedup)
-}
+_ALL = (
+    op1_packing, op2_token_files, op3_ngram_jaccard_join, op4_pii, op5_size_tiered_compaction, op6_quality_rules, op7_mixing, op8_toxicity,
+    op9_arc_to_warc, op10_embedding_near_dedup,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL of those queries whose rows SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_size_tiered_compaction": "SELECT doc_id, source, lang, length(text) AS text_chars, md5(text) AS text_md5 FROM documents",
+    "op9_arc_to_warc": """
+        WITH p AS (
+          SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM f""",
+}

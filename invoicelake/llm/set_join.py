@@ -199,3 +199,11 @@ def _checked(source: DataFrame, pairs: DataFrame, size: int, percent: int, work:
     links = work.store(both.mapInArrow(_exact(percent), "a long, b long"))
     work.drop(pairs, wanted, sets)
     return links
+
+
+def without(docs: DataFrame, ids: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, all columns, whose id isn't in ``ids`` (doc_id). A list of at most BROADCAST_IDS is sent to the rows, a longer one
+    is joined by a shuffle."""
+    gone = Scratch(docs.sparkSession, "gone").store(ids.filter("doc_id is not null").distinct().select(F.col("doc_id").alias("_gone")))
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("_gone"), "left_anti")

@@ -59,7 +59,7 @@ def percent_text(x: Column) -> Column:
     """Whole percentages without decimals, others with up to six significant digits and a comma."""
     digits = F.greatest(F.lit(0), 5 - F.floor(F.log10(F.abs(x)))).cast("int")
     short = F.regexp_replace(F.regexp_replace(F.call_function("format_string", F.concat(F.lit("%."), digits.cast("string"), F.lit("f")), x.cast("double")), r"([.][0-9]*?)0+$", "$1"), r"[.]$", "")
-    return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(F.replace(short, F.lit("."), F.lit(",")))
+    return F.when(x == F.floor(x), x.cast("bigint").cast("string")).when(x.isNotNull(), F.replace(short, F.lit("."), F.lit(",")))
 
 
 def euros(x: Column) -> Column:

@@ -13,7 +13,7 @@ def detect(raw: DataFrame) -> DataFrame:
     Empty texts where no record has an id."""
     sides = F.explode(F.array(
         F.struct(F.lit(0).alias("lado"), taxid.normalize(F.col("emisor_nif")).alias("nif"), texts.present(F.col("emisor_nombre")).alias("nombre")),
-        F.struct(F.lit(1), taxid.normalize(F.col("receptor_nif")), texts.present(F.col("receptor_nombre"))),
+        F.struct(F.lit(1).alias("lado"), taxid.normalize(F.col("receptor_nif")).alias("nif"), texts.present(F.col("receptor_nombre")).alias("nombre")),
     ))
     seen = raw.select("doc_seq", sides.alias("s")).select("doc_seq", "s.*").filter("nif <> ''")
     names = seen.groupBy("nif", "nombre").agg(F.count("*").alias("n"), F.min(F.struct("doc_seq", "lado")).alias("first"))

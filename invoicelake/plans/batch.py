@@ -1,4 +1,4 @@
-"""A batch of records to validated lines: one lazy plan."""
+"""A batch of records to validated lines."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import build, client, duplicates, edits, fill, gross, memory, periods, replaced, summary, validate
+from .stages import stage
 
 
 @dataclass
@@ -24,12 +25,13 @@ def run(raw: DataFrame, providers: DataFrame, *, collapse: bool = False, period:
 
     ``period`` (year * 10 + quarter): that of the batch; by default its commonest.
     """
-    who = client.detect(raw)
-    lines = build.build(raw, who).transform(fill.from_siblings).transform(fill.from_memory, providers)
+    who = stage(client.detect(raw))
+    lines = stage(fill.from_siblings(stage(build.build(raw, who))))
+    lines = stage(fill.from_memory(lines, providers))
     learned = memory.upsert_providers(providers, memory.learnable(lines))
-    lines = replaced.mark(lines)
+    lines = stage(replaced.mark(lines))
     if collapse:
-        lines = gross.collapse(lines)
+        lines = stage(gross.collapse(lines))
     if changes is not None:
         lines = edits.apply(lines, changes)
     if period is None:
@@ -37,7 +39,7 @@ def run(raw: DataFrame, providers: DataFrame, *, collapse: bool = False, period:
         checked = validate.validate(lines, F.col("periodo"))
     else:
         checked = validate.validate(lines.withColumn("periodo", F.lit(period).cast("long")), F.lit(period))
-    return Batch(who, validate.final_state(duplicates.mark(checked)), learned)
+    return Batch(who, validate.final_state(duplicates.mark(stage(checked))), learned)
 
 
 def quarter_summary(lines: DataFrame, period: int) -> DataFrame:

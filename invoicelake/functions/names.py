@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .texts import let
+
 # Accented letters and their bases, what name comparison drops, words a cut name doesn't end with.
 _ACCENTED = "ÁÀÂÄÃÅáàâäãåÉÈÊËéèêëÍÌÎÏíìîïÓÒÔÖÕóòôöõÚÙÛÜúùûüÑñÇçÝýÿ"
 _BASES = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuNnCcYyy"
@@ -29,8 +31,11 @@ def tokens(c: Column) -> Column:
 
 def same_name(a: Column, b: Column) -> Column:
     """Two words in common at least, and 60 % of the shorter name's."""
-    both, least = F.size(F.array_intersect(tokens(a), tokens(b))), F.least(F.size(tokens(a)), F.size(tokens(b)))
-    return (both >= 2) & (both / F.greatest(least, F.lit(1)) >= 0.6)
+    def alike(s: Column) -> Column:
+        both, least = F.size(F.array_intersect(s["a"], s["b"])), F.least(F.size(s["a"]), F.size(s["b"]))
+        return (both >= 2) & (both / F.greatest(least, F.lit(1)) >= 0.6)
+
+    return let(F.struct(tokens(a).alias("a"), tokens(b).alias("b")), alike)
 
 
 def provider_key(c: Column) -> Column:
@@ -39,11 +44,12 @@ def provider_key(c: Column) -> Column:
 
 def trimmed(c: Column) -> Column:
     """At most 40 characters: cut at a word's end if that costs six at most, and not after a connector."""
-    s = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return let(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), lambda s: F.when(F.length(s) <= NAME_LENGTH, s).otherwise(_cut(s)))
+
+
+def _cut(s: Column) -> Column:
     cut = F.substring(s, 1, NAME_LENGTH)
     gap = NAME_LENGTH - F.locate(" ", F.reverse(cut))  # of the last space, from 0
     back = (F.substring(s, NAME_LENGTH + 1, 1) != " ") & (F.locate(" ", cut) > 0) & (gap >= NAME_LENGTH - 6)
-    cut = F.when(back, F.substring(cut, F.lit(1), gap)).otherwise(cut)
-    cut = F.regexp_replace(cut, "[ ,.-]+$", "")
-    cut = F.regexp_replace(cut, f"(?i) ({'|'.join(_CONNECTORS)})$", "")
-    return F.when(F.length(s) <= NAME_LENGTH, s).otherwise(F.regexp_replace(cut, "[ ,.-]+$", ""))
+    cut = F.regexp_replace(F.when(back, F.substring(cut, F.lit(1), gap)).otherwise(cut), "[ ,.-]+$", "")
+    return F.regexp_replace(F.regexp_replace(cut, f"(?i) ({'|'.join(_CONNECTORS)})$", ""), "[ ,.-]+$", "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .texts import let
+
 _DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -19,7 +21,7 @@ def round2(x: Column) -> Column:
 
 
 def _guarded(t: Column) -> Column:
-    return F.when(t.rlike(_DECIMAL), t.try_cast("double"))
+    return let(t, lambda x: F.when(x.rlike(_DECIMAL), x.try_cast("double")))
 
 
 def _bare(c: Column) -> Column:
@@ -29,18 +31,22 @@ def _bare(c: Column) -> Column:
 def parse_number(c: Column) -> Column:
     """Printed amounts: a comma is the decimal sign, dots beside a comma group thousands, a minus sign may follow. Else null;
     text of infinities and NaN is null too."""
-    t = _bare(c)
+    return let(_bare(c), _printed)
+
+
+def _printed(t: Column) -> Column:
     negative = t.endswith("-")
-    t = F.when(negative, F.substring(t, 1, F.length(t) - 1)).otherwise(t)
-    both = t.contains(",") & t.contains(".")
-    t = F.when(both, F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(","), F.lit(".")))
-    n = _guarded(t)
-    return F.when(negative, -n).otherwise(n)
+    digits = F.when(negative, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
+    number = let(digits, lambda d: _guarded(F.when(d.contains(",") & d.contains("."), F.replace(F.replace(d, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(d, F.lit(","), F.lit(".")))))
+    return F.when(negative, -number).otherwise(number)
 
 
 def parse_typed_number(c: Column) -> Column:
     """Amounts that a person types: without a comma, several dots, or one before exactly three characters, group thousands."""
-    t = _bare(c)
+    return let(_bare(c), _typed)
+
+
+def _typed(t: Column) -> Column:
     plain = F.replace(t, F.lit("."), F.lit(""))
     groups = t.rlike(r"[.].*[.]") | t.rlike(r"^[^.]*[.][^.]{3}$")
     return _guarded(F.when(t.contains(","), F.replace(plain, F.lit(","), F.lit("."))).when(groups, plain).otherwise(t))

@@ -22,3 +22,9 @@ def added(warning: Column, more: Column) -> Column:
 def present(c: Column) -> Column:
     """Null for the empty text; white space counts as present."""
     return F.nullif(c, F.lit(""))
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with ``value`` evaluated once: without it, a value that f uses many times is written out as often, and the optimizer
+    drags all copies through every filter that it pushes down."""
+    return F.element_at(F.transform(F.array(value), f), 1)

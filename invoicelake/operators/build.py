@@ -15,21 +15,25 @@ _N = numbers.parse_number
 
 def role(client_id: Column, client_name: Column) -> Column:
     """struct(tipo, nombre, nif, aviso): ids decide, names only where ids don't. The counterparty's id keeps its spelling."""
-    c, e, r = taxid.normalize(client_id), taxid.normalize(F.col("emisor_nif")), taxid.normalize(F.col("receptor_nif"))
-    is_e = names.same_name(F.col("emisor_nombre"), client_name)
-    is_r = names.same_name(F.col("receptor_nombre"), client_name)
 
     def out(kind: str, side: str, warning: Column) -> Column:
         return F.struct(F.lit(kind).alias("tipo"), F.col(f"{side}_nombre").alias("nombre"), F.col(f"{side}_nif").alias("nif"), warning.alias("aviso"))
 
-    quiet = F.lit("")
-    return (
-        F.when((e == c) & (r != c), out("venta", "receptor", quiet))
-        .when((r == c) & (e != c), out("gasto", "emisor", quiet))
-        .when(is_e & ~is_r, out("venta", "receptor", F.when(e == "", M.WARN_NO_ID).otherwise("")))
-        .when(is_r & ~is_e, out("gasto", "emisor", quiet))
-        .otherwise(out("gasto", "emisor", F.lit(M.WARN_ROLE)))
-    )
+    def decide(s: Column) -> Column:
+        quiet = F.lit("")
+        return (
+            F.when((s["e"] == s["c"]) & (s["r"] != s["c"]), out("venta", "receptor", quiet))
+            .when((s["r"] == s["c"]) & (s["e"] != s["c"]), out("gasto", "emisor", quiet))
+            .when(s["is_e"] & ~s["is_r"], out("venta", "receptor", F.when(s["e"] == "", M.WARN_NO_ID).otherwise("")))
+            .when(s["is_r"] & ~s["is_e"], out("gasto", "emisor", quiet))
+            .otherwise(out("gasto", "emisor", F.lit(M.WARN_ROLE)))
+        )
+
+    sides = F.struct(
+        taxid.normalize(client_id).alias("c"), taxid.normalize(F.col("emisor_nif")).alias("e"), taxid.normalize(F.col("receptor_nif")).alias("r"),
+        names.same_name(F.col("emisor_nombre"), client_name).alias("is_e"), names.same_name(F.col("receptor_nombre"), client_name).alias("is_r"),
+    )
+    return texts.let(sides, decide)
 
 
 def _account(kind: Column) -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import strip_accents
+from ..functions.texts import let
 
 DEFAULT_EXPENSE, DEFAULT_SALE, SUPPLIES = "600", "700", "628"
 # Accounts with their keywords, first match wins; sub-codes of account 628 likewise.
@@ -37,15 +38,17 @@ Rules = tuple[tuple[str, tuple[str, ...]], ...]
 
 def by_case(text: Column, rules: Rules, default: str | None, whole_words: bool = False) -> Column:
     """One CASE, a projection: the code of the first rule with a keyword in the text. Keywords match within words unless ``whole_words``."""
-    t = strip_accents(F.lower(F.coalesce(text, F.lit(""))))
-    out = None
-    for code, keywords in rules:
-        hit = None
-        for k in keywords:
-            one = t.rlike(rf"\b{k}\b") if whole_words else t.contains(k)
-            hit = one if hit is None else hit | one
-        out = F.when(hit, code) if out is None else out.when(hit, code)
-    return F.lit(default) if out is None else out.otherwise(F.lit(default))
+    def first_hit(t: Column) -> Column:
+        out = None
+        for code, keywords in rules:
+            hit = None
+            for k in keywords:
+                one = t.rlike(rf"\b{k}\b") if whole_words else t.contains(k)
+                hit = one if hit is None else hit | one
+            out = F.when(hit, code) if out is None else out.when(hit, code)
+        return F.lit(default) if out is None else out.otherwise(F.lit(default))
+
+    return let(strip_accents(F.lower(F.coalesce(text, F.lit("")))), first_hit)
 
 
 def rule_table(spark: SparkSession, rules: Rules) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from invoicelake.functions.dates import period
 from invoicelake.operators import build, client, duplicates, edits, fill, grid, gross, memory, periods, replaced, rules, summary, validate
 from invoicelake.plans import batch, catalog
+from invoicelake.plans.stages import stage
 from invoicelake.schema import CLIENT_MEMORY, PROVIDER_MEMORY
 from invoicelake.sources import files, layout, records, xlsx
 from invoicelake.streaming import learning
@@ -25,7 +26,7 @@ def raw(spark, *recs):
 
 def built(spark, *recs):
     who = spark.createDataFrame([("CLIENTE UNO DOS", ME)], "nombre string, nif string")
-    return build.build(raw(spark, *recs), who)
+    return stage(build.build(raw(spark, *recs), who))
 
 
 def rows(df):

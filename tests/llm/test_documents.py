@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import unicodedata
 
@@ -133,11 +134,11 @@ def test_mixing(docs, nothing):
 
 def test_rounding_keeps_means(spark):
     taken = [0] * 12
-    df = spark.createDataFrame([(k, " ".join("w" * (k + 1)), "a" if k < 6 else "b") for k in range(12)], "doc_id long, text string, source string")
+    df = spark.createDataFrame([(k, " ".join("w" * (k + 1)), "a") for k in range(12)], "doc_id long, text string, source string")
     for seed in range(12):
         for r in mixing.mix(df, seed=seed, weights=(1,), share=0.5).collect():
             taken[r["doc_id"]] += r["copies"]
-    assert all(0 < t < 12 for t in taken[:5]) and 20 <= sum(taken) <= 70
+    assert all(0 < t < 12 for t in taken) and 40 <= sum(taken) <= 104
 
 
 WORDS = ["idiot", "moron", "scum"]
@@ -145,9 +146,9 @@ WORDS = ["idiot", "moron", "scum"]
 
 @pytest.fixture(scope="module")
 def spoken(spark):
-    rows, labels = [], []
+    rows, labels, r = [], [], random.Random(9)
     for k in range(600):
-        clean = " ".join(f"{'lorem ipsum dolor sit amet tempor magna aliqua erat sed'.split()[(k * 7 + j * j) % 10]}{'' if j % 3 else chr(97 + (k + j) % 26)}" for j in range(30 + k % 20))
+        clean = " ".join(r.choice("lorem ipsum dolor sit amet tempor magna aliqua erat sed".split()) + r.choice(["", "", chr(97 + r.randrange(26))]) for _ in range(30 + k % 20))
         bad = k % 5 == 0
         rows.append((k, clean.replace(" ", f" {WORDS[k % 3]} ", 1) if bad else clean))
         labels.append((k, 1, int(bad)))

@@ -42,68 +42,81 @@ MAGIC = b"PFB1"
 
 
 def pack_words(v: np.ndarray, width: int) -> np.ndarray:
-    """4096 unsigned values below 2**width into width rows of 64 words."""
-    out = np.zeros((width, LANES), "<u8")
-    if not width:
-        return out
-    rows = v.astype("<u8").reshape(LANES, LANES)
-    for k in range(LANES):
+    """Blocks of 4096 unsigned values below 2**width, (n, 4096), into (n, width, 64) words."""
+    out = np.zeros((len(v), width, LANES), "<u8")
+    rows = v.reshape(-1, LANES, LANES)
+    for k in range(LANES if width else 0):
         word, shift = divmod(k * width, 64)
-        out[word] |= rows[k] << np.uint64(shift)
+        out[:, word] |= rows[:, k] << np.uint64(shift)
         if shift + width > 64:
-            out[word + 1] |= rows[k] >> np.uint64(64 - shift)
+            out[:, word + 1] |= rows[:, k] >> np.uint64(64 - shift)
     return out
 
 
 def unpack_words(words: np.ndarray, width: int) -> np.ndarray:
-    out, mask = np.zeros((LANES, LANES), "<u8"), np.uint64((1 << width) - 1)
-    if not width:
-        return out.reshape(-1)
-    for k in range(LANES):
+    """(n, width, 64) words into (n, 4096) values."""
+    out, mask = np.zeros((len(words), LANES, LANES), "<u8"), np.uint64((1 << width) - 1)
+    for k in range(LANES if width else 0):
         word, shift = divmod(k * width, 64)
-        x = words[word] >> np.uint64(shift)
+        x = words[:, word] >> np.uint64(shift)
         if shift + width > 64:
-            x = x | words[word + 1] << np.uint64(64 - shift)
-        out[k] = x & mask
-    return out.reshape(-1)
+            x = x | words[:, word + 1] << np.uint64(64 - shift)
+        out[:, k] = x & mask
+    return out.reshape(-1, BLOCK)
 
 
 def _width(d: np.ndarray) -> int:
     """The cheapest of the percentiles' widths."""
-    ordered, best = np.sort(d), (1 << 62, 0)
+    upto = np.cumsum(np.bincount(np.frexp(d.astype(np.float64))[1], minlength=33))  # values of at most so many bits
+    best = (1 << 62, 0)
     for p in PERCENTILES:
-        top = int(ordered[min(len(d) - 1, (len(d) * p + 99) // 100 - 1)])
-        width = top.bit_length()
-        over = len(d) - int(np.searchsorted(ordered, 1 << width))
-        best = min(best, (BLOCK * width + over * 48, width))
+        width = int(np.searchsorted(upto, (len(d) * p + 99) // 100))
+        best = min(best, (BLOCK * width + int(len(d) - upto[width]) * 48, width))
     return best[1]
 
 
-def encode_block(ids: np.ndarray) -> bytes:
-    low = int(ids.min())
-    d = ids.astype("<u8") - np.uint64(low)
-    width = _width(d)
-    over = np.flatnonzero(d >= np.uint64(1 << width))
-    fits = np.zeros(BLOCK, "<u8")
-    fits[: len(d)] = d
-    fits[over] = 0
-    return _BLOCK_HEAD.pack(low, len(ids) - 1, len(over), width) + pack_words(fits, width).tobytes() + over.astype("<u2").tobytes() + ids[over].astype("<u4").tobytes()
-
-
-def decode_block(b: bytes | memoryview) -> np.ndarray:
-    low, last, n_over, width = _BLOCK_HEAD.unpack_from(b)
-    at = _BLOCK_HEAD.size
-    words = np.frombuffer(b, "<u8", width * LANES, at).reshape(width, LANES)
-    out = (unpack_words(words, width)[: last + 1] + np.uint64(low)).astype("<u4")
-    at += width * LANES * 8
-    over = np.frombuffer(b, "<u2", n_over, at)
-    out[over] = np.frombuffer(b, "<u4", n_over, at + 2 * n_over)
+def encode_blocks(ids: np.ndarray) -> list[bytes]:
+    """Blocks of one width are packed together."""
+    lows, widths, overs, fits = [], [], [], np.zeros((-(-len(ids) // BLOCK), BLOCK), "<u8")
+    for k in range(len(fits)):
+        block = ids[k * BLOCK : (k + 1) * BLOCK]
+        low = block.min()
+        d = (block - low).astype("<u8")
+        width = _width(d)
+        over = np.flatnonzero(d >> np.uint64(width))
+        fits[k, : len(d)] = d
+        fits[k, over] = 0
+        lows.append(int(low)), widths.append(width), overs.append(over)
+    packed: dict[int, bytes] = {}
+    for width in set(widths):
+        at = [k for k, w in enumerate(widths) if w == width]
+        packed |= dict(zip(at, (x.tobytes() for x in pack_words(fits[at], width))))
+    out = []
+    for k, over in enumerate(overs):
+        block = ids[k * BLOCK : (k + 1) * BLOCK]
+        out.append(_BLOCK_HEAD.pack(lows[k], len(block) - 1, len(over), widths[k]) + packed[k] + over.astype("<u2").tobytes() + block[over].tobytes())
+    return out
+
+
+def decode_blocks(blocks: list[memoryview]) -> list[np.ndarray]:
+    heads = [_BLOCK_HEAD.unpack_from(b) for b in blocks]
+    out: list[np.ndarray] = [np.empty(0, "<u4")] * len(blocks)
+    for width in {h[3] for h in heads}:
+        at = [k for k, h in enumerate(heads) if h[3] == width]
+        words = np.stack([np.frombuffer(blocks[k], "<u8", width * LANES, _BLOCK_HEAD.size).reshape(width, LANES) for k in at])
+        for k, values in zip(at, unpack_words(words, width).astype("<u4")):
+            low, last, n_over, _ = heads[k]
+            x = values[: last + 1] + np.uint32(low)
+            place = _BLOCK_HEAD.size + width * LANES * 8
+            over = np.frombuffer(blocks[k], "<u2", n_over, place)
+            x[over] = np.frombuffer(blocks[k], "<u4", n_over, place + 2 * n_over)
+            out[k] = x
     return out
 
 
 def encode_shard(part: int, shard: int, first: int, doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     every = np.concatenate(ids).astype("<u4")
-    blocks = [encode_block(every[k : k + BLOCK]) for k in range(0, len(every), BLOCK)]
+    blocks = encode_blocks(every)
     head = _HEAD.pack(MAGIC, part, shard, first, len(ids), len(every), len(blocks))
     table = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is not None for d in doc_ids], "u1").tobytes() + np.array([len(x) for x in ids], "<u8").tobytes()
     begin = len(head) + len(table) + 8 * (len(blocks) + 1)
@@ -124,7 +137,7 @@ def decode_shard(b: bytes) -> tuple[int, int, int, list[int | None], list[np.nda
     if magic != MAGIC or struct.unpack_from("<I", b, end)[0] != zlib.crc32(memoryview(b)[:end]):
         raise ValueError("not a whole shard")
     view = memoryview(b)
-    every = np.concatenate([decode_block(view[i:j]) for i, j in zip(starts[:-1], starts[1:])])
+    every = np.concatenate(decode_blocks([view[i:j] for i, j in zip(starts[:-1], starts[1:])]))
     if len(every) != n_ids:
         raise ValueError("not a whole shard")
     return part, shard, first, [int(d) if k else None for d, k in zip(doc_ids, known)], np.split(every, np.cumsum(counts)[:-1])
@@ -137,7 +150,7 @@ def read_document(b: bytes, position: int) -> np.ndarray:
     starts = np.frombuffer(b, "<u8", n_blocks + 1, _HEAD.size + 17 * n_docs).astype(np.int64)
     lo = int(counts[:position].sum())
     hi = lo + int(counts[position])
-    got = np.concatenate([decode_block(memoryview(b)[starts[k] : starts[k + 1]]) for k in range(lo // BLOCK, (hi - 1) // BLOCK + 1)])
+    got = np.concatenate(decode_blocks([memoryview(b)[starts[k] : starts[k + 1]] for k in range(lo // BLOCK, (hi - 1) // BLOCK + 1)]))
     return got[lo - lo // BLOCK * BLOCK :][: hi - lo]
 
 

@@ -17,14 +17,14 @@ _LETTERS = "a-zß-öø-ÿ"
 _LETTERS_ALL = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PUNCT = ".,!?;:|"
 _WORD_PLAIN = re.compile(rf"([{_LETTERS}]*)([{_PUNCT}]*)")
-_BYTE_PLAIN = re.compile(rf" (?!\n)[{_LETTERS_ALL}]*[{_PUNCT}]*(?:\n[{_LETTERS_ALL}]+[{_PUNCT}]*)?")
+_BYTE_PLAIN = re.compile(rf"[ \n](?=[^ \n])[{_LETTERS_ALL}]*[{_PUNCT}]*")
 _BYTE_PART = re.compile(rf" ?[{_LETTERS_ALL}]+| ?[{_PUNCT}]+|\n")
 #: White space in the sense of the vocabulary's split pattern.
 _WS = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: UTF-8 beginnings of the white space outside ASCII, and a space after other white space.
+#: UTF-8 beginnings of the white space outside ASCII, and a space or line feed after other white space.
 _WIDE_WS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-_RUN_WS = (b"  ", b"\n ", b"\t ", b"\r ", b"\x0b ", b"\x0c ")
+_RUN_WS = tuple(a + b for a in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") for b in (b" ", b"\n"))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -37,6 +37,21 @@ def _byte_letters() -> dict[int, str]:
 _TO_LETTERS = {b: c for b, c in _byte_letters().items()}
 
 
+class _Cache(dict):
+    """What ``encode`` gives for each piece; forgets all at ``limit`` pieces."""
+
+    def __init__(self, encode, limit: int):
+        self.encode, self.limit = encode, limit
+
+    def __missing__(self, piece):
+        if len(self) >= self.limit:
+            self.clear()
+        got = self.encode(piece)
+        if len(piece) <= 64:
+            self[piece] = got
+        return got
+
+
 class CachedTokenizer:
     """ids(utf8) gives a text's ids as uint16 (or uint32) numpy array. ``limit`` bounds each cache's entries."""
 
@@ -47,11 +62,11 @@ class CachedTokenizer:
 
         self.tk = Tokenizer.from_file(path)
         self.tk.encode_special_tokens = True
-        self.model, self.limit = self.tk.model, limit
+        self.model = self.tk.model
         self.dtype = np.dtype("<u2" if self.tk.get_vocab_size(True) <= 1 << 16 else "<u4")
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         lowered = self.tk.normalizer is not None
+        self.parts = _Cache(self._part, limit).__getitem__
+        self.words = _Cache(self._lower_word if lowered else self._spaced_word, limit).__getitem__
         self.ids_of = self._lower_words if lowered else self._spaced_words
 
     def whole_ids(self, utf8: bytes) -> np.ndarray:
@@ -69,50 +84,30 @@ class CachedTokenizer:
 
     def _part(self, part: str) -> bytes:
         """ids of a piece that the vocabulary's pattern leaves whole and its normaliser leaves alone."""
-        got = self.parts.get(part)
-        if got is None:
-            if len(self.parts) >= self.limit:
-                self.parts.clear()
-            letters = part.encode().decode("latin-1").translate(_TO_LETTERS)
-            got = self.parts[part] = self._pack([t.id for t in self.model.tokenize(letters)])
-        return got
-
-    def _joined(self, words: list[bytes], encode) -> bytes:
-        get, out = self.words.get, []
-        for w in words:
-            got = get(w)
-            if got is None:
-                if len(self.words) >= self.limit:
-                    self.words.clear()
-                got = encode(w)
-                if len(w) <= 64:
-                    self.words[w] = got
-            out.append(got)
-        return b"".join(out)
+        letters = part.encode().decode("latin-1").translate(_TO_LETTERS)
+        return self._pack([t.id for t in self.model.tokenize(letters)])
 
     # A lower-casing vocabulary that drops white space: words between ASCII white space are independent.
     def _lower_word(self, w: bytes) -> bytes:
         text = w.decode()
         m = _WORD_PLAIN.fullmatch(text)
         if m:
-            return (self._part(m[1]) if m[1] else b"") + (self._part(m[2]) if m[2] else b"")
+            return (self.parts(m[1]) if m[1] else b"") + (self.parts(m[2]) if m[2] else b"")
         return self._encode(text)
 
     def _lower_words(self, utf8: bytes) -> bytes:
-        return self._joined(utf8.lower().split(), self._lower_word)
+        return b"".join(map(self.words, utf8.lower().split()))
 
-    # A byte-level vocabulary with the space before a word as part of it.
+    # A byte-level vocabulary with the space before a word as part of it. A line's first word has its line feed before it instead.
     def _spaced_word(self, w: bytes) -> bytes:
-        text = " " + w.decode()
-        if _BYTE_PLAIN.fullmatch(text):
-            return b"".join(map(self._part, _BYTE_PART.findall(text))) if text != " " else self._encode(text)
-        return self._encode(text)
+        text = w.decode() if w[:1] == b"\n" else " " + w.decode()
+        return b"".join(map(self.parts, _BYTE_PART.findall(text))) if _BYTE_PLAIN.fullmatch(text) else self._encode(text)
 
     def _spaced_words(self, utf8: bytes) -> bytes:
         if any(x in utf8 for x in _RUN_WS) or not utf8.isascii() and any(x in utf8 for x in _WIDE_WS):
-            return b"".join(self._encode(x) if x[0] != " " or len(x) == 1 or x[1] in "\t\n\x0b\x0c\r " else self._joined([x[1:].encode()], self._spaced_word) for x in _CHUNK.findall(utf8.decode()))
-        first, *rest = utf8.split(b" ")
-        return (self._encode(first.decode()) if first else b"") + self._joined(rest, self._spaced_word)
+            return b"".join(self.words(x[1:].encode()) if x[0] == " " and len(x) > 1 and x[1] not in "\t\n\x0b\x0c\r " else self._encode(x) for x in _CHUNK.findall(utf8.decode()))
+        first, *rest = utf8.replace(b"\n", b" \n").split(b" ")
+        return (self._encode(first.decode()) if first else b"") + b"".join(map(self.words, rest))
 
 
 _held: dict[str, CachedTokenizer] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +70,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+_WORKER: dict[str, object] = {}
+
+
+def worker_cache(key: str, make: Callable[[], object]):
+    """What a Python worker keeps between its tasks for one operator. Workers outlive stages, so another operator's is let go
+    first: a worker holds the largest of its caches, not all of them."""
+    got = _WORKER.get(key)
+    if got is None:
+        _WORKER.clear()
+        gc.collect()
+        got = _WORKER[key] = make()
+    return got
+
+
 def small_batches(spark: SparkSession) -> None:
     """Hands texts to Python workers in batches of ``BATCH_ROWS``, not of the default 10,000 rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

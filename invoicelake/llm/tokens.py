@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from .common import worker_cache
+
 _LETTERS = "a-zß-öø-ÿ"
 _LETTERS_ALL = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PUNCT = ".,!?;:|"
@@ -110,11 +112,6 @@ class CachedTokenizer:
         return (self._encode(first.decode()) if first else b"") + b"".join(map(self.words, rest))
 
 
-_held: dict[str, CachedTokenizer] = {}
-
-
 def tokenizer(path: str) -> CachedTokenizer:
-    """One per worker process and vocabulary; workers are used again, so their caches stay warm."""
-    if path not in _held:
-        _held[path] = CachedTokenizer(path)
-    return _held[path]
+    """One per worker process and vocabulary; workers are used again, so its caches stay warm."""
+    return worker_cache(f"tokenizer {path}", lambda: CachedTokenizer(path))

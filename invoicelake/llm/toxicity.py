@@ -48,6 +48,8 @@ BEAM = 12
 #: Beginnings of a word that carry evidence, in letters.
 BEGINNINGS = (4, 5, 6, 7)
 MODEL_FEATURES = 200_000
+#: A long lattice is read in windows of twice as many pieces, half of each in the next: what has so many letters lies whole in one.
+HALF_WINDOW = 24
 PRIOR_ROWS = 3.0
 
 
@@ -126,10 +128,17 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def readings(word: str, model: CharModel) -> list[str]:
-    """The likeliest readings of a disguised word, best first."""
+def windows(word: str, half: int = HALF_WINDOW) -> Iterator[list[list[tuple[str, float]]]]:
+    """The pieces of a word but for separators; of more than twice ``half``, in windows of that many."""
+    pieces = [ways for ways in lattice(word) if ways != [("", COST_SEPARATOR)]]
+    for k in range(0, max(len(pieces) - half, 1), half):
+        yield pieces[k : k + 2 * half]
+
+
+def readings(pieces: list[list[tuple[str, float]]], model: CharModel) -> list[str]:
+    """The likeliest readings of a lattice, best first."""
     beam: list[tuple[float, str]] = [(0.0, "^^")]
-    for ways in lattice(word):
+    for ways in pieces:
         nxt: dict[str, float] = {}
         for cost, seen in beam:
             for text, extra in ways:
@@ -144,21 +153,30 @@ def readings(word: str, model: CharModel) -> list[str]:
     return [s for _, s in ended[:6]]
 
 
-def restore(word: str, model: CharModel) -> list[str]:
-    """A word as written, or, where it looks disguised, its likeliest readings. Lower case, without marks at its ends."""
+def bared(word: str) -> str:
+    """Lower case, without marks at its ends."""
     low = word.lower()
     bare = low.strip(_EDGE)
-    if low[:1] == "!" and bare and low[:2] != "!!":
-        bare = "!" + bare
-    if not _LOOSE.search(bare) or len(bare) > 48:
+    return "!" + bare if low[:1] == "!" and bare and low[:2] != "!!" else bare
+
+
+def restore(word: str, model: CharModel, half: int = HALF_WINDOW) -> list[str]:
+    """A word as written, bared, and, where it looks disguised, its likeliest readings, of a long one those of each window."""
+    bare = bared(word)
+    if not _LOOSE.search(bare):
         return [bare]
-    return [bare, *readings(bare, model)]
+    return [bare, *(x for pieces in windows(bare, half) for x in readings(pieces, model))]
 
 
 def restored_text(text: str, model: CharModel) -> str:
     """The text with each disguised word replaced by its likeliest reading, and letters set apart joined."""
+
+    def best(word: str) -> str:
+        pieces, step = lattice(bared(word)), 2 * HALF_WINDOW
+        return "".join(readings(pieces[k : k + step], model)[0] for k in range(0, len(pieces), step))
+
     text = _SPACED.sub(lambda m: m[0].replace(b" ", b""), text.encode()).decode()
-    return re.sub(r"\S+", lambda m: (restore(m[0], model) + [m[0]])[1] if _LOOSE.search(m[0].strip(_EDGE)) else m[0], text)
+    return re.sub(r"\S+", lambda m: best(m[0]) if _LOOSE.search(m[0].strip(_EDGE)) else m[0], text)
 
 
 def features(word: str) -> list[str]:
@@ -218,6 +236,8 @@ class WordScores(dict):
 
     def __init__(self, model: CharModel, weights: dict[str, float]):
         self.model, self.weights = model, weights
+        self.lengths = sorted({len(f) - 1 for f in weights if f[-1] == "$" and len(f) > 4})
+        self.half = max([HALF_WINDOW, *self.lengths])
 
     def of(self, word: str) -> float:
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
@@ -232,12 +252,10 @@ class WordScores(dict):
 
     def joined(self, text: str) -> float:
         """Evidence in letters that were set apart: of any whole word within."""
-        best = 0.0
-        for way in restore(text[:200], self.model):
-            for i in range(len(way)):
-                for j in range(i + 4, min(len(way), i + 16) + 1):
-                    best = max(best, self.weights.get(way[i:j] + "$", 0.0))
-        return best
+        return self.within(restore(text, self.model, self.half))
+
+    def within(self, ways: list[str]) -> float:
+        return max((self.weights.get(way[i : i + n] + "$", 0.0) for way in ways for n in self.lengths for i in range(len(way) - n + 1)), default=0.0)
 
     def score(self, utf8: bytes, rate: float) -> float:
         worst = sorted((s for s in map(self.__getitem__, set(utf8.lower().split())) if s > 0.5), reverse=True)[:3]

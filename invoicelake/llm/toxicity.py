@@ -50,6 +50,9 @@ BEGINNINGS = (4, 5, 6, 7)
 MODEL_FEATURES = 200_000
 #: A long lattice is read in windows of twice as many pieces, half of each in the next: what has so many letters lies whole in one.
 HALF_WINDOW = 24
+#: Of a longer token, what stands between separators counts too, and words within.
+LONG = 40
+_APART = re.compile(rf"[^\w{_SIGNS}]+|_+")
 PRIOR_ROWS = 3.0
 
 
@@ -179,9 +182,18 @@ def restored_text(text: str, model: CharModel) -> str:
     return re.sub(r"\S+", lambda m: best(m[0]) if _LOOSE.search(m[0].strip(_EDGE)) else m[0], text)
 
 
+def read_words(word: str, model: CharModel, half: int = HALF_WINDOW) -> list[str]:
+    """What a token may be read as, in words of three letters or more: its readings and, of a long one, those of its parts."""
+    out = restore(word, model, half)
+    if len(out[0]) > LONG:
+        for part in set(_APART.split(out[0])) - {out[0]}:
+            out += restore(part, model, half)
+    return [x for x in dict.fromkeys(out) if len(x) >= 3]
+
+
 def features(word: str) -> list[str]:
-    """The word as a whole and its beginnings."""
-    return [word + "$", *(word[:k] for k in BEGINNINGS if len(word) > k)]
+    """The word as a whole, a long one by its hash, and its beginnings."""
+    return [(word if len(word) <= LONG else xxhash.xxh3_128_hexdigest(word)) + "$", *(word[:k] for k in BEGINNINGS if len(word) > k)]
 
 
 def doc_words(utf8: bytes, model: CharModel, limit: dict) -> set[str]:
@@ -191,7 +203,9 @@ def doc_words(utf8: bytes, model: CharModel, limit: dict) -> set[str]:
         if got is None:
             if len(limit) > 200_000:
                 limit.clear()
-            got = limit[w] = tuple(x for x in restore(w.decode(), model) if 3 <= len(x) <= 40)
+            got = tuple(read_words(w.decode(), model))
+            if len(w) <= 64:
+                limit[w] = got
         out.update(got)
     for m in _SPACED.finditer(utf8):
         out.update(restore(m[0].replace(b" ", b"").decode(errors="ignore"), model))
@@ -245,7 +259,10 @@ class WordScores(dict):
     def __missing__(self, w: bytes) -> float:
         if len(self) >= self.limit:
             self.clear()
-        got = max((self.of(x) for x in restore(w.decode(), self.model) if 3 <= len(x) <= 40), default=0.0)
+        ways = read_words(w.decode(), self.model, self.half)
+        got = max(map(self.of, ways), default=0.0)
+        if len(w) > LONG and len(bared(w.decode())) > LONG:
+            got = max(got, self.within(ways))
         if len(w) <= 64:
             self[w] = got
         return got

@@ -23,3 +23,22 @@ def test_letters_set_apart_count_wherever_they_stand(scores, before, insult):
     text = " ".join("harmless" * 200)[: 2 * before] + " ".join(insult + "letters" * 9)
     assert scores.score(text.encode(), 0.1) == pytest.approx(0.98)
     assert "idiot" in toxicity.restored_text(text, scores.model)
+
+
+@pytest.mark.parametrize(
+    "token",
+    [
+        "idi" + "o" * 60 + "t", "i" * 30 + "." * 30 + "d1" + "0" * 40 + "t", "/".join(["some", "letters", "1d10t"] * 4), "harmless" * 9 + "1d10t" + "letters" * 9, "harmless" * 9 + "idiot" + "letters" * 9,
+        "letters" * 5 + "/idiot/you", "harmless_letters_and_other_" * 3 + "id1ot", "1" + "harmless" * 6 + "idiot",
+    ],
+)
+def test_long_tokens_count(scores, token):
+    assert len(token) > 40
+    assert scores.score(f"well {token} then".encode(), 0.1) == pytest.approx(0.98)
+    assert scores.score(token.replace("t", "n").encode(), 0.1) == 0.1
+
+
+def test_long_tokens_teach(scores):
+    cache = {}
+    assert {"idiot"} <= toxicity.doc_words(("idi" + "o" * 60 + "t").encode(), scores.model, cache) and "idiot" in toxicity.doc_words("/".join(["letters"] * 9 + ["idiot"]).encode(), scores.model, cache)
+    assert max(map(len, toxicity.features("x" * 100_000))) < 50

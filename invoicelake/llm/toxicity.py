@@ -275,8 +275,9 @@ class WordScores(dict):
         return max((self.weights.get(way[i : i + n] + "$", 0.0) for way in ways for n in self.lengths for i in range(len(way) - n + 1)), default=0.0)
 
     def score(self, utf8: bytes, rate: float) -> float:
-        worst = sorted((s for s in map(self.__getitem__, set(utf8.lower().split())) if s > 0.5), reverse=True)[:3]
-        worst += [s for m in _SPACED.finditer(utf8.lower()) if (s := self.joined(m[0].replace(b" ", b"").decode(errors="ignore"))) > 0.5][:1]
+        runs = {m[0].replace(b" ", b"") for m in _SPACED.finditer(utf8.lower())}
+        found = [*map(self.__getitem__, set(utf8.lower().split())), *(self.joined(r.decode(errors="ignore")) for r in runs)]
+        worst = sorted((s for s in found if s > 0.5), reverse=True)[:3]
         left = 1.0
         for s in worst:
             left *= 1 - s

@@ -42,3 +42,9 @@ def test_long_tokens_teach(scores):
     cache = {}
     assert {"idiot"} <= toxicity.doc_words(("idi" + "o" * 60 + "t").encode(), scores.model, cache) and "idiot" in toxicity.doc_words("/".join(["letters"] * 9 + ["idiot"]).encode(), scores.model, cache)
     assert max(map(len, toxicity.features("x" * 100_000))) < 50
+
+
+def test_the_worst_of_all_runs_counts(scores):
+    text = "m o r o n then some and 1 d 1 0 t"
+    assert scores.score(text.encode(), 0.1) == pytest.approx(1 - 0.45 * 0.02)
+    assert scores.score(b"m o r o n then some and m o r o n", 0.1) == pytest.approx(0.55)

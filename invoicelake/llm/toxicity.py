@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -41,7 +42,9 @@ _SIGNS = re.escape("".join(STANDS_FOR))
 _EDGE = " \t\n.,;:!?\"'`´«»“”‘’()[]{}<>*#%&|~_-=/\\^…"
 _LOOSE = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|(\w)\1\1|^\w(?:[.\-_*/]\w){{2,}}$|[^\W\d_][*_.\-][^\W\d_]")
 _SEPARATORS = ".-_*/~'"
-_SPACED = re.compile(rb"(?<!\S)\S(?: \S){3,}(?!\S)")
+#: Four or more single characters, each with its combining marks, set apart by any white space.
+_SPACED = re.compile(r"(?<!\S)\S[\u0300-\u036f]*+(?:\s++\S[\u0300-\u036f]*+(?!\S)){3,}")
+_SPACE = re.compile(r"\s+")
 #: Seen as meant, a sign for a letter, a letter more or less: costs in nats.
 COST_SIGN, COST_SEPARATOR, COST_RUN, COST_LOST_SIGN = 1.0, 0.5, 0.3, 8.0
 BEAM = 12
@@ -171,6 +174,11 @@ def restore(word: str, model: CharModel, half: int = HALF_WINDOW) -> list[str]:
     return [bare, *(x for pieces in windows(bare, half) for x in readings(pieces, model))]
 
 
+def spaced_runs(text: str) -> set[str]:
+    """Letters that were set apart, joined."""
+    return {unicodedata.normalize("NFC", _SPACE.sub("", run)) for run in _SPACED.findall(text)}
+
+
 def restored_text(text: str, model: CharModel) -> str:
     """The text with each disguised word replaced by its likeliest reading, and letters set apart joined."""
 
@@ -178,7 +186,7 @@ def restored_text(text: str, model: CharModel) -> str:
         pieces, step = lattice(bared(word)), 2 * HALF_WINDOW
         return "".join(readings(pieces[k : k + step], model)[0] for k in range(0, len(pieces), step))
 
-    text = _SPACED.sub(lambda m: m[0].replace(b" ", b""), text.encode()).decode()
+    text = _SPACED.sub(lambda m: _SPACE.sub("", m[0]), text)
     return re.sub(r"\S+", lambda m: best(m[0]) if _LOOSE.search(m[0].strip(_EDGE)) else m[0], text)
 
 
@@ -207,8 +215,8 @@ def doc_words(utf8: bytes, model: CharModel, limit: dict) -> set[str]:
             if len(w) <= 64:
                 limit[w] = got
         out.update(got)
-    for m in _SPACED.finditer(utf8):
-        out.update(restore(m[0].replace(b" ", b"").decode(errors="ignore"), model))
+    for run in spaced_runs(utf8.decode(errors="ignore")):
+        out.update(restore(run, model))
     return out
 
 
@@ -275,8 +283,7 @@ class WordScores(dict):
         return max((self.weights.get(way[i : i + n] + "$", 0.0) for way in ways for n in self.lengths for i in range(len(way) - n + 1)), default=0.0)
 
     def score(self, utf8: bytes, rate: float) -> float:
-        runs = {m[0].replace(b" ", b"") for m in _SPACED.finditer(utf8.lower())}
-        found = [*map(self.__getitem__, set(utf8.lower().split())), *(self.joined(r.decode(errors="ignore")) for r in runs)]
+        found = [*map(self.__getitem__, set(utf8.lower().split())), *map(self.joined, spaced_runs(utf8.decode(errors="ignore").lower()))]
         worst = sorted((s for s in found if s > 0.5), reverse=True)[:3]
         left = 1.0
         for s in worst:

@@ -48,3 +48,13 @@ def test_the_worst_of_all_runs_counts(scores):
     text = "m o r o n then some and 1 d 1 0 t"
     assert scores.score(text.encode(), 0.1) == pytest.approx(1 - 0.45 * 0.02)
     assert scores.score(b"m o r o n then some and m o r o n", 0.1) == pytest.approx(0.55)
+
+
+@pytest.mark.parametrize("gap", [" ", "  ", "\t", "\n", " ", " \r\n   ", " "])
+@pytest.mark.parametrize("word", ["imbécile", "imbécile", "идиот", "ηλίθιος", "idiot"])
+def test_letters_of_any_script_and_gap(gap, word):
+    units = [word[k] + ("́" if word[k + 1 : k + 2] == "́" else "") for k in range(len(word)) if word[k] != "́"]
+    text = f"such an{gap}x1 {gap.join(units)} here"
+    got = toxicity.WordScores(model_of("imbécile", "idiot"), {w + "$": 0.98 for w in ("imbécile", "идиот", "ηλίθιος", "idiot")})
+    assert got.score(text.encode(), 0.1) == pytest.approx(0.98)
+    assert word in toxicity.restored_text(text, got.model)

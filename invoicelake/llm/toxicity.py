@@ -65,12 +65,11 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def fold() -> None:
         for w, n in words.items():
-            if len(w) <= 40:
-                text = w.decode().strip(_EDGE).lower()
-                if text.isalpha():
-                    padded = f"^^{text}$"
-                    for k in range(len(padded) - 2):
-                        grams[padded[k : k + 3]] += n
+            text = w.decode().strip(_EDGE).lower()
+            if text.isalpha():
+                padded = f"^^{text}$"
+                for k in range(len(padded) - 2):
+                    grams[padded[k : k + 3]] += n
         words.clear()
 
     for (texts,) in batch_columns(batches, "utf8"):
@@ -314,7 +313,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     work = Scratch(spark, "toxicity")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(F.col(text_col)).alias("utf8"))
     grams = source.select("utf8").mapInArrow(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    counts = {g: n for g, n in grams.orderBy(F.desc("n"), "gram").limit(MODEL_FEATURES).collect()}
+    counts = {g: n for g, n in grams.collect()}
     model = CharModel(counts)
 
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out("doc_id")).dropDuplicates(["doc_id"])

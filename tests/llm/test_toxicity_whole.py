@@ -58,3 +58,16 @@ def test_letters_of_any_script_and_gap(gap, word):
     got = toxicity.WordScores(model_of("imbécile", "idiot"), {w + "$": 0.98 for w in ("imbécile", "идиот", "ηλίθιος", "idiot")})
     assert got.score(text.encode(), 0.1) == pytest.approx(0.98)
     assert word in toxicity.restored_text(text, got.model)
+
+
+def test_all_trigrams_of_all_words_count(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MODEL_FEATURES", 50)
+    words = ["".join(chr(97 + (k * m + m) % 26) for k in range(9)) for m in range(1, 26)] + ["жук" * 20]
+    docs = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "doc_id long, text string")
+    counts, _, _ = toxicity.learn(docs, spark.createDataFrame([(0, 0)], "doc_id long, toxic int"))
+    want = {}
+    for w in words:
+        for k in range(len(w) + 1):
+            g = f"^^{w}$"[k : k + 3]
+            want[g] = want.get(g, 0) + 1
+    assert counts == want and len(want) > 50

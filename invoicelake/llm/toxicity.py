@@ -3,8 +3,8 @@
 1. A character trigram model is counted over the words of all documents: a Python task counts words, turns the counts into trigram
    counts and gives at most alphabet**3 rows, which are summed. The model grows in mass with the corpus and is bounded in size.
 2. A word that looks disguised (digits or signs among letters, letters repeated, letters set apart) is a lattice: a position may be
-   what is seen or what the sign stands for, a repeated letter may be one or two, a separator nothing. A beam Viterbi search
-   under the model gives the likeliest readings.
+   what is seen or what the sign stands for, a repeated letter may be one or two, a separator nothing. An exact Viterbi search
+   over states of two characters gives the likeliest readings under the model.
 3. A document's evidence is that of its worst restored words. Evidence of a word is the smoothed share of toxic documents among those
    that hold it, or, where different words share a beginning, hold a word that begins so; it is counted over labelled rows, of near copies only one.
    Strong evidence comes first; the rest is counted anew over the toxic documents that hold none of it, so that what merely goes
@@ -47,7 +47,8 @@ _SPACED = re.compile(r"(?<!\S)\S[\u0300-\u036f]*+(?:\s++\S[\u0300-\u036f]*+(?!\S
 _SPACE = re.compile(r"\s+")
 #: Seen as meant, a sign for a letter, a letter more or less: costs in nats.
 COST_SIGN, COST_SEPARATOR, COST_RUN, COST_LOST_SIGN = 1.0, 0.5, 0.3, 8.0
-BEAM = 12
+#: Readings given of a lattice.
+BEST = 6
 #: Beginnings of a word that carry evidence, in letters.
 BEGINNINGS = (4, 5, 6, 7)
 MODEL_FEATURES = 200_000
@@ -141,21 +142,28 @@ def windows(word: str, half: int = HALF_WINDOW) -> Iterator[list[list[tuple[str,
 
 
 def readings(pieces: list[list[tuple[str, float]]], model: CharModel) -> list[str]:
-    """The likeliest readings of a lattice, best first."""
-    beam: list[tuple[float, str]] = [(0.0, "^^")]
+    """The ``BEST`` likeliest readings of a lattice, best first. Exact: what follows costs the same after the same two characters,
+    so of the strings that end in them only so many can be among the best."""
+    held: dict[str, list[tuple[float, str]]] = {"^^": [(0.0, "")]}
     for ways in pieces:
-        nxt: dict[str, float] = {}
-        for cost, seen in beam:
+        nxt: dict[str, dict[str, float]] = {}
+        for last, best in held.items():
             for text, extra in ways:
-                now, total = seen, cost + extra
+                now, total = last, extra
                 for c in text:
-                    total += model.cost(now[-2], now[-1], c)
-                    now += c
-                if total < nxt.get(now, math.inf):
-                    nxt[now] = total
-        beam = sorted((c, s) for s, c in nxt.items())[:BEAM]
-    ended = sorted((c + model.cost(s[-2], s[-1], "$"), s[2:]) for c, s in beam)
-    return [s for _, s in ended[:6]]
+                    total += model.cost(now[0], now[1], c)
+                    now = now[1] + c
+                into = nxt.setdefault(now, {})
+                for cost, seen in best:
+                    if cost + total < into.get(seen + text, math.inf):
+                        into[seen + text] = cost + total
+        held = {last: sorted((c, s) for s, c in into.items())[:BEST] for last, into in nxt.items()}
+    ended: dict[str, float] = {}
+    for last, best in held.items():
+        end = model.cost(last[0], last[1], "$")
+        for cost, seen in best:
+            ended[seen] = cost + end
+    return [s for _, s in sorted((c, s) for s, c in ended.items())[:BEST]]
 
 
 def bared(word: str) -> str:

@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 
 from invoicelake.llm import toxicity
@@ -71,3 +73,16 @@ def test_all_trigrams_of_all_words_count(spark, monkeypatch):
             g = f"^^{w}$"[k : k + 3]
             want[g] = want.get(g, 0) + 1
     assert counts == want and len(want) > 50
+
+
+def test_readings_are_the_best_of_all():
+    model = model_of("illicit", "lilting", "titillating", "biggest", "goggles", "little")
+    for word in ("1|1|1!1", "9669|3", "71711|@71", "|17+|3!!69", "1l1!!|+|1l1|"):
+        every = {}
+        for path in itertools.product(*toxicity.lattice(word)):
+            text, cost = "".join(t for t, _ in path), sum(c for _, c in path)
+            padded = f"^^{text}$"
+            cost += sum(model.cost(*padded[k : k + 3]) for k in range(len(text) + 1))
+            every[text] = min(cost, every.get(text, cost))
+        got = toxicity.readings(toxicity.lattice(word), model)
+        assert [every[x] for x in got] == pytest.approx(sorted(every.values())[:6])

@@ -10,7 +10,7 @@ gives, the span of source characters it stands for:
 4. "[at]", "(dot)" and the like, and "at" ... "dot" between the parts of an address, become "@" and ".".
 
 Identifiers found in the result are mapped back to source spans. They are added where they overlap no plain match; plain matches
-stay as they are. Texts without a sign of disguise skip the transducers. Each step is linear in the text's length.
+stay as they are. Spelled digits and numerals may be mixed in a run; the kinds' own checks reject what is none of them. Texts without a sign of disguise skip the transducers. Each step is linear in the text's length.
 
 Null and empty texts: no spans. Null ids and repeated rows are kept as they are. An empty table gives no rows. Other
 columns are left out by ``find``, and kept by ``redact``.
@@ -144,7 +144,8 @@ _SPELLED = {
 _MARKS = {"dot": ".", "point": ".", "punto": ".", "punkt": ".", "plus": "+", "dash": "-", "hyphen": "-"}
 _REPEATS = {"double": 2, "triple": 3}
 _NUMBER_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
-_SPELLED_SIGN = re.compile(rf"(?i)\b(?:{_NUMBER_WORD})[ ,-]+(?:(?:{'|'.join([*_MARKS, *_REPEATS])})[ ,-]+)?(?:{_NUMBER_WORD})\b")
+_SPOKEN = "|".join([_NUMBER_WORD, *_MARKS, *_REPEATS])
+_SPELLED_SIGN = re.compile(rf"(?i)(?<!\w)(?:(?:{_SPOKEN})[ ,.()-]{{1,3}}(?:{_SPOKEN}|[0-9]+)|[0-9]+[ ,.()-]{{1,3}}(?:{_SPOKEN}))(?!\w)")
 _ITEM = rf"(?:{_NUMBER_WORD}|{'|'.join([*_MARKS, *_REPEATS])}|[0-9]+)"
 _SPELLED_RUN = re.compile(rf"(?i)(?<![\w@.+-])\+?(?:{_ITEM})(?:[ ,.()-]{{1,3}}(?:{_ITEM})(?!\w))+")
 _PIECE = re.compile(r"[^\W\d_]+|[0-9]+|[^\w]+|_+")
@@ -153,12 +154,18 @@ _PIECE = re.compile(r"[^\W\d_]+|[0-9]+|[^\w]+|_+")
 def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _SPELLED_RUN.finditer(text):
         pieces = [(p.start() + m.start(), p.end() + m.start(), p[0].lower()) for p in _PIECE.finditer(m[0])]
-        words = [p for _, _, p in pieces if p in _SPELLED]
-        digits = {_SPELLED[p] for p in words} | {c for _, _, p in pieces for c in p if c.isdigit()}
-        if len(words) < 4 or len(digits) < 3:
-            continue
+        while pieces and not (pieces[-1][2] in _SPELLED or pieces[-1][2][0].isdigit()):
+            pieces.pop()  # a mark behind the last digit may belong to an address
+        words = sum(p in _SPELLED for _, _, p in pieces)
+        spoken = words or any(p in _MARKS or p in _REPEATS for _, _, p in pieces)
+        digits, times = 0, 1
+        for _, _, p in pieces:
+            digits += times if p in _SPELLED else sum(c.isdigit() for c in p)
+            times = _REPEATS.get(p, 1 if p in _SPELLED or p[0].isdigit() else times)
+        if not spoken or digits < 4:
+            continue  # no kind has fewer digits
         times = 1
-        for i, j, p in pieces:
+        for k, (i, j, p) in enumerate(pieces):
             if p in _REPEATS:
                 times = _REPEATS[p]
                 yield i, j, ""
@@ -167,7 +174,11 @@ def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
                 times = 1
             elif p in _MARKS:
                 yield i, j, _MARKS[p]
-            elif not p[0].isdigit() and i > m.start():
+            elif p[0].isdigit():
+                if times > 1:
+                    yield i, j, p[0] * times + p[1:]
+                times = 1
+            elif k and (words >= 4 or not (pieces[k - 1][2][0].isdigit() and pieces[k + 1][2][0].isdigit())):
                 yield i, j, "." if "." in p and len(p) == 1 else ""
 
 
@@ -196,8 +207,9 @@ def _worded(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 _STEPS: tuple[tuple[re.Pattern, Callable], ...] = ((_ODD, _characters), (_MIXED_SIGN, _digit_looks), (_SPELLED_SIGN, _spelled), (_AT_SIGN, _bracketed), (_AT_SIGN, _worded))
-#: A run of spelled digits alone, without a plus sign, that has a telephone number's length.
-_BARE = re.compile(r"(?<![0-9+])[0-9]{9,11}(?![0-9])")
+#: A run of digits without a plus sign that has a telephone number's length. Nothing else checks it: at least 4 of its digits
+#: are spelled, and 3 are different.
+_BARE = re.compile(r"(?<![0-9+])[0-9]{9,15}(?![0-9])")
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
@@ -217,7 +229,8 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
         taken = [(s, e) for _, s, e in found]
         for m in _BARE.finditer(tape.text):
             wide = tape.end[m.end() - 1] - tape.start[m.start()]
-            if wide >= 3 * len(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken):
+            words = sum(tape.end[k] - tape.start[k] > 1 for k in range(m.start(), m.end()))
+            if wide >= 3 * len(m[0]) and words >= 4 and len(set(m[0])) >= 3 and not any(s < m.end() and m.start() < e for s, e in taken):
                 found.append(("phone", m.start(), m.end()))
     out: list[Span] = []
     held: list[Span] = sorted(base, key=lambda s: s[1])

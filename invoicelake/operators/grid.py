@@ -34,7 +34,7 @@ def sheet(lines: DataFrame, layout: DataFrame, mode: str = "texto") -> DataFrame
     rows = numbered(lines)
     rows = rows.select("fila", *(cells.cell_value(f, F.col(f), mode).alias(f"_v_{f}") for f in FIELDS))
     long = rows.select("fila", F.expr(f"stack({len(FIELDS)}, {fields}) as (campo, valor)")).filter("valor is not null")
-    placed = layout.filter("letra <> ''").limit(1000)
-    body = long.join(F.broadcast(placed), "campo").select((F.col("fila") + F.col("primera_fila")).cast("long").alias("fila"), "letra", "valor", F.when(F.lit(mode == "texto") & F.col("campo").isin(*cells.AMOUNTS, *cells.PERCENTAGES), "@").alias("formato"))
+    placed = layout.filter("letra <> ''")
+    body = long.join(placed, "campo").select((F.col("fila") + F.col("primera_fila")).cast("long").alias("fila"), "letra", "valor", F.when(F.lit(mode == "texto") & F.col("campo").isin(*cells.AMOUNTS, *cells.PERCENTAGES), "@").alias("formato"))
     head = placed.filter("incluye_cabecera").select(F.lit(1).cast("long").alias("fila"), "letra", header_label(F.col("campo")).alias("valor"), F.lit(None).cast("string").alias("formato"))
     return head.unionByName(body).withColumn("columna", cells.column_index(F.col("letra"))).select("fila", "columna", "letra", "valor", "formato")

@@ -56,9 +56,9 @@ def rule_table(spark: SparkSession, rules: Rules) -> DataFrame:
 
 
 def by_join(df: DataFrame, id_col: str, text: Column, rules: DataFrame, default: str | None) -> DataFrame:
-    """The same for rules kept in a table, of a size that people edit by hand: (id, codigo)."""
+    """The same for rules kept in a table: (id, codigo). All rules are tried; Spark chooses the join."""
     t = df.select(F.col(id_col), strip_accents(F.lower(F.coalesce(text, F.lit("")))).alias("_t"))
-    hits = t.join(F.broadcast(rules.limit(10_000)), F.expr("contains(_t, clave)"), "left")
+    hits = t.join(rules, F.expr("contains(_t, clave)"), "left")
     return hits.groupBy(id_col).agg(F.coalesce(F.min_by("codigo", "prio"), F.lit(default)).alias("codigo"))
 
 

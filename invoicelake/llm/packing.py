@@ -17,14 +17,13 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, batch_columns, small_batches
+from .common import Scratch, as_bytes, small_batches
 from .tokens import tokenizer
 
 #: Input partitions whose leftovers are merged in one task; with the window bound, it bounds a task's rows.
@@ -57,19 +56,21 @@ class Windows:
         return win, self.seq_len - room
 
 
-def _place_all(path: str, end_id: int, seq_len: int, open_windows: int, with_ids: bool):
+def _place_all(path: str, special: bool, end_id: int, seq_len: int, open_windows: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tk, part, windows = tokenizer(path), TaskContext.get().partitionId(), Windows(seq_len, open_windows)
-        for doc_ids, texts in batch_columns(batches, "doc_id", "utf8"):
-            rows = []
-            for doc_id, utf8 in zip(doc_ids, texts):
-                ids = np.append(tk.ids(utf8).astype("<u4"), np.uint32(end_id)).astype("<u4")
-                for start in range(0, len(ids), seq_len):
-                    piece = ids[start : start + seq_len].tobytes()
-                    n = len(piece) // 4
-                    win, offset = windows.place(n) if n < seq_len else (windows.new(), 0)
-                    rows.append((0, part, win, doc_id, start, n, zlib.crc32(piece), len(ids), offset, piece if with_ids else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
+        tk, part, windows = tokenizer(path, special), TaskContext.get().partitionId(), Windows(seq_len, open_windows)
+        for b in batches:
+            names = iter(b.column(0).to_pylist())
+            for ids, bounds in tk.many(b.column(1), end_id):
+                rows, raw, at = [], memoryview(ids.tobytes()), bounds.tolist()
+                for first, last in zip(at, at[1:]):
+                    doc_id = next(names)
+                    for start in range(first, last, seq_len):
+                        n = min(seq_len, last - start)
+                        piece = raw[4 * start : 4 * (start + n)]
+                        win, offset = windows.place(n) if n < seq_len else (windows.new(), 0)
+                        rows.append((0, part, win, doc_id, start - first, n, zlib.crc32(piece), last - first, offset, bytes(piece) if with_ids else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
         if windows.open:
             rows = [(1, part, win, None, None, seq_len - room, None, None, None, None) for room, win in windows.open]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
@@ -90,13 +91,13 @@ def _merge(seq_len: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, seq_len: int = 2048, open_windows: int = 64, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, seq_len: int = 2048, open_windows: int = 64, with_ids: bool = False, special: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (little-endian
-    unsigned 32-bit) if ``with_ids``."""
+    unsigned 32-bit) if ``with_ids``. ``special``: literals of added tokens become their ids, as the library has it."""
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(F.col(text_col)).alias("utf8"))
-    placed = Scratch(spark, "pack").store(source.mapInArrow(_place_all(tokenizer_path, end_id, seq_len, open_windows, with_ids), _SCHEMA))
+    placed = Scratch(spark, "pack").store(source.mapInArrow(_place_all(tokenizer_path, special, end_id, seq_len, open_windows, with_ids), _SCHEMA))
     left = placed.filter("kind = 1").select("part", "win", "length").withColumn("part_group", F.expr(f"part div {MERGED_PARTITIONS}"))
     moved = left.groupBy("part_group").applyInPandas(_merge(seq_len), "part long, win long, to_part long, to_win long, base long")
     pieces = placed.filter("kind = 0").drop("kind").join(moved, ["part", "win"], "left")

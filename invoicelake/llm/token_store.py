@@ -115,7 +115,7 @@ def decode_blocks(blocks: list[memoryview]) -> list[np.ndarray]:
 
 
 def encode_shard(part: int, shard: int, first: int, doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
-    every = np.concatenate(ids).astype("<u4")
+    every = np.concatenate(ids).astype("<u4", copy=False)
     blocks = encode_blocks(every)
     head = _HEAD.pack(MAGIC, part, shard, first, len(ids), len(every), len(blocks))
     table = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is not None for d in doc_ids], "u1").tobytes() + np.array([len(x) for x in ids], "<u8").tobytes()
@@ -154,9 +154,9 @@ def read_document(b: bytes, position: int) -> np.ndarray:
     return got[lo - lo // BLOCK * BLOCK :][: hi - lo]
 
 
-def _shards(path: str, end_id: int, shard_ids: int):
+def _shards(path: str, special: bool, end_id: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tk, part = tokenizer(path), TaskContext.get().partitionId()
+        tk, part = tokenizer(path, special), TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         names: list[int | None] = []
         size = shard = first = 0
@@ -164,28 +164,30 @@ def _shards(path: str, end_id: int, shard_ids: int):
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([encode_shard(part, shard, first, names, held)], pa.binary())], names=["shard"])
 
-        for doc_ids, texts in batch_columns(batches, "doc_id", "utf8"):
-            for doc_id, utf8 in zip(doc_ids, texts):
-                ids = np.append(tk.ids(utf8), end_id).astype("<u4")
-                held.append(ids)
-                names.append(doc_id)
-                size += len(ids)
-                if size >= shard_ids:
-                    yield out()
-                    shard, first, held, names, size = shard + 1, first + size, [], [], 0
+        for b in batches:
+            doc_ids = iter(b.column(0).to_pylist())
+            for ids, bounds in tk.many(b.column(1), end_id):
+                for x in np.split(ids, bounds[1:-1]):
+                    held.append(x)
+                    names.append(next(doc_ids))
+                    size += len(x)
+                    if size >= shard_ids:
+                        yield out()
+                        shard, first, held, names, size = shard + 1, first + size, [], [], 0
         if held:
             yield out()
 
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = 1 << 21) -> None:
-    """Writes the ids of all documents below ``path``, in ascending order of doc_id, in shards of about ``shard_ids``."""
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = 1 << 21, special: bool = True) -> None:
+    """Writes the ids of all documents below ``path``, in ascending order of doc_id, in shards of about ``shard_ids``. ``special``:
+    literals of added tokens become their ids, as the library has it."""
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(F.col(text_col)).alias("utf8"))
     ordered = source.repartitionByRange(n_shuffle(spark, source), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
-    write_blobs(ordered.mapInArrow(_shards(tokenizer_path, end_id, shard_ids), "shard binary"), path, "shard")
+    write_blobs(ordered.mapInArrow(_shards(tokenizer_path, special, end_id, shard_ids), "shard binary"), path, "shard")
 
 
 _READ = "part long, shard long, position long, doc_id long, part_start long, n_tokens long, ids_crc32 long"

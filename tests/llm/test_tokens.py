@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,23 +12,47 @@ from pyspark.sql import functions as F
 from invoicelake.llm import packing, token_store
 from invoicelake.llm.common import fresh_path
 from invoicelake.llm.tokens import CachedTokenizer
+from tokenizers import Tokenizer
 
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
-TOKENIZERS = {p: CachedTokenizer(p, limit=50) for p in (WORD, BYTE)}
-ALPHABET = st.sampled_from(list("abAzé ÉßI.,!?'s1 \n\t\r\x0b\x1c\x85  　́ıİ日<|>&%-"))
+CACHED = {p: CachedTokenizer(p, cache_bytes=20_000) for p in (WORD, BYTE)}
+#: Tokenizers of their own, as they come from the file.
+PLAIN = {p: Tokenizer.from_file(p) for p in (WORD, BYTE)}
+PIECES = st.sampled_from([*"abAzé ÉßI.,!?'s12 \n\t\r\x0b\x1c\x85\xa0\u2003\u3000\u0301ıİ日×÷Ā<|>&%-\0\1", "\n\n", "  ", "it's", "word", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext"])
+
+
+def plain_ids(path, text):
+    return PLAIN[path].encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
 @settings(max_examples=400, deadline=None)
-@given(st.lists(ALPHABET, max_size=40).map("".join))
-def test_cached_ids_are_the_librarys(path, text):
-    tk = TOKENIZERS[path]
-    assert tk.ids(text.encode()).tolist() == tk.whole_ids(text.encode()).tolist()
+@given(st.lists(st.lists(PIECES, max_size=40).map("".join), min_size=1, max_size=4))
+def test_cached_ids_are_the_librarys(path, texts):
+    got = [(x, b) for x, b in CACHED[path].many(pa.array([t.encode() for t in texts], pa.binary()), 7)]
+    ids = [x[i:j].tolist() for x, b in got for i, j in zip(b, b[1:])]
+    assert ids == [[*plain_ids(path, t), 7] for t in texts]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_literals_of_added_tokens(path):
+    text = "a <|endoftext|>b<|endoftext|>"
+    plain = Tokenizer.from_file(path)
+    assert CachedTokenizer(path).ids(text.encode()).tolist() == plain_ids(path, text) == CachedTokenizer(path).whole_ids(text.encode()).tolist()
+    plain.encode_special_tokens = True
+    assert CachedTokenizer(path, special=False).ids(text.encode()).tolist() == plain.encode(text, add_special_tokens=False).ids != plain_ids(path, text)
+
+
+def test_groups_hold_all_texts(monkeypatch):
+    monkeypatch.setattr("invoicelake.llm.tokens.GROUP_BYTES", 30)
+    monkeypatch.setattr("invoicelake.llm.tokens.RUN_WORDS", 3)
+    texts = ["", "one two", "x " * 50, "", "three\n\nfour", "five six seven"] * 3
+    got = list(CachedTokenizer(BYTE).many(pa.array([t.encode() for t in texts], pa.binary())))
+    assert len(got) > 3 and [x[i:j].tolist() for x, b in got for i, j in zip(b, b[1:])] == [plain_ids(BYTE, t) for t in texts]
 
 
 def brute(rows, path, end_id):
-    tk = TOKENIZERS[path]
-    return {(r["doc_id"], r["text"]): np.append(tk.whole_ids((r["text"] or "").encode()), end_id).astype("<u4") for r in rows}
+    return {(r["doc_id"], r["text"]): np.array([*plain_ids(path, r["text"] or ""), end_id], "<u4") for r in rows}
 
 
 def test_packing_holds_each_id_once(spark, docs):

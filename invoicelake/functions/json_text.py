@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_TRAILING = re.compile(r",\s*([}\]])")
+_BRACED = re.compile(r"\{.*\}", re.S)
+
 
 def _valid(t: Column) -> Column:
     return F.try_parse_json(t).isNotNull()
@@ -17,3 +23,16 @@ def repaired(t: Column) -> Column:
     s = F.coalesce(F.nullif(F.regexp_extract(s, r"(?s)\{.*\}", 0), F.lit("")), s)
     s = F.regexp_replace(s, r",\s*([}\]])", "$1")
     return F.when(_valid(t), t).when(_valid(s), s)
+
+
+def readable(text: str | None) -> bool:
+    """Whether a text that has just come from a client can be repaired: ``repaired`` for one value, outside a plan."""
+    bare = (text or "").strip()
+    found = _BRACED.search(bare)
+    for candidate in (bare, _TRAILING.sub(r"\1", found[0]) if found else ""):
+        try:
+            if isinstance(json.loads(candidate), dict):
+                return True
+        except ValueError:
+            continue
+    return False

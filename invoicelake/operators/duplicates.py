@@ -12,7 +12,8 @@ _ORDER = ("doc_seq", "line_no")
 
 def mark(lines: DataFrame) -> DataFrame:
     """lines with ``dup_doc``, ``dup_line``: the first line with the same number, id, base and percentage, for all others of them.
-    Lines empty in all four are no duplicates. The first of a key is found by a partial aggregate, so a common key costs no large group."""
+    Lines empty in all four are no duplicates. The first of a key is found by a partial aggregate, so a common key costs no large group;
+    lines without a key are dealt out over all tasks of the join. The input is read twice: store it first (``stages.stage``)."""
     zero = F.lit(0.0)
     key = F.struct(
         taxid.dedup_key(F.col("num_factura")).alias("num"), taxid.dedup_key(F.col("nif")).alias("nif"),
@@ -21,6 +22,7 @@ def mark(lines: DataFrame) -> DataFrame:
     filled = F.expr("_key.num <> '' or _key.nif <> '' or _key.base <> 0 or _key.pct <> 0")
     keyed = lines.withColumn("_key", key)
     first = keyed.filter(filled).groupBy("_key").agg(F.min(F.struct(*_ORDER)).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    out = keyed.join(first, "_key", "left")
+    spread = F.when(filled, F.lit(0)).otherwise(F.pmod(F.xxhash64(*_ORDER), F.lit(1 << 20)).cast("int") + 1)
+    out = keyed.withColumn("_deal", spread).join(first.withColumn("_deal", F.lit(0)), ["_key", "_deal"], "left")
     later = F.col("_first").isNotNull() & (F.struct(*_ORDER) > F.col("_first"))
     return out.select(*lines.columns, F.when(later, F.col("_first.doc_seq")).alias("dup_doc"), F.when(later, F.col("_first.line_no")).alias("dup_line"))

@@ -13,8 +13,10 @@ _AMOUNTS = EDITABLE[5:]
 
 
 def apply(lines: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits (doc_seq, line_no, campo, valor): typed texts replace cells; ``campo`` tipo overrides the type, with nothing derived anew."""
-    wide = edits.groupBy("doc_seq", "line_no").pivot("campo", [*EDITABLE, "tipo"]).agg(F.last("valor"))
+    """edits (doc_seq, line_no, campo, valor, and orden where there is more than one edit of a cell): typed texts replace cells; ``campo`` tipo
+    overrides the type, with nothing derived anew. Of several edits of a cell that of the highest ``orden`` holds, of equals the greatest text."""
+    order = [F.col(c) for c in ("orden", "valor") if c in edits.columns]
+    wide = edits.groupBy("doc_seq", "line_no").pivot("campo", [*EDITABLE, "tipo"]).agg(F.max_by("valor", F.struct(*order)))
     wide = wide.select("doc_seq", "line_no", *(F.col(c).alias(f"_e_{c}") for c in [*EDITABLE, "tipo"]))
     out = lines.join(wide, ["doc_seq", "line_no"], "left")
     for c in [*EDITABLE, "tipo"]:

@@ -20,27 +20,47 @@ def _apply(lines: DataFrame, fixes: DataFrame) -> DataFrame:
     return out.withColumn("nif", F.coalesce("_nif", "nif")).withColumn("aviso", texts.added(F.col("aviso"), F.col("_aviso"))).select(*lines.columns)
 
 
-def from_siblings(lines: DataFrame) -> DataFrame:
-    """Invoices without a valid id take the one valid id that others of exactly the same name words have. With several, none is
-    taken and a warning says so. A valid id is never replaced. Keys are summed up before the join, so a common name is no large group."""
+def _sibling_fixes(lines: DataFrame) -> DataFrame:
     head = _headers(lines).filter("clave <> ''")
     valid = head.filter("valido").groupBy("clave", "norm").agg(F.min(F.struct("doc_seq", "nombre")).alias("donor"))
     per_name = valid.groupBy("clave").agg(F.count("*").alias("n"), F.min("norm").alias("bueno"), F.min_by("donor.nombre", "norm").alias("de"), F.array_join(F.array_sort(F.collect_list("norm")), ", ").alias("ids"))
     read = F.regexp_replace(F.coalesce("nif", F.lit("")), r"(?U)^\s+|\s+$", "")
     why = F.when(read != "", texts.filled(M.WHY_COPIED_BAD, read=read)).otherwise(M.WHY_COPIED_NONE)
-    fixes = head.filter("not valido").join(per_name, "clave").select(
+    return head.filter("not valido").join(per_name, "clave").select(
         "doc_seq", F.when(F.col("n") == 1, F.col("bueno")).alias("_nif"),
         F.when(F.col("n") == 1, texts.filled(M.WARN_COPIED, name=F.col("de"), stored=F.col("bueno"), why=why)).otherwise(texts.filled(M.WARN_SEVERAL, n=F.col("n"), ids=F.col("ids"))).alias("_aviso"),
     )
-    return _apply(lines, fixes)
+
+
+def from_siblings(lines: DataFrame) -> DataFrame:
+    """Invoices without a valid id take the one valid id that others of exactly the same name words have. With several, none is
+    taken and a warning says so. A valid id is never replaced. Keys are summed up before the join, so a common name is no large group."""
+    return _apply(lines, _sibling_fixes(lines))
 
 
 def from_memory(lines: DataFrame, memory: DataFrame) -> DataFrame:
     """The stored id for invoices without a valid one; a warning where a valid id differs from the stored one."""
+    return _apply(lines, _memory_fixes(lines, memory))
+
+
+def counted(fixes: DataFrame) -> DataFrame:
+    """One row (completadas, avisadas): invoices that got an id, and those with a warning alone."""
+    return fixes.agg(F.count("_nif").alias("completadas"), F.count_if(F.col("_nif").isNull()).alias("avisadas"))
+
+
+def sibling_counts(lines: DataFrame) -> DataFrame:
+    return counted(_sibling_fixes(lines))
+
+
+def memory_counts(lines: DataFrame, memory: DataFrame) -> DataFrame:
+    return counted(_memory_fixes(lines, memory))
+
+
+def _memory_fixes(lines: DataFrame, memory: DataFrame) -> DataFrame:
     known = memory.filter("clave <> '' and coalesce(nif, '') <> ''").select("clave", F.col("nif").alias("guardado"))
     read = F.regexp_replace(F.coalesce("nif", F.lit("")), r"(?U)^\s+|\s+$", "")
     why = F.when(read != "", texts.filled(M.WHY_MEMORY_BAD, read=read)).otherwise(M.WHY_MEMORY_NONE)
     differs = texts.filled(M.WARN_MEMORY_DIFFERS, name=F.col("nombre"), stored=F.col("guardado"), read=F.col("norm"))
     filled = texts.filled(M.WARN_FROM_MEMORY, stored=F.col("guardado"), name=F.col("nombre"), why=why)
     fixes = _headers(lines).join(known, "clave").filter("not valido or norm <> guardado")
-    return _apply(lines, fixes.select("doc_seq", F.when(~F.col("valido"), F.col("guardado")).alias("_nif"), F.when(F.col("valido"), differs).otherwise(filled).alias("_aviso")))
+    return fixes.select("doc_seq", F.when(~F.col("valido"), F.col("guardado")).alias("_nif"), F.when(F.col("valido"), differs).otherwise(filled).alias("_aviso"))

@@ -14,6 +14,12 @@ def learnable(lines: DataFrame) -> DataFrame:
     return head.filter((F.col("clave") != "") & taxid.is_valid(F.col("nif")))
 
 
+def learned_count(lines: DataFrame, memory: DataFrame) -> DataFrame:
+    """One row (aprendidas): readings that a batch's invoices leave in the memory; what a person wrote takes none."""
+    by_hand = memory.filter("manual").select("clave")
+    return learnable(lines).join(by_hand, "clave", "left_anti").agg(F.count("*").alias("aprendidas"))
+
+
 def upsert_providers(memory: DataFrame, news: DataFrame, manual: bool = False) -> DataFrame:
     """memory (clave, nif, nombre, manual) with news (clave, nif, nombre, seq). What a person wrote is never replaced by what was
     read; otherwise the last wins, an empty name keeps the old one, and the manual mark stays."""

@@ -9,17 +9,34 @@ from .. import messages as M
 from ..functions import taxid, texts
 
 
+def _heads(lines: DataFrame) -> DataFrame:
+    """Document numbers are compared by letters and digits alone."""
+    return lines.filter("line_no = 0").select("doc_seq", "num_factura", taxid.alnum_key(F.col("num_factura")).alias("k"), taxid.alnum_key(F.col("sustituye_a")).alias("target"))
+
+
+def by_target(lines: DataFrame) -> DataFrame:
+    """(k, news): for each number that invoices say they replace, those invoices as array<struct<new, num>> by document. Summed up once for
+    each number, however many invoices have it."""
+    new = _heads(lines).filter("target <> ''").groupBy(F.col("target").alias("k"))
+    return new.agg(F.array_sort(F.collect_list(F.struct(F.col("doc_seq").alias("new"), F.col("num_factura").alias("num")))).alias("news"))
+
+
 def pairs(lines: DataFrame) -> DataFrame:
-    """(old, new, num): document numbers are compared by letters and digits alone; an invoice doesn't replace itself."""
-    head = lines.filter("line_no = 0").select("doc_seq", "num_factura", taxid.alnum_key(F.col("num_factura")).alias("k"), taxid.alnum_key(F.col("sustituye_a")).alias("target"))
-    old = head.filter("k <> ''").select(F.col("doc_seq").alias("old"), "k")
-    new = head.filter("target <> ''").select(F.col("doc_seq").alias("new"), F.col("num_factura").alias("num"), "target")
-    return old.join(new, (F.col("k") == F.col("target")) & (F.col("old") != F.col("new"))).select("old", "new", "num")
+    """(old, new, num): an invoice doesn't replace itself."""
+    old = _heads(lines).filter("k <> ''").select(F.col("doc_seq").alias("old"), "k")
+    every = old.join(by_target(lines), "k").select("old", F.explode("news").alias("n"))
+    return every.select("old", "n.new", "n.num").filter("old <> new")
 
 
 def mark(lines: DataFrame) -> DataFrame:
-    """A warning for each replacement, and the last one's number in ``sustituida_por``."""
-    p = pairs(lines).withColumn("msg", texts.filled(M.WARN_REPLACED, new=F.col("num")))
-    per = p.groupBy(F.col("old").alias("doc_seq")).agg(F.max_by("num", "new").alias("_por"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("new", "msg"))), lambda s: s["msg"]), " ").alias("_msg"))
+    """A warning for each replacement, and the last one's number in ``sustituida_por``. The input is read three times: store it first."""
+    old = _heads(lines).filter("k <> ''").select("doc_seq", "k")
+    per = old.join(by_target(lines), "k").select("doc_seq", F.filter("news", lambda n: n["new"] != F.col("doc_seq")).alias("_news")).filter("size(_news) > 0")
+    per = per.select("doc_seq", F.element_at("_news", -1)["num"].alias("_por"), F.array_join(F.transform("_news", lambda n: texts.filled(M.WARN_REPLACED, new=n["num"])), " ").alias("_msg"))
     out = lines.join(per, "doc_seq", "left")
     return out.withColumn("sustituida_por", F.coalesce("_por", "sustituida_por")).withColumn("aviso", texts.added(F.col("aviso"), F.col("_msg"))).select(*lines.columns)
+
+
+def counted(lines: DataFrame) -> DataFrame:
+    """One row (marcadas): replacements found."""
+    return pairs(lines).agg(F.count("*").alias("marcadas"))

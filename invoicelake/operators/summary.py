@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import messages as M
 from ..functions import dates, numbers, texts
+from ..stages import row_numbers
 
 
 def _total(c: str) -> Column:
@@ -48,10 +49,29 @@ def export_problems(lines: DataFrame, p: int) -> DataFrame:
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """lines with ``fila``, from 0 in batch order. Row numbers within range partitions plus the rows before them: no single task."""
-    placed = lines.repartitionByRange("doc_seq", "line_no").sortWithinPartitions("doc_seq", "line_no").withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1).cast("long")))
-    parts = placed.groupBy("_part").agg(F.count("*").alias("_n")).selectExpr("_part", "coalesce(sum(_n) over (order by _part rows between unbounded preceding and 1 preceding), 0) as _before")
-    return placed.join(parts, "_part").withColumn("fila", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    """lines with ``fila``, from 0 in batch order."""
+    return row_numbers(lines, ["doc_seq", "line_no"], "fila")
+
+
+def in_state(lines: DataFrame, state: str | None = None) -> DataFrame:
+    """The lines of one state, or all."""
+    return lines if state is None else lines.filter(F.col("estado") == state)
+
+
+def report(lines: DataFrame) -> DataFrame:
+    """What a run prints at its end: lines and base of each type, as text."""
+    sums = totals(lines, "tipo")
+    base = F.format_string("%.2f", F.col("base"))
+    return sums.select("tipo", "lineas", "base", F.concat(F.initcap("tipo"), F.lit("s: "), F.col("lineas").cast("string"), F.lit(" lineas, base "), base).alias("texto"))
+
+
+def batch_label(files: DataFrame, col: str = "path", most: int = 3) -> DataFrame:
+    """One row (texto): how many files a batch has, and the names of the first ``most`` by path."""
+    name = F.regexp_extract(F.col(col), r"([^/]+)$", 1)
+    first = files.select(col, name.alias("nombre")).orderBy(col).limit(most).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(col, "nombre"))), lambda s: s["nombre"]), ", ").alias("nombres"))
+    n = files.agg(F.count("*").alias("n"))
+    text = F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " archivo: ").otherwise(" archivos: "), F.col("nombres"), F.when(F.col("n") > most, "…").otherwise(""))
+    return n.join(F.broadcast(first), F.lit(True)).select(text.alias("texto"))
 
 
 def next_incident(rows: DataFrame, current: int) -> DataFrame:

@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import build, client, duplicates, edits, fill, gross, memory, periods, replaced, summary, validate
-from .stages import stage
+from ..stages import release, stage
 
 
 @dataclass
 class Batch:
-    """client: one row; lines: validated lines with estado, dup_doc, dup_line; memory: the provider memory after the batch."""
+    """client: one row; lines: validated lines with estado, dup_doc, dup_line; memory: the provider memory after the batch; counts: one row
+    of what the steps did. All are read from stored tables; ``close`` deletes those once the results are written."""
 
     client: DataFrame
     lines: DataFrame
     memory: DataFrame
+    counts: DataFrame
+    stored: tuple[DataFrame, ...]
+
+    def close(self) -> None:
+        release(*self.stored)
 
 
 def run(raw: DataFrame, providers: DataFrame, *, collapse: bool = False, period: int | None = None, changes: DataFrame | None = None) -> Batch:
@@ -26,12 +32,18 @@ def run(raw: DataFrame, providers: DataFrame, *, collapse: bool = False, period:
     ``period`` (year * 10 + quarter): that of the batch; by default its commonest.
     """
     who = stage(client.detect(raw))
-    lines = stage(fill.from_siblings(stage(build.build(raw, who))))
-    lines = stage(fill.from_memory(lines, providers))
-    learned = memory.upsert_providers(providers, memory.learnable(lines))
-    lines = stage(replaced.mark(lines))
+    built = stage(build.build(raw, who))
+    copied = stage(fill.sibling_counts(built))
+    siblings = stage(fill.from_siblings(built), built)
+    from_memory = stage(fill.memory_counts(siblings, providers))
+    lines = stage(fill.from_memory(siblings, providers), siblings)
+    learned = stage(memory.upsert_providers(providers, memory.learnable(lines)))
+    counts = copied.toDF("copiadas", "dudosas").join(from_memory.toDF("de_memoria", "distintas"), F.lit(True)).join(memory.learned_count(lines, providers), F.lit(True))
+    counts = stage(counts.join(replaced.counted(lines), F.lit(True)), copied, from_memory)
+    lines = stage(replaced.mark(lines), lines)
     if collapse:
-        lines = stage(gross.collapse(lines))
+        lines = stage(gross.collapse(lines), lines)
+    kept = lines
     if changes is not None:
         lines = edits.apply(lines, changes)
     if period is None:
@@ -39,7 +51,8 @@ def run(raw: DataFrame, providers: DataFrame, *, collapse: bool = False, period:
         checked = validate.validate(lines, F.col("periodo"))
     else:
         checked = validate.validate(lines.withColumn("periodo", F.lit(period).cast("long")), F.lit(period))
-    return Batch(who, validate.final_state(duplicates.mark(stage(checked))), learned)
+    checked = stage(checked, kept)
+    return Batch(who, validate.final_state(duplicates.mark(checked)), learned, counts, (who, learned, counts, checked))
 
 
 def quarter_summary(lines: DataFrame, period: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -10,12 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import json_text
 from ..messages import UNREADABLE
+from ..stages import row_numbers
 
 # The extensions that are invoices, and words of a refusal to go on without payment.
 EXTENSIONS = ("pdf", "jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff")
-BILLING_WORDS = ("billing", "credit", "quota exceeded", "payment")
-TRANSIENT_WORDS = ("503", "429", "unavailable", "overloaded")
+BILLING_WORDS = ("credit", "billing", "depleted")
+TRANSIENT_WORDS = ("503", "429", "unavailable")
+#: Longest side in pixels, and JPEG quality, that an image is brought down to before it is sent.
+MAX_SIDE, QUALITY = 2000, 80
 Client = Callable[[str, bytes], str]
 
 
@@ -39,18 +42,19 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_seq, origen, content) of the invoice files of a folder; doc_seq follows the paths' order."""
     files = wanted(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
     named = files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("origen"), "content")
-    order = named.select("path").repartitionByRange("path").sortWithinPartitions("path").withColumn("doc_seq", F.monotonically_increasing_id())
+    order = row_numbers(files.select("path"), ["path"], "doc_seq")
     return named.join(order, "path").select("doc_seq", "origen", "content")
 
 
-def pages(files: DataFrame, render: Callable[[bytes, int], list[bytes]], dpi: int = 150) -> DataFrame:
-    """One row per page: PDFs through ``render`` (content, dpi) -> images, other files as they are, page 1."""
+def pages(files: DataFrame, render: Callable[[bytes, int], list[bytes]], dpi: int = 150, normalise: Callable[[bytes, int, int], bytes] | None = None) -> DataFrame:
+    """One row per page: PDFs through ``render`` (content, dpi) -> images; other files are page 1, through ``normalise`` (image, MAX_SIDE, QUALITY)
+    -> a JPEG in RGB or grey, no side longer, where it is given. Both are plug-ins: no imaging library is at hand here."""
     schema = pa.schema([("doc_seq", pa.int64()), ("origen", pa.string()), ("pagina", pa.int32()), ("imagen", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for seq, name, content in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_seq", "origen", "content"))):
-                images = render(content, dpi) if name.lower().endswith(".pdf") else [content]
+                images = render(content, dpi) if name.lower().endswith(".pdf") else [normalise(content, MAX_SIDE, QUALITY) if normalise else content]
                 for k, image in enumerate(images, 1):
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((seq, name, k, image), schema.types)], schema=schema)
 
@@ -77,9 +81,6 @@ def _ask(client: Client, models: tuple[str, ...], image: bytes, tries: int, wait
     raise last or ValueError("no models")
 
 
-_JSON = re.compile(r"\{.*\}", re.S)
-
-
 def extract(images: DataFrame, client: Client, models: tuple[str, ...], *, asks: int = 3, tries: int = 3, wait: float = 2.0) -> DataFrame:
     """(doc_seq, origen, pagina, texto, _error): the client's JSON text of each page. A page that stays unreadable becomes a
     placeholder with its error, and the batch goes on. Write the result to a table before using it: a task that is run again asks again."""
@@ -93,10 +94,10 @@ def extract(images: DataFrame, client: Client, models: tuple[str, ...], *, asks:
                 try:
                     for _ in range(asks):
                         text = _ask(client, models, image, tries, wait)
-                        if _JSON.search(text or ""):
+                        if json_text.readable(text):
                             break
                     else:
-                        text, error = None, f"no JSON on page {page}"
+                        text, error = None, f"no JSON on page {page}: {(text or '')[:200]}"
                 except NoCredit:
                     raise
                 except Exception as e:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +19,32 @@ def parse(texts: DataFrame) -> DataFrame:
     return rec.select("doc_seq", "origen", "pagina", "_r.*", F.col("_json").isNotNull().alias("legible"))
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(clave, texto) of a JSON object keyed by file#page; empty where there is none."""
+def _fs(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _fs(spark, path)
+    return fs.exists(jpath) and fs.getFileStatus(jpath).isDirectory()
+
+
+def _object(spark: SparkSession, path: str, value: str, columns: str) -> DataFrame:
+    """(clave, v) of a file that holds one JSON object; no rows where it is missing or broken."""
     try:
         whole = spark.read.text(path, wholetext=True)
     except AnalysisException:
-        return spark.createDataFrame([], "clave string, texto string")
-    entries = F.from_json("value", "map<string,string>")
-    return whole.select(F.explode(entries).alias("clave", "texto"))
+        return spark.createDataFrame([], columns)
+    return whole.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("clave", "v"))
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(clave, texto), keyed by file#page: a folder that ``append_cache`` wrote, or a file with one JSON object; no rows where there is
+    none. Of several texts of a key the greatest is taken."""
+    if _is_folder(spark, path):
+        lines = spark.read.schema("clave string, texto string").json(path)
+        return lines.filter("clave is not null").groupBy("clave").agg(F.max("texto").alias("texto"))
+    return _object(spark, path, "string", "clave string, v string").select("clave", F.col("v").alias("texto"))
 
 
 def uncached(pages: DataFrame, cache: DataFrame) -> DataFrame:
@@ -37,27 +57,47 @@ def append_cache(records: DataFrame, path: str) -> None:
     records.select("clave", "texto").write.mode("append").json(path)
 
 
-def read_memory(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A memory table; empty where there is none yet or it can't be read."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The whole versions of a memory, latest first. Spark writes _SUCCESS last, so one without it isn't whole."""
+    fs, jpath = _fs(spark, path)
+    if not fs.exists(jpath):
+        return []
+    names = sorted((f.getPath().getName() for f in fs.listStatus(jpath) if f.isDirectory() and f.getPath().getName().startswith("v=")), reverse=True)
+    return [n for n in names if fs.exists(_fs(spark, f"{path.rstrip('/')}/{n}/_SUCCESS")[1])]
 
 
-def write_memory(memory: DataFrame, path: str) -> None:
-    """Replaces a memory. The new version is written aside and read back first: it may be derived from the old one."""
+def read_memory(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The latest version of a memory that can be read; empty where there is none."""
+    for name in _versions(spark, path):
+        held = f"{path.rstrip('/')}/{name}"
+        try:
+            spark.read.parquet(held).limit(1).count()
+        except Exception as e:  # a file that is no Parquet shows in several kinds of errors
+            warnings.warn(f"{held} can't be read: {e}", stacklevel=2)
+            continue
+        return spark.read.schema(schema).parquet(held)
+    return spark.createDataFrame([], schema)
+
+
+def write_memory(memory: DataFrame, path: str, keep: int = 2) -> None:
+    """A new version of a memory, which may be derived from the one before. Readers see it once it is whole; a writer that fails leaves the
+    one before in place, and of two at once the second fails. ``keep`` versions stay for readers that have begun."""
     spark = memory.sparkSession
-    aside = f"{path.rstrip('/')}.next"
-    memory.write.mode("overwrite").parquet(aside)
-    spark.read.schema(memory.schema).parquet(aside).write.mode("overwrite").parquet(path)
+    fs, jpath = _fs(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(jpath)] if fs.exists(jpath) else []
+    number = max((int(n[2:]) for n in names if n.startswith("v=")), default=0) + 1
+    memory.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/v={number:09d}")
+    for name in _versions(spark, path)[keep:]:
+        fs.delete(_fs(spark, f"{path.rstrip('/')}/{name}")[1], True)
 
 
 def read_provider_json(spark: SparkSession, path: str) -> DataFrame:
     """A memory kept as one JSON object {clave: {nif, nombre, manual}}; empty where it is missing or broken."""
-    try:
-        whole = spark.read.text(path, wholetext=True)
-    except AnalysisException:
-        return spark.createDataFrame([], "clave string, nif string, nombre string, manual boolean")
-    held = whole.select(F.explode(F.from_json("value", "map<string,struct<nif:string,nombre:string,manual:boolean>>")).alias("clave", "v"))
+    held = _object(spark, path, "struct<nif:string,nombre:string,manual:boolean>", "clave string, v struct<nif:string,nombre:string,manual:boolean>")
     return held.select("clave", "v.nif", "v.nombre", F.coalesce("v.manual", F.lit(False)).alias("manual"))
+
+
+def read_client_json(spark: SparkSession, path: str) -> DataFrame:
+    """A memory kept as one JSON object {nif: {recargo_equivalencia, nombre}}; empty where it is missing or broken."""
+    held = _object(spark, path, "struct<recargo_equivalencia:boolean,nombre:string>", "clave string, v struct<recargo_equivalencia:boolean,nombre:string>")
+    return held.select(F.col("clave").alias("nif"), F.coalesce("v.recargo_equivalencia", F.lit(False)).alias("recargo_equivalencia"), F.coalesce("v.nombre", F.lit("")).alias("nombre"))

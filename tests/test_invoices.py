@@ -4,10 +4,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from invoicelake.functions import json_text
 from invoicelake.functions.dates import period
 from invoicelake.operators import build, client, duplicates, edits, fill, grid, gross, memory, periods, replaced, rules, summary, validate
 from invoicelake.plans import batch, catalog
-from invoicelake.plans.stages import stage
+from invoicelake.stages import stage
 from invoicelake.schema import CLIENT_MEMORY, PROVIDER_MEMORY
 from invoicelake.sources import files, layout, records, xlsx
 from invoicelake.streaming import learning
@@ -149,6 +150,7 @@ def test_duplicates_and_states(spark):
     got = rows(validate.final_state(df))
     assert [r["dup_doc"] for r in got] == [None, 0, None, None, None, None] and [r["estado"] for r in got[:4]] == ["ok", "error", "ok", "ok"]
     numbered = summary.numbered(validate.final_state(df)).select("fila", "estado")
+    assert summary.in_state(numbered, "error").count() == 3 and summary.in_state(numbered).count() == 6
     assert summary.next_incident(numbered, 1).first()["fila"] == 4 and summary.next_incident(numbered, 5).first()["fila"] == 1
 
 
@@ -165,6 +167,8 @@ def test_order_and_partitions_do_not_matter(spark):
 
 def test_edits(spark):
     df = built(spark, record(), record(num="F-2"))
+    twice = spark.createDataFrame([(0, 0, "nif", "B2", 2), (0, 0, "nif", "A9", 3), (0, 0, "nif", "Z1", 1)], "doc_seq long, line_no int, campo string, valor string, orden int")
+    assert rows(edits.apply(df, twice))[0]["nif"] == "A9"
     typed = spark.createDataFrame([(0, 0, "base_iva", "1.234,50 €"), (1, 0, "tipo", "venta"), (1, 0, "nombre", "")], "doc_seq long, line_no int, campo string, valor string")
     got = rows(edits.apply(df, typed))
     assert (got[0]["base_iva"], got[1]["tipo"], got[1]["nombre"], got[1]["cuenta"]) == (1234.5, "venta", "", "600")
@@ -205,11 +209,33 @@ def test_files_and_extraction(spark, tmp_path):
             raise RuntimeError("503 unavailable")
         return json.dumps({"num_factura": image.decode()})
 
+    assert {r["imagen"] for r in files.pages(docs, lambda content, dpi: [], normalise=lambda image, side, quality: b"%d %d " % (side, quality) + image).collect()} == {b"2000 80 b.jpg", b"2000 80 d.png"}
+    assert [r["origen"] for r in docs.orderBy("doc_seq").collect()] == ["a.PDF", "b.jpg", "d.png"]
     got = records.parse(files.extract(pages, ask, ("first", "second"), wait=0.0).drop("_error")).collect()
     assert sorted(str(r["num_factura"]) for r in got) == ["None", "a.PDF1", "a.PDF2", "b.jpg"] and any(r["emisor_nombre"] == "(NO SE PUDO LEER)" for r in got)
     assert files.import_arguments(["x", "--import", "a", "b"]) == ["a", "b"] and files.local_paths(["file:///x/a.PDF", "http://x/a.pdf", "/y/b.doc"]) == ["/x/a.PDF"]
 
 
+@pytest.mark.parametrize("text,good", [('{"a": 1}', True), ("```json\n{\"a\": [1,],}\n```", True), ("{broken}", False), ("", False), (None, False), ("Here: {\"a\": 1, }", True), ("null", False)])
+def test_readable(spark, text, good):
+    assert json_text.readable(text) == good == (spark.createDataFrame([(text,)], "t string").select(json_text.repaired(F.col("t")).contains("{")).first()[0] or False)
+
+
+def test_asking_again(spark):
+    asked = []
+
+    def ask(model, image):
+        asked.append(model)
+        raise {"a": RuntimeError("429 quota exceeded"), "b": RuntimeError("prepaid balance depleted")}[model]
+
+    with pytest.raises(files.NoCredit):
+        files._ask(ask, ("a", "b"), b"", 3, 0.0)
+    assert asked == ["a", "a", "a", "b"]
+    page = spark.createDataFrame([(0, "f", 1, b"x")], "doc_seq long, origen string, pagina int, imagen binary")
+    got = files.extract(page, lambda model, image: "{broken}", ("a",), wait=0.0).first()
+    assert "(NO SE PUDO LEER)" in got["texto"] and "{broken}" in got["_error"]
+
+
 def test_stores(spark, tmp_path):
     root = f"file://{tmp_path}"
     assert records.read_memory(spark, f"{root}/none", PROVIDER_MEMORY).count() == 0 and records.read_cache(spark, f"{root}/none").count() == 0
@@ -222,6 +248,31 @@ def test_stores(spark, tmp_path):
     cache = records.read_cache(spark, f"{root}/c.json")
     pages = spark.createDataFrame([("f.pdf", 1), ("f.pdf", 2)], "origen string, pagina int")
     assert [r["pagina"] for r in records.uncached(pages, cache).collect()] == [2]
+    for page in (1, 2):
+        records.append_cache(pages.filter(f"pagina = {page}").select(F.concat_ws("#", "origen", "pagina").alias("clave"), F.lit('{"total": "7"}').alias("texto")), f"{root}/cache")
+    back = records.read_cache(spark, f"{root}/cache")
+    assert {tuple(r) for r in back.collect()} == {("f.pdf#1", '{"total": "7"}'), ("f.pdf#2", '{"total": "7"}')} and records.uncached(pages, back).count() == 0
+    (tmp_path / "k.json").write_text(json.dumps({"B1": {"recargo_equivalencia": True}, "B2": {"nombre": "DOS"}}))
+    assert sorted(map(tuple, records.read_client_json(spark, f"{root}/k.json").collect())) == [("B1", True, ""), ("B2", False, "DOS")]
+    (tmp_path / "bad.json").write_text("{")
+    assert records.read_client_json(spark, f"{root}/bad.json").count() == records.read_provider_json(spark, f"{root}/bad.json").count() == 0
+
+
+def test_memory_versions(spark, tmp_path):
+    root = f"file://{tmp_path}/m"
+    for k in range(4):
+        records.write_memory(providers(spark, (f"K{k}", "B86561412", "N", False)), root)
+    assert sorted(p.name for p in (tmp_path / "m").iterdir()) == ["v=000000003", "v=000000004"]
+    (tmp_path / "m" / "v=000000005").mkdir()  # a writer that failed
+    assert records.read_memory(spark, root, PROVIDER_MEMORY).first()["clave"] == "K3"
+    records.write_memory(providers(spark, ("K5", "B86561412", "N", False)), root)
+    assert records.read_memory(spark, root, PROVIDER_MEMORY).first()["clave"] == "K5"
+    for part in (tmp_path / "m" / "v=000000006").glob("part-*"):
+        part.write_bytes(b"no parquet at all")
+    for crc in (tmp_path / "m" / "v=000000006").glob(".*.crc"):
+        crc.unlink()
+    with pytest.warns(UserWarning):
+        assert records.read_memory(spark, root, PROVIDER_MEMORY).first()["clave"] == "K3"
 
 
 def test_stream_learns_once(spark, tmp_path):
@@ -241,3 +292,42 @@ def test_catalog_has_a_check_for_each_query():
 def test_period_filter(spark):
     df = built(spark, record(), record(date="15/03/2026"), record(date="?"))
     assert periods.within(df, 20262).count() == 1 and summary.outside(df, 20262).first()[0] == 2 and df.select(period(F.col("fecha"))).count() == 3
+
+
+@pytest.mark.parametrize("adaptive", [True, False])
+def test_numbers_of_many_rows(spark, adaptive):
+    n = 300_000
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        df = spark.range(n, numPartitions=7).select((F.col("id") * 7919 % n).alias("doc_seq"), (F.col("id") % 3).cast("int").alias("line_no"), F.repeat(F.lit("x"), 20).alias("nombre"))
+        got = stage(summary.numbered(df))
+        assert got.count() == n and got.filter("fila = doc_seq").count() == n
+        assert summary.numbered(df).select("fila").distinct().count() == n
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled"), spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_common_keys(spark):
+    """A third of the rows without a key, a third of one number that a third replace."""
+    n = 300
+    recs = [record(num="" if k % 3 == 0 else "F-1" if k % 3 == 1 else f"N-{k}", sustituye_a="f1" if k % 3 == 2 else "", nif=None if k % 3 == 0 else "B86561412", lines=[] if k % 3 == 0 else None) for k in range(n)]
+    df = built(spark, *recs)
+    marked = rows(duplicates.mark(df))
+    assert len(marked) == n and sum(r["dup_doc"] is not None for r in marked) == n // 3 - 1
+    got = rows(replaced.mark(df))
+    assert len(got) == n and all((r["sustituida_por"] == f"N-{n - 1}") == (r["doc_seq"] % 3 == 1) for r in got) and got[1]["aviso"].count("SUSTITUIDA") == n // 3
+    assert replaced.counted(df).first()[0] == (n // 3) ** 2
+
+
+def test_counts_and_closing(spark, tmp_path):
+    held = providers(spark, ("ANTONIO CANIZARES", "B30048276", "N", True))
+    recs = [record(), record(num="F-2", nif=None), record(num="F-3", nif=None, name="Antonio Cañizares"), record(num="F-4", sustituye_a="F-1")]
+    done = batch.run(raw(spark, *recs), held)
+    assert done.counts.first().asDict() == {"copiadas": 1, "dudosas": 0, "de_memoria": 1, "distintas": 0, "aprendidas": 3, "marcadas": 1}
+    assert done.lines.count() == 4 and summary.report(done.lines).first()["texto"].endswith("400.00")
+    done.close()
+    with pytest.raises(Exception, match="(?i)path|exist"):
+        done.lines.count()
+    names = spark.createDataFrame([("/a/b.pdf",), ("/a/a.pdf",), ("/c.pdf",), ("/d.pdf",)], "path string")
+    assert summary.batch_label(names).first()[0] == "4 archivos: a.pdf, b.pdf, c.pdf…" and summary.batch_label(names.limit(1)).first()[0].startswith("1 archivo: ")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,16 +14,19 @@ from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 
-#: Rows of one Arrow batch handed to a Python worker: bounds its memory when texts are long.
+#: Rows that Python code takes at once. Spark bounds an Arrow batch by spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set.
 BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a folder of this machine serves a session of
+    one machine; on a cluster that is an error, since executors would each write to their own disks."""
     global _own_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="invoicelake-")
     return _own_dir
@@ -84,13 +88,6 @@ def worker_cache(key: str, make: Callable[[], object]):
     return got
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hands texts to Python workers in batches of ``BATCH_ROWS``, not of the default 10,000 rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def write_blobs(df: DataFrame, path: str, column: str, compression: str = "none") -> None:
     """Writes each row's bytes as a file of its own, followed by one line feed, in the order of the partitions.
 
@@ -110,10 +107,16 @@ def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def batch_columns(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[list]]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows``; empty ones are left out."""
     for b in batches:
-        if b.num_rows:
-            yield [b.column(b.schema.get_field_index(n)).to_pylist() for n in names]
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+def batch_columns(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[list]]:
+    for b in slices(batches):
+        yield [b.column(b.schema.get_field_index(n)).to_pylist() for n in names]
 
 
 def as_bytes(c: Column) -> Column:
@@ -121,6 +124,27 @@ def as_bytes(c: Column) -> Column:
     return F.coalesce(c.cast("binary"), F.lit(b"").cast("binary"))
 
 
+#: Rows of one key that may meet in a task as they are; and the most keys with more of them, which bounds the list that is broadcast.
+HOT_ROWS = 200
+MOST_HOT_KEYS = 100_000
+
+
+def hot_keys(counts: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """Of counts (keys, n) that add up to at most ``total``: the keys that need more tasks than one, with their number ``_ways``. At most
+    MOST_HOT_KEYS."""
+    least = max(HOT_ROWS, -(-total // MOST_HOT_KEYS))
+    return counts.filter(F.col(n) > least).select(*keys, F.expr(f"cast((`{n}` + {least - 1}) div {least} as int)").alias("_ways"))
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame, spread: Column, how: str = "inner") -> DataFrame:
+    """rows joined with table, in which each key is there once or a few times. Rows of hot keys are dealt out by ``spread``, the table's rows of them
+    are repeated once for each way; so no task gets a whole hot key, and nothing but the list of hot keys is broadcast."""
+    few = F.broadcast(hot)
+    dealt = rows.join(few, keys, "left").withColumn("_way", F.pmod(spread, F.coalesce("_ways", F.lit(1))).cast("int")).drop("_ways")
+    copied = table.join(few, keys, "left").withColumn("_way", F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1))).drop("_ways")
+    return dealt.join(copied, [*keys, "_way"], how).drop("_way")
+
+
 def n_shuffle(spark: SparkSession, df: DataFrame | None = None) -> int:
     """Partitions for a shuffle of all rows: the session's number, or as many as the input has if those are more."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps on a table of links.
 
 Each step is one grouped minimum and one join on the node, and is written to the shared folder; the number of steps
-grows with the logarithm of a component's diameter. Nothing is collected but a count and a checksum.
+grows with the logarithm of a component's diameter. After a few steps a component's least node holds all its links: links of such
+nodes are dealt out over many tasks. Nothing is collected but a count and a checksum.
 """
 
 from __future__ import annotations
@@ -9,20 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, hot_keys, salted_join
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """edges (u, v), u > v. Large: the greater neighbours of each node link to the least of its closed neighbourhood.
     Small: its lesser neighbours and itself do."""
+    near = edges.select("u", "v")
     if large:
-        near = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = near.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        near = near.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hot = hot_keys(least, ["u"], 2 * total)
+    least = least.select("u", F.least("m", "u").alias("m") if large else "m")
+    both = salted_join(near, least, ["u"], hot, F.xxhash64("v"))
+    if large:
+        out = both.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        lesser = edges.join(least, "u")
-        out = lesser.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        out = both.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter("u <> v").distinct()
 
 
@@ -38,8 +42,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     )
     mark = _print_of(edges)
     while mark[0]:
-        large = scratch.store(_star(edges, True))
-        small = scratch.store(_star(large, False))
+        large = scratch.store(_star(edges, True, mark[0]))
+        small = scratch.store(_star(large, False, 2 * mark[0]))
         scratch.drop(edges, large)
         edges, before = small, mark
         mark = _print_of(edges)

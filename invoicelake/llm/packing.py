@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, small_batches
+from .common import Scratch, as_bytes, slices
 from .tokens import tokenizer
 
 #: Input partitions whose leftovers are merged in one task; with the window bound, it bounds a task's rows.
@@ -59,7 +59,7 @@ class Windows:
 def _place_all(path: str, special: bool, end_id: int, seq_len: int, open_windows: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk, part, windows = tokenizer(path, special), TaskContext.get().partitionId(), Windows(seq_len, open_windows)
-        for b in batches:
+        for b in slices(batches):
             names = iter(b.column(0).to_pylist())
             for ids, bounds in tk.many(b.column(1), end_id):
                 rows, raw, at = [], memoryview(ids.tobytes()), bounds.tolist()
@@ -95,7 +95,6 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (little-endian
     unsigned 32-bit) if ``with_ids``. ``special``: literals of added tokens become their ids, as the library has it."""
     spark = docs.sparkSession
-    small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(F.col(text_col)).alias("utf8"))
     placed = Scratch(spark, "pack").store(source.mapInArrow(_place_all(tokenizer_path, special, end_id, seq_len, open_windows, with_ids), _SCHEMA))
     left = placed.filter("kind = 1").select("part", "win", "length").withColumn("part_group", F.expr(f"part div {MERGED_PARTITIONS}"))

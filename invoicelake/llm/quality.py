@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_columns, small_batches
+from .common import as_bytes, batch_columns, slices
 from .shingles import window_hashes, word_hashes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_exclaims", "n_stutters")
@@ -82,7 +82,7 @@ def measure(utf8: bytes) -> tuple[int, ...]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         rows = [measure(x) for (texts,) in batch_columns(iter([b]), "utf8") for x in texts]
         cols = zip(*rows) if rows else [[] for _ in MEASURES]
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *MEASURES])
@@ -90,7 +90,6 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the measurements, and ``failures``: the bits of the rules that a document fails."""
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), as_bytes(F.col(text_col)).alias("utf8"))
     kind = source.schema["doc_id"].dataType.simpleString()
     measured = source.mapInArrow(_measure, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))

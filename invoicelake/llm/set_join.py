@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, batch_columns, n_shuffle, small_batches
+from .common import MOST_HOT_KEYS, Scratch, as_bytes, batch_columns, hot_keys, n_shuffle, salted_join
 from .components import components
 from .grouping import groups, sorted_groups
 from .partenum import folded, signatures, sketch
@@ -122,10 +122,8 @@ def _block_pairs(percent: int):
             words = min(map(len, raw)) // 8
             sk = np.array([folded(np.frombuffer(x, "<u8"), words) for x in raw])
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            inner = g.column(g.schema.get_field_index("bi"))[0] == g.column(g.schema.get_field_index("bj"))[0]
-            for at, i in enumerate(left):
-                to = left[at + 1 :] if inner else right
-                to = to[comp[to] != comp[i]]
+            for i in left:
+                to = right[comp[right] != comp[i]]
                 if len(to):
                     bits = np.bitwise_count(sk[to] ^ sk[i]).sum(1, dtype=np.int64)
                     told.update((min(d, int(doc[i])), max(d, int(doc[i]))) for d in doc[to[_open_pairs(percent, np.minimum(n[to], n[i]), np.maximum(n[to], n[i]), bits)]].tolist())
@@ -141,50 +139,102 @@ def _block_pairs(percent: int):
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Links documents with 100 * |A and B| >= percent * |A or B| and returns doc_id, n_shingles, component_id for each."""
     spark = docs.sparkSession
-    small_batches(spark)
     work = Scratch(spark, "setjoin")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(F.col(text_col)).alias("utf8"))
 
     prints = work.store(source.mapInArrow(_fingerprints(size, percent), "doc_id long, n long, h1 long, h2 long, sketch binary, sigs array<long>"))
-    known, members = _members(prints, work)
+    total = prints.count()
+    known, members, reps = _members(prints, total, work)
     work.drop(prints)
     work.sweep()
     nodes = known.filter("doc_id = rep").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumnRenamed("doc_id", "doc")
 
-    first = members.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    first = first.join(nodes.toDF("a", "n_a", "sketch_a"), "a").join(nodes.toDF("b", "n_b", "sketch_b"), "b")
-    links = _checked(source, first.mapInArrow(_sift(percent), "a long, b long"), size, percent, work)
+    first = work.store(members.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
+    both = salted_join(first, nodes.toDF("a", "n_a", "sketch_a"), ["a"], _often(first, "a"), F.xxhash64("b")).join(nodes.toDF("b", "n_b", "sketch_b"), "b")
+    links = _checked(source, both.mapInArrow(_sift(percent), "a long, b long"), size, percent, work)
+    work.drop(first)
     work.sweep()
-    more = _checked(source, _further_pairs(members, nodes, components(links, work), percent), size, percent, work)
-    work.drop(members)
+    comp = components(links, work)
+    more = _checked(source, _further_pairs(members, nodes, comp, percent, work), size, percent, work)
+    work.drop(members, comp)
     final = components(links.unionByName(more), work)
     work.sweep()
-    out = known.join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    out = salted_join(known, final.withColumnRenamed("node", "rep"), ["rep"], hot_keys(reps, ["rep"], total), F.xxhash64("doc_id"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def _members(prints: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Documents with their class (doc_id, n, sketch, rep); members (sig, doc, pivot, c) of the buckets of several classes."""
-    classes = prints.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    known = work.store(prints.join(classes, ["h1", "h2"], "left").select("doc_id", "n", "sketch", "rep"))
-    shared = prints.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")).selectExpr("sig", "doc", "count(*) over (partition by sig) as c")
-    buckets = work.store(shared.filter("c > 1").select("sig", "doc"))
+def _often(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that more rows have than one task should get. ``rows`` are stored."""
+    return hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), [key], rows.count())
+
+
+#: Rows with one signature that a task of ``_hot_signatures`` must see to name it; others have fewer than that in each of its tasks.
+SEEN = 8
+
+
+def _hot_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush() -> pa.RecordBatch:
+        every, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
+        often = counts >= SEEN
+        return pa.RecordBatch.from_arrays([pa.array(every[often], pa.int64()), pa.array(counts[often], pa.int64())], names=["sig", "n"])
+
+    held: list[np.ndarray] = []
+    for b in batches:
+        held.append(b.column(0).flatten().to_numpy(zero_copy_only=False))
+        if sum(map(len, held)) > 8 << 20:
+            yield flush()
+            held = []
+    yield flush()
+
+
+def _members(prints: DataFrame, total: int, work: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their class (doc_id, n, sketch, rep); members (sig, doc, pivot, c) of the buckets of several classes; how many
+    documents each class has (rep, n).
+
+    A signature with many rows would be one task's window: such signatures are dealt out, and their counts and least
+    members are summed up by partial aggregates.
+    """
+    classes = work.store(prints.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    alone = F.col("n") > 0  # texts without words have one fingerprint
+    usable = prints.filter(alone & F.col("doc_id").isNotNull()).select("doc_id", "n", "sketch", "h1", "h2")
+    hot = hot_keys(classes, ["h1", "h2"], total, "copies")
+    found = salted_join(usable, classes.drop("copies"), ["h1", "h2"], hot, F.xxhash64("doc_id")).select("doc_id", "n", "sketch", "rep")
+    rest = prints.filter(~alone | F.col("doc_id").isNull()).select("doc_id", "n", "sketch", F.lit(None).cast("long").alias("rep"))
+    known = work.store(found.unionByName(rest))
+
+    seen = prints.filter("sigs is not null").select("sigs").mapInArrow(_hot_signatures, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n"))
+    common = work.store(seen.orderBy(F.desc("n"), "sig").limit(MOST_HOT_KEYS).select("sig"))  # any other has at most one part in MOST_HOT_KEYS of all rows
+    shared = prints.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
+    rare = shared.join(F.broadcast(common), "sig", "left_anti").selectExpr("sig", "doc", "count(*) over (partition by sig) as c").filter("c > 1").select("sig", "doc")
+    buckets = work.store(rare.unionByName(shared.join(F.broadcast(common), "sig")))
     copies = known.filter("doc_id <> rep").select(F.col("doc_id").alias("doc"), "rep").distinct()
-    members = buckets.join(copies, "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct()
-    members = members.selectExpr("sig", "doc", "min(doc) over (partition by sig) as pivot", "count(*) over (partition by sig) as c")
-    members = work.store(members.filter("c > 1"))
-    work.drop(buckets)
-    return known, members
-
-
-def _further_pairs(members: DataFrame, nodes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Open pairs of different components in one bucket, but for those with the bucket's pivot, which were checked."""
-    rest = members.filter("c > 2 and doc <> pivot").select("sig", "doc").join(nodes, "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
-    rest = rest.select("sig", "doc", F.coalesce("component", "doc").alias("comp"), "n", "sketch")
-    counts = rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("sig", F.expr(f"cast((m + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks"))
-    rest = rest.join(counts, "sig").withColumn("own", F.expr("cast(pmod(xxhash64(doc), blocks) as int)"))
-    dealt = rest.selectExpr("sig", "doc", "comp", "n", "sketch", "own", "explode(sequence(0, blocks - 1)) as other")
-    dealt = dealt.selectExpr("sig", "doc", "comp", "n", "sketch", "least(own, other) as bi", "greatest(own, other) as bj", "if(own <= other, 0, 1) as side")
+    members = work.store(buckets.join(copies, "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct())
+    rare = members.join(F.broadcast(common), "sig", "left_anti").selectExpr("sig", "doc", "min(doc) over (partition by sig) as pivot", "count(*) over (partition by sig) as c")
+    often = members.join(F.broadcast(common), "sig")
+    sums = often.groupBy("sig").agg(F.min("doc").alias("pivot"), F.count("*").alias("c"))
+    out = work.store(rare.unionByName(often.join(F.broadcast(sums), "sig").select("sig", "doc", "pivot", "c")).filter("c > 1"))
+    work.drop(buckets, members, common)
+    return known, out, classes.select("rep", F.col("copies").alias("n"))
+
+
+def _further_pairs(members: DataFrame, nodes: DataFrame, comp: DataFrame, percent: int, work: Scratch) -> DataFrame:
+    """Open pairs of different components in one bucket, but for those with the bucket's pivot, which were checked.
+
+    A pair of different components has a member outside the bucket's largest component. Blocks of such members meet blocks of all, so
+    a large component with a few others in its bucket is sent once for each block of the others, not of its own.
+    """
+    many = members.filter("c > 2 and doc <> pivot").select("sig", "doc", "c").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
+    many = work.store(many.select("sig", "doc", F.coalesce("component", "doc").alias("comp"), "c"))
+    sizes = many.groupBy("sig", "comp").agg(F.count("*").alias("m"))
+    blocks = lambda n: F.expr(f"cast(({n} + {BLOCK - 1}) div {BLOCK} as int)")
+    open_ = sizes.groupBy("sig").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("top"), F.sum("m").alias("every")).filter("every > top")
+    open_ = open_.select("sig", "main", blocks("(every - top)").alias("b_few"), blocks("every").alias("b_all"))
+    hot = hot_keys(many.groupBy("sig").agg(F.max("c").alias("n")), ["sig"], many.count())
+    rest = salted_join(many.drop("c"), open_, ["sig"], hot, F.xxhash64("doc"))
+    own = lambda n: F.expr(f"cast(pmod(xxhash64(doc), {n}) as int)")
+    few = rest.filter("comp <> main").select("sig", "doc", "comp", F.lit(0).alias("side"), own("b_few").alias("bi"), F.explode(F.sequence(F.lit(0), F.col("b_all") - 1)).alias("bj"))
+    every = rest.select("sig", "doc", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("b_few") - 1)).alias("bi"), own("b_all").alias("bj"))
+    dealt = few.unionByName(every).join(nodes, "doc")
     return sorted_groups(dealt, ["sig", "bi", "bj"], n_shuffle(members.sparkSession)).mapInArrow(_block_pairs(percent), "a long, b long").distinct()
 
 
@@ -195,8 +245,10 @@ def _checked(source: DataFrame, pairs: DataFrame, size: int, percent: int, work:
     few = wanted.count() <= BROADCAST_IDS
     texts = source.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
     sets = work.store(texts.mapInArrow(_sets(size), "doc long, set binary").dropDuplicates(["doc"]))
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    links = work.store(both.mapInArrow(_exact(percent), "a long, b long"))
+    both = pairs
+    for one, other in ("ab", "ba"):
+        both = salted_join(both, sets.toDF(one, f"set_{one}"), [one], _often(pairs, one), F.xxhash64(other))
+    links = work.store(both.select("a", "b", "set_a", "set_b").mapInArrow(_exact(percent), "a long, b long"))
     work.drop(pairs, wanted, sets)
     return links
 
@@ -204,6 +256,6 @@ def _checked(source: DataFrame, pairs: DataFrame, size: int, percent: int, work:
 def without(docs: DataFrame, ids: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, all columns, whose id isn't in ``ids`` (doc_id). A list of at most BROADCAST_IDS is sent to the rows, a longer one
     is joined by a shuffle."""
-    gone = Scratch(docs.sparkSession, "gone").store(ids.filter("doc_id is not null").distinct().select(F.col("doc_id").alias("_gone")))
+    gone = Scratch(docs.sparkSession, "gone").store(ids.filter("doc_id is not null").distinct().select(F.col("doc_id").alias(id_col)))
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, batch_columns, n_shuffle, read_blobs, small_batches, write_blobs
+from .common import Scratch, as_bytes, batch_columns, n_shuffle, read_blobs, slices, write_blobs
 from .tokens import tokenizer
 
 BLOCK = 4096
@@ -164,7 +164,7 @@ def _shards(path: str, special: bool, end_id: int, shard_ids: int):
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([encode_shard(part, shard, first, names, held)], pa.binary())], names=["shard"])
 
-        for b in batches:
+        for b in slices(batches):
             doc_ids = iter(b.column(0).to_pylist())
             for ids, bounds in tk.many(b.column(1), end_id):
                 for x in np.split(ids, bounds[1:-1]):
@@ -184,7 +184,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col
     """Writes the ids of all documents below ``path``, in ascending order of doc_id, in shards of about ``shard_ids``. ``special``:
     literals of added tokens become their ids, as the library has it."""
     spark = docs.sparkSession
-    small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(F.col(text_col)).alias("utf8"))
     ordered = source.repartitionByRange(n_shuffle(spark, source), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
     write_blobs(ordered.mapInArrow(_shards(tokenizer_path, special, end_id, shard_ids), "shard binary"), path, "shard")
@@ -211,7 +210,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     A part's own running count is in its shards; what stands before the part comes from one sum per part, whose number is that
     of the writing tasks.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     docs = Scratch(spark, "tokens").store(read_blobs(spark, path).select("content").mapInArrow(_read, _READ))
     parts = docs.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
     before = parts.selectExpr("part", "sum(ids) over (order by part rows between unbounded preceding and 1 preceding) as before")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Scratch, as_bytes, batch_columns, small_batches, worker_cache
+from .common import Scratch, as_bytes, batch_columns, slices, worker_cache
 from .shingles import mix, window_hashes, word_hashes
 
 # What a sign may stand for.
@@ -301,7 +301,7 @@ class WordScores(dict):
 def _score_all(key: str, shared, rate: float, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = worker_cache(key, lambda: WordScores(CharModel(shared.value[0]), shared.value[1]))
-        for b in batches:  # the text comes last, the score takes its place
+        for b in slices(batches):  # the text comes last, the score takes its place
             values = [scores.score(x, rate) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(values, pa.float64())], names=[*b.schema.names[:-1], out])
 
@@ -317,7 +317,6 @@ def held_out(doc_id: Column | str) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", class_rows: int = 10_000) -> tuple[dict[str, int], dict[str, float], float]:
     """(trigram counts, evidence of features, share of toxic rows). Both tables are bounded: by the alphabet, by MODEL_FEATURES."""
     spark = docs.sparkSession
-    small_batches(spark)
     work = Scratch(spark, "toxicity")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(F.col(text_col)).alias("utf8"))
     grams = source.select("utf8").mapInArrow(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))

@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from invoicelake.llm import set_join, vector_join
-from invoicelake.llm.common import Scratch
+from invoicelake.llm.common import Scratch, hot_keys, salted_join
 from invoicelake.llm.components import components
 from invoicelake.llm.partenum import signatures, sketch, folded
 from invoicelake.llm.shingles import mix
@@ -84,6 +85,50 @@ def test_a_large_group_of_near_copies(spark):
     assert [got[k] for k in range(400)] == classes(400, linked)
 
 
+def test_hot_keys_are_dealt_out(spark):
+    rows = spark.range(5000).selectExpr("if(id % 3 = 0, 0, id) as k", "id as x")
+    table = spark.range(4000).selectExpr("id as k", "id * 2 as y")
+    hot = hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")), ["k"], 5000)
+    assert hot.collect() == [(0, 9)]
+    for how in ("inner", "left"):
+        got, want = (j.orderBy("x").collect() for j in (salted_join(rows, table, ["k"], hot, F.xxhash64("x"), how).select("k", "x", "y"), rows.join(table, "k", how).select("k", "x", "y")))
+        assert got == want
+    assert hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")), ["k"], 100_000_000).collect() == [(0, 2)]
+
+
+def test_components_of_a_hub(spark):
+    star = spark.range(1, 1500).selectExpr("id as a", "0L as b").union(spark.range(1, 1400).selectExpr("id as a", "id + 10000 as b"))
+    got = components(star, Scratch(spark, "t"))
+    assert got.count() == 1500 + 1399 and got.filter("component <> 0").count() == 0
+
+
+def test_exact_copies_null_ids_and_one_foreign_component(spark):
+    """A third of all rows is one text, a third near copies of another, with a few texts that share passages with them."""
+    r = random.Random(7)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(k, "one text that is here very many times over") for k in range(600)]
+    for k in range(600, 1200):
+        t = list(base)
+        t[r.randrange(80)] = f"z{k}"
+        rows.append((k, " ".join(t)))
+    rows += [(k, " ".join([*base[:75], *[f"y{k}_{j}" for j in range(12)]])) for k in range(1200, 1206)]
+    rows += [(None, "one text that is here very many times over")] * 300 + [(2000 + k, None) for k in range(300)]
+    got = set_join.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), size=4, percent=85).collect()
+    comp = {x["doc_id"]: x["component_id"] for x in got if x["doc_id"] is not None}
+    sets = {k: shingles(t, 4) for k, t in rows if k is not None and k < 1206 and k >= 600}
+    ids = sorted(sets)
+    linked = [(i, j) for i, a in enumerate(ids) for j, b in enumerate(ids[:i]) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    root = classes(len(ids), linked)
+    assert [comp[k] for k in ids] == [ids[root[i]] for i in range(len(ids))]
+    assert len(got) == len(rows) and all(comp[k] == 0 for k in range(600)) and all(comp[k] == k for k in range(2000, 2300))
+    assert sum(x["doc_id"] is None and x["component_id"] is None for x in got) == 300
+
+
+def test_without_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id long, _gone string")
+    assert {x["_gone"] for x in set_join.without(df, spark.createDataFrame([(2,), (None,)], "doc_id long")).collect()} == {"a", "c"}
+
+
 def test_join_of_nothing(nothing):
     assert set_join.near_duplicate_classes(nothing).count() == 0
 
@@ -118,3 +163,41 @@ def test_vectors_against_all_pairs(spark):
     assert got[None]["component_id"] is None and got[None]["n_links"] == 0
     assert vector_join.near_duplicate_vectors(df.limit(0)).count() == 0
     assert vector_join.recall(0.95, 26, 12, 2.0) > 0.99
+
+
+def vectors(spark, *vecs):
+    got = vector_join.near_duplicate_vectors(spark.createDataFrame([(k, v) for k, v in enumerate(vecs)], "vec_id long, embedding array<double>"))
+    return [tuple(r) for r in got.orderBy("vec_id").collect()]
+
+
+def test_vectors_of_any_finite_length(spark):
+    assert vectors(spark, [1e200, 1e200], [1.01e200, 1e200]) == [(0, 1, 0, True), (1, 1, 0, False)]
+    assert vectors(spark, [1e-200, 2e-200], [2e-200, 1e-200]) == [(0, 0, 0, True), (1, 0, 1, True)]
+    assert vectors(spark, [5e-324, 0.0], [1.7e308, 0.0], [0.0, 1.0]) == [(0, 1, 0, True), (1, 1, 0, False), (2, 0, 2, True)]
+
+
+def test_repeated_ids_of_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.01])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in vector_join.near_duplicate_vectors(df).collect())
+    assert got == [(1, 1, 1, True)] * 3 + [(2, 1, 1, False)]
+
+
+def test_links_close_to_the_threshold(spark):
+    """Pairs of cosine 0.95 to 0.97, a large group of near copies, and one vector many times over."""
+    rng = np.random.default_rng(4)
+    dim = 24
+    base = rng.standard_normal((900, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.standard_normal((900, dim))
+    away -= (away * base).sum(1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cos = rng.uniform(0.9505, 0.97, (900, 1))
+    near = base[:1] + 0.02 * rng.standard_normal((1300, dim))
+    x = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * away, near, np.repeat(base[1:2], 900, 0)])
+    got = {r["vec_id"]: r for r in vector_join.near_duplicate_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = u @ u.T >= 0.95
+    want = close.sum(1) - 1
+    links = np.array([got[k]["n_links"] for k in range(len(x))])
+    assert (links <= want).all()
+    assert links[:1800].sum() >= 0.99 * want[:1800].sum() and links.sum() >= 0.999 * want.sum()

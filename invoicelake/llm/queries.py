@@ -37,7 +37,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     store = compaction.ShardStore(spark, fresh_path(spark, "shards"))
-    store.append_each(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(8))), "arrival")
+    store.append_each(docs, F.pmod(F.xxhash64("doc_id"), F.lit(8)))
     return compaction.content_digest(store.read())
 
 

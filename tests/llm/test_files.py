@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from invoicelake.llm import compaction, warc
 from invoicelake.llm.common import fresh_path
@@ -47,15 +48,62 @@ def test_record_ids_are_stable():
     assert warc.record_id("u", "d", 1, "x") == warc.record_id("u", "d", 1, "x") != warc.record_id("u", "d", 2, "x")
 
 
+def test_repeated_pages_and_common_payloads(spark, monkeypatch):
+    """The same page_id with equal payloads: both are responses. A third of all pages is one payload; firsts joined by a shuffle."""
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", -1)
+    body = "y" * 200
+    rows = [(k, "u", body if k % 3 == 0 else f"{k} " * 60 if k % 3 == 1 else "") for k in range(900)] + [(2000, "v", "z" * 150)] * 2
+    path = fresh_path(spark, "w")
+    warc.convert(warc.arc_files(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)), path)
+    got = warc.read_warcs(spark, path).collect()
+    assert len(got) == 902 and all(r["record_type"] == "response" and r["refers_to"] is None for r in got if r["page_id"] == 2000)
+    assert all((r["record_type"], r["refers_to"]) == (("revisit", 0) if r["page_id"] % 3 == 0 and r["page_id"] else ("response", None)) for r in got if r["page_id"] < 900)
+
+
 def test_compaction_keeps_every_row(spark, docs):
     store = compaction.ShardStore(spark, fresh_path(spark, "s"), target_bytes=1 << 20, fan_in=3)
-    store.append_each(docs.selectExpr("*", "coalesce(doc_id, 0) % 5 as arrival"), "arrival")
-    assert sorted(map(str, store.read().select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    clashing = docs.withColumn("arrival", F.lit("own"))
+    store.append_each(clashing, F.coalesce("doc_id", F.lit(0)) % 5)
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, clashing.collect())) and store.read().columns == clashing.columns
     merged = store.manifest()
     assert merged["version"] > 5 and len(merged["shards"]) < 15 and not store.due()
-    store.append(docs.limit(5))
+    store.append(clashing.limit(5))
     assert store.read().count() == docs.count() + 5 and store.manifest()["version"] == merged["version"] + 1
     assert store.read(merged["version"]).count() == docs.count()
+    with pytest.raises(ValueError):
+        store.append(docs)
+
+
+def test_compaction_of_nothing(spark, nothing):
+    store = compaction.ShardStore(spark, fresh_path(spark, "s"))
+    with pytest.raises(ValueError):
+        store.read()
+    store.append_each(nothing, F.col("doc_id"))
+    assert store.read().count() == 0 and store.read().schema == nothing.schema and compaction.content_digest(store.read()).count() == 0
+
+
+def test_old_versions_can_be_read_until_they_are_dropped(spark, docs):
+    store = compaction.ShardStore(spark, fresh_path(spark, "s"), fan_in=2, retain=3)
+    store.append(docs.limit(3).coalesce(1))
+    store.append(docs.limit(4).coalesce(1))
+    before = store.read(2)  # a reader that has begun
+    assert store.compact() == 1 and before.count() == 7 and store.read().count() == 7
+    store.append(docs.limit(1).coalesce(1)), store.append(docs.limit(1).coalesce(1))
+    assert store.vacuum() == 2 and store._versions() == [5, 4, 3] and store.read(3).count() == 7
+
+
+def test_a_writer_that_dies_before_its_rename(spark, docs, monkeypatch):
+    root = fresh_path(spark, "s")
+    store = compaction.ShardStore(spark, root)
+    store.append(docs.limit(3))
+    with monkeypatch.context() as m:
+        m.setattr(store, "_publish", lambda version, body: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            store.append(docs.limit(2))
+    fs, torn = compaction._fs(spark, f"{root}/manifests/.torn")
+    fs.create(torn, False).close()
+    assert store.read().count() == 3 and store.append(docs.limit(1))["version"] == 2 and store.read().count() == 4
+    assert not store._publish(2, "{}") and store.read().count() == 4
 
 
 def test_only_one_writer_gets_a_version(spark, docs):
@@ -64,7 +112,8 @@ def test_only_one_writer_gets_a_version(spark, docs):
     one.append(docs.limit(3))
     stale = one.manifest()
     two.append(docs.limit(2))
-    two.manifest, real = (lambda version=None, first=[stale]: first.pop() if first else real(version)), two.manifest
+    real = two.manifest
+    two.manifest = lambda version=None, first=[stale]: first.pop() if first else real(version)
     two.append(docs.limit(1))  # begins from the stale version, loses it, and goes on from the newest
     assert sum(1 for _ in one.manifest()["shards"]) == len({s["path"] for s in one.manifest()["shards"]}) and one.read().count() == 6
     gone = {one.manifest()["shards"][0]["path"]}

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, batch_columns, read_blobs, small_batches, write_blobs
+from .common import Scratch, as_bytes, batch_columns, hot_keys, read_blobs, salted_join, write_blobs
 
 #: Bytes after which an archive ends, before compression.
 SEGMENT_BYTES = 4 << 20
@@ -142,7 +142,6 @@ def _blob_batches(blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
 
 def arc_files(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "20000101000000") -> DataFrame:
     """(content): ARC files of the rows of a table, of version 1 and 2 by turns of the partitions."""
-    small_batches(pages.sparkSession)
     source = pages.select(F.col(id_col).cast("long").alias("source_id"), F.col(url_col).cast("string").alias("url"), as_bytes(F.col(payload_col)).alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,17 +205,26 @@ def _warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _blob_batches(b[:-1] for b in _segments(records(), info))
 
 
+#: First records of repeated payloads are sent to every executor up to so many bytes; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
 def convert(arcs: DataFrame, path: str, *, least_bytes: int = 100) -> None:
     """ARC files, one per row of ``content`` -> gzipped WARC files below ``path``."""
     work = Scratch(arcs.sparkSession, "arc")
-    # an archive is a row, so few rows go into a batch
-    arcs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
     records = work.store(arcs.select("content").mapInArrow(_parse, _RECORD))
     same = records.filter(F.col("bytes") >= least_bytes).groupBy("digest")
     first = same.agg(F.min("source_id").alias("first_id"), F.count("*").alias("n"), F.min(F.when(F.col("source_id").isNotNull(), F.struct("source_id", "url", "date"))).alias("k"))
-    first = work.store(first.filter("n > 1 and first_id is not null").select("digest", "first_id", F.col("k.url").alias("first_url"), F.col("k.date").alias("first_date")))
-    written = records.join(first, "digest", "left")
-    written = written.select("source_id", "url", "ip", "date", "head", "payload", "digest", "bytes", *(F.when(F.col("bytes") >= least_bytes, F.col(c)).alias(c) for c in ("first_id", "first_url", "first_date")))
+    first = work.store(first.filter("n > 1 and first_id is not null").select("digest", "n", "first_id", F.col("k.url").alias("first_url"), F.col("k.date").alias("first_date")))
+    n, size = first.agg(F.count("*"), F.sum(F.coalesce(F.length("first_url"), F.lit(0)))).first()
+    firsts = first.drop("n")
+    large = records.filter(F.col("bytes") >= least_bytes)
+    if n * 200 + (size or 0) <= BROADCAST_BYTES:
+        large = large.join(F.broadcast(firsts), "digest", "left")
+    else:  # a payload that is everywhere is dealt out over many tasks
+        large = salted_join(large, firsts, ["digest"], hot_keys(first, ["digest"], first.agg(F.sum("n")).first()[0]), F.xxhash64("source_id", "url", "date"), "left")
+    small = records.filter(F.col("bytes") < least_bytes).withColumns({c: F.lit(None).cast(t) for c, t in (("first_id", "long"), ("first_url", "string"), ("first_date", "string"))})
+    written = large.unionByName(small).select("source_id", "url", "ip", "date", "head", "payload", "digest", "bytes", "first_id", "first_url", "first_date")
     write_blobs(written.mapInArrow(_warc, "content binary"), path, "content", "gzip")
     work.drop(records, first)
 
@@ -243,6 +251,5 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_warcs(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id of every record; digests of responses are checked."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string"
     return Scratch(spark, "warc-index").store(read_blobs(spark, path).select("content").mapInArrow(_read, schema))

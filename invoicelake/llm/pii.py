@@ -10,7 +10,9 @@ gives, the span of source characters it stands for:
 4. "[at]", "(dot)" and the like, and "at" ... "dot" between the parts of an address, become "@" and ".".
 
 Identifiers found in the result are mapped back to source spans. They are added where they overlap no plain match; plain matches
-stay as they are. Spelled digits and numerals may be mixed in a run; the kinds' own checks reject what is none of them. Texts without a sign of disguise skip the transducers. Each step is linear in the text's length.
+stay as they are. Spelled digits and numerals may be mixed in a run; the kinds' own checks reject what is none of them. A step runs only where
+its gate finds what each of its edits must hold; gates take in more than the steps, so they change no result. Each step is linear in the
+text's length.
 
 Null and empty texts: no spans. Null ids and repeated rows are kept as they are. An empty table gives no rows. Other
 columns are left out by ``find``, and kept by ``redact``.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_columns, small_batches
+from .common import batch_columns, slices
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -121,7 +123,8 @@ def _characters(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 _MIXED = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9OoIl](?:[ ().-]{0,2}[0-9OoIl]){6,}(?![A-Za-z0-9])")
-_MIXED_SIGN = re.compile(r"[0-9][ .-]?[OoIl]|[OoIl][ .-]?[0-9]")
+#: A run with both has a figure and a letter side by side, with the run's own separators between.
+_MIXED_SIGN = re.compile(r"[0-9][ ().-]{0,2}[OoIl]|[OoIl][ ().-]{0,2}[0-9]")
 _AS_DIGIT = {"O": "0", "o": "0", "I": "1", "l": "1"}
 
 
@@ -145,6 +148,7 @@ _MARKS = {"dot": ".", "point": ".", "punto": ".", "punkt": ".", "plus": "+", "da
 _REPEATS = {"double": 2, "triple": 3}
 _NUMBER_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _SPOKEN = "|".join([_NUMBER_WORD, *_MARKS, *_REPEATS])
+#: A run is edited for a spoken piece in it, and that has a neighbour.
 _SPELLED_SIGN = re.compile(rf"(?i)(?<!\w)(?:(?:{_SPOKEN})[ ,.()-]{{1,3}}(?:{_SPOKEN}|[0-9]+)|[0-9]+[ ,.()-]{{1,3}}(?:{_SPOKEN}))(?!\w)")
 _ITEM = rf"(?:{_NUMBER_WORD}|{'|'.join([*_MARKS, *_REPEATS])}|[0-9]+)"
 _SPELLED_RUN = re.compile(rf"(?i)(?<![\w@.+-])\+?(?:{_ITEM})(?:[ ,.()-]{{1,3}}(?:{_ITEM})(?!\w))+")
@@ -185,7 +189,10 @@ def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
 _BRACKETED = re.compile(r"(?i)\s{0,3}[\[({<]\s{0,2}(at|dot|@|\.|arroba|punto|punkt|point)\s{0,2}[\])}>]\s{0,3}")
 _WORDED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}(?: dot [A-Za-z0-9_%+-]{1,64}){0,4})([ _-]at[ _-]|@ ?| @ ?)((?:[A-Za-z0-9-]{1,63}(?: ?\. ?|[ _-]dot[ _-])){1,5}[A-Za-z]{2,24})(?![A-Za-z0-9])")
 _WORD_DOT = re.compile(r"(?i)[ _-]dot[ _-]| ?\. ?")
-_AT_SIGN = re.compile(r"(?i)[\[({<]\s{0,2}(?:at|dot|@|\.|arroba|punto|punkt|point)\s{0,2}[\])}>]|[ _-]dot[ _-]| @|@ ")
+_SPOKEN_DOT = re.compile(r"(?i)[ _-]dot[ _-]")
+_BRACKET_SIGN = re.compile(r"(?i)[\[({<]\s{0,2}(?:at|dot|@|\.|arroba|punto|punkt|point)\s{0,2}[\])}>]")
+#: A worded address has a spoken dot, or an at sign with a space beside it or beside a later dot of its domain.
+_WORDED_SIGN = re.compile(r"(?i)[ _-]dot[ _-]| @|@ |@[A-Za-z0-9.-]+(?: \.|\. )")
 
 
 def _bracketed(text: str) -> Iterator[tuple[int, int, str]]:
@@ -195,7 +202,7 @@ def _bracketed(text: str) -> Iterator[tuple[int, int, str]]:
 
 def _worded(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _WORDED.finditer(text):
-        if "dot" not in m[3].lower() and m[2].strip() != "@":
+        if m[2].strip() != "@" and not _SPOKEN_DOT.search(m[3]):
             continue  # "at" before a plain domain is ordinary prose
         for k in (1, 2, 3):
             if k == 2:
@@ -206,19 +213,19 @@ def _worded(text: str) -> Iterator[tuple[int, int, str]]:
                         yield m.start(k) + d.start(), m.start(k) + d.end(), "."
 
 
-_STEPS: tuple[tuple[re.Pattern, Callable], ...] = ((_ODD, _characters), (_MIXED_SIGN, _digit_looks), (_SPELLED_SIGN, _spelled), (_AT_SIGN, _bracketed), (_AT_SIGN, _worded))
+_STEPS: tuple[tuple[re.Pattern, Callable], ...] = ((_ODD, _characters), (_MIXED_SIGN, _digit_looks), (_SPELLED_SIGN, _spelled), (_BRACKET_SIGN, _bracketed), (_WORDED_SIGN, _worded))
 #: A run of digits without a plus sign that has a telephone number's length. Nothing else checks it: at least 4 of its digits
 #: are spelled, and 3 are different.
 _BARE = re.compile(r"(?<![0-9+])[0-9]{9,15}(?![0-9])")
 
 
-def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Spans of identifiers that only the transducers show, in source characters."""
+def disguised(text: str, base: list[Span], gated: bool = True) -> list[Span]:
+    """Spans of identifiers that only the transducers show, in source characters. Without gates every step runs; the result is the same."""
     tape: Tape | None = None
     spelled = False
     for sign, step in _STEPS:
         now = tape.text if tape else text
-        if sign.search(now) and (edits := list(step(now))):
+        if (not gated or sign.search(now)) and (edits := list(step(now))):
             tape = tape or Tape(text)
             tape.rewrite(iter(edits))
             spelled |= step is _spelled
@@ -254,14 +261,13 @@ def spans_of(text: str) -> list[dict]:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         (texts,) = next(batch_columns(iter([b]), "text"), [[]])
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([spans_of(t or "") for t in texts], _SPAN)], names=["doc_id", "spans"])
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): kind, start, end (code points, end exclusive) and whether a plain match."""
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(_find, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, spans {_SPAN_DDL}")
 
@@ -282,11 +288,10 @@ def redacted(text: str) -> str:
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """All columns, with identifiers in the text replaced; a null text stays null."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = pa.array([t if t is None else redacted(t) for t in b.column(at).to_pylist()], b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([texts if k == at else b.column(k) for k in range(b.num_columns)], schema=b.schema)
 
@@ -299,7 +304,8 @@ def joined(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, numbers of plain matches of each kind, SHA-256 of the plain matches, all spans, and how many were added."""
+    """doc_id, numbers of plain matches of each kind, SHA-256 of the plain matches, all spans, how many there are, how many were added, and
+    how many of each kind there are, plain or added."""
     base = F.filter("spans", lambda s: s["plain"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["plain"] & (s["kind"] == kind))).cast("long")
-    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"), *(F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_all_{k}") for k in KINDS))

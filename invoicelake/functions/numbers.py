@@ -52,6 +52,14 @@ def _typed(t: Column) -> Column:
     return _guarded(F.when(t.contains(","), F.replace(plain, F.lit(","), F.lit("."))).when(groups, plain).otherwise(t))
 
 
+def plain_text(x: Column) -> Column:
+    """A number as messages show it: the shortest digits that give it back, from 1e-4 to 1e16 without an exponent, one decimal at least."""
+    short = x.cast("double").cast("string")
+    wide = F.regexp_replace(F.regexp_replace(short.try_cast("decimal(38,20)").cast("string"), "0+$", ""), "[.]$", ".0")
+    size = F.abs(x)
+    return F.when(short.contains("E") & (size >= 1e-4) & (size < 1e16), wide).otherwise(short)
+
+
 def amount_text(x: Column) -> Column:
     """1234.5 -> 1234,50"""
     return F.replace(fixed2(x), F.lit("."), F.lit(","))

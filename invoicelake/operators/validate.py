@@ -18,6 +18,7 @@ def issues(period: Column | None = None) -> Column:
     """array<struct<rule, severity, message>> in the order of the rules. ``period``: the quarter of the batch; null checks none."""
     c, have, zero = F.col, lambda n: F.coalesce(F.col(n) != "", F.lit(False)), F.lit(0.0)
     p = F.lit(None).cast("long") if period is None else period
+    text = lambda n: numbers.plain_text(c(n))
     own = dates.period(c("fecha"))
     dated = have("fecha") & p.isNotNull()
     vat = numbers.round2(c("base_iva") * c("pct_iva") / 100.0)
@@ -35,10 +36,10 @@ def issues(period: Column | None = None) -> Column:
         (7, REVIEW, ~have("nif"), F.lit(M.NO_ID)),
         (8, REVIEW, have("nif") & ~taxid.is_valid(c("nif")), texts.filled(M.ODD_ID, nif=c("nif"))),
         (9, REVIEW, priced & c("cuota_iva").isNull(), F.lit(M.NO_VAT)),
-        (10, ERROR, priced & (F.abs(c("cuota_iva") - vat) > TOLERANCE), texts.filled(M.ODD_VAT, cuota=c("cuota_iva"), due=vat)),
-        (11, ERROR, c("cuota_irpf").isNotNull() & (F.abs(c("cuota_irpf") - held) > TOLERANCE), texts.filled(M.ODD_WITHHOLDING, cuota=c("cuota_irpf"), due=held)),
-        (12, ERROR, whole & ((c("total_impreso") < 0) != (c("base_iva") < 0)), texts.filled(M.ODD_SIGN, total=c("total_impreso"), base=c("base_iva"))),
-        (13, REVIEW, whole & (F.abs(due - c("total_impreso")) > TOLERANCE), texts.filled(M.ODD_TOTAL, total=c("total_impreso"), due=due)),
+        (10, ERROR, priced & (F.abs(c("cuota_iva") - vat) > TOLERANCE), texts.filled(M.ODD_VAT, cuota=text("cuota_iva"), due=numbers.plain_text(vat))),
+        (11, ERROR, c("cuota_irpf").isNotNull() & (F.abs(c("cuota_irpf") - held) > TOLERANCE), texts.filled(M.ODD_WITHHOLDING, cuota=text("cuota_irpf"), due=numbers.plain_text(held))),
+        (12, ERROR, whole & ((c("total_impreso") < 0) != (c("base_iva") < 0)), texts.filled(M.ODD_SIGN, total=text("total_impreso"), base=text("base_iva"))),
+        (13, REVIEW, whole & (F.abs(due - c("total_impreso")) > TOLERANCE), texts.filled(M.ODD_TOTAL, total=text("total_impreso"), due=numbers.plain_text(due))),
     ]
     every = F.array(*(F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), text.alias("message"))) for rule, severity, hit, text in checks))
     return F.filter(every, lambda i: i.isNotNull())

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import messages as M
 from ..functions import cells, dates, json_text, names, numbers, taxid
 from ..operators import build, client, duplicates, edits, fill, grid, gross, memory, periods, replaced, rules, summary, validate
 from ..sources import records
+from . import batch
 from .projection import CLIENT_ID, CLIENT_NAME, DUCK, lines, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +72,18 @@ def _r2(x: str) -> str:
     return f"CAST(printf('%.2f', {x}) AS DOUBLE)"
 
 
+def _msg(template: str, **values: str) -> str:
+    """A message's template in SQL, with values as texts; a null reads None."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return "concat(" + ", ".join(f"coalesce(CAST({values[p]} AS VARCHAR), 'None')" if k % 2 else "'" + p.replace("'", "''") + "'" for k, p in enumerate(parts)) + ")"
+
+
+def _rules_sql(text: str, table: rules.Rules, default: str) -> str:
+    """The first rule with a keyword in the text, without accents and in lower case."""
+    hit = lambda keywords: " OR ".join(f"contains(strip_accents(lower({text})), '{k}')" for k in keywords)
+    return "CASE " + " ".join(f"WHEN {hit(keywords)} THEN '{code}'" for code, keywords in table) + f" ELSE {default} END"
+
+
 _LINE = "doc_seq, line_no"
 
 
@@ -150,10 +165,14 @@ def q_provider_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _firms(spark, sf_dir).select("p_partkey", names.provider_key(F.col("nombre")).alias("clave"))
 
 
-@_query(f"""SELECT p_partkey, CASE WHEN length(s) <= 40 THEN s ELSE regexp_replace(regexp_replace(regexp_replace(
-    CASE WHEN substr(s, 41, 1) <> ' ' AND strpos(left(s, 40), ' ') > 0 AND 40 - strpos(reverse(left(s, 40)), ' ') >= 34 THEN left(s, 40 - strpos(reverse(left(s, 40)), ' ')) ELSE left(s, 40) END,
-    '[ ,.-]+$', ''), '(?i) (DE|DEL|LA|EL|LOS|LAS|Y|E)$', ''), '[ ,.-]+$', '') END AS nombre
-  FROM (SELECT p_partkey, trim(regexp_replace({_FIRM}, '\\s+', ' ', 'g')) AS s FROM part) t""", source=False)
+def _trim_sql(c: str) -> str:
+    s = f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+    return f"""CASE WHEN length({s}) <= 40 THEN {s} ELSE regexp_replace(regexp_replace(regexp_replace(
+    CASE WHEN substr({s}, 41, 1) <> ' ' AND strpos(left({s}, 40), ' ') > 0 AND 40 - strpos(reverse(left({s}, 40)), ' ') >= 34 THEN left({s}, 40 - strpos(reverse(left({s}, 40)), ' ')) ELSE left({s}, 40) END,
+    '[ ,.-]+$', ''), '(?i) (DE|DEL|LA|EL|LOS|LAS|Y|E)$', ''), '[ ,.-]+$', '') END"""
+
+
+@_query(f"SELECT p_partkey, {_trim_sql(_FIRM)} AS nombre FROM part", source=False)
 def q_name_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _firms(spark, sf_dir).select("p_partkey", names.trimmed(F.col("nombre")).alias("nombre"))
 
@@ -181,7 +200,14 @@ def q_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_seq", F.posexplode_outer("lineas_iva").alias("line_no", "l")).select("doc_seq", "line_no", "l.base", "l.tipo_iva", "l.cuota_iva")
 
 
-@_query(f"SELECT '{CLIENT_NAME}' AS nombre, '{CLIENT_ID}' AS nif")
+_SIDES = f""", sides AS (SELECT doc_seq, lado, {_NORM.format('nif')} AS nif, nombre FROM (
+    SELECT doc_seq, CASE WHEN tipo = 'venta' THEN 0 ELSE 1 END AS lado, CASE WHEN doc_seq % 31 <> 0 THEN '{CLIENT_ID}' END AS nif, '{CLIENT_NAME}' AS nombre FROM lines WHERE line_no = 0
+    UNION ALL SELECT doc_seq, CASE WHEN tipo = 'venta' THEN 1 ELSE 0 END, nif, nombre FROM lines WHERE line_no = 0) u),
+  named AS (SELECT nif, nombre, count(*) AS n, min(doc_seq * 2 + lado) AS f FROM sides WHERE nif <> '' GROUP BY 1, 2)"""
+
+
+@_query(f"""{_SIDES}, top AS (SELECT nif FROM named GROUP BY 1 ORDER BY sum(n) DESC, min(f) LIMIT 1)
+  SELECT nombre, nif FROM named WHERE nif = (SELECT nif FROM top) ORDER BY n DESC, f LIMIT 1""")
 def q_client_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return client.detect(records.parse(texts(spark, sf_dir)))
 
@@ -196,21 +222,23 @@ def q_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir).filter("line_no = 0").select("doc_seq", "tipo", "nombre", "nif")
 
 
-_TOPIC = "CASE doc_seq % 9 WHEN 0 THEN '{0}' WHEN 1 THEN '{1}' WHEN 2 THEN '{2}' WHEN 3 THEN '{3}' WHEN 4 THEN '{4}' WHEN 5 THEN '{5}' WHEN 6 THEN '{6}' WHEN 7 THEN '{7}' ELSE '{8}' END"
+_CONCEPT = "json_extract_string('{' || regexp_extract(texto, '\"concepto_texto\": \"[^\"]*\"') || '}', '$.concepto_texto')"
+_BOOKED = f""", booked AS (SELECT t.doc_seq, l.tipo, {_CONCEPT} AS concepto, {_CONCEPT} || ' ' || CASE WHEN l.tipo = 'venta' THEN '{CLIENT_NAME}' ELSE coalesce(l.nombre, '') END AS t FROM texts t JOIN lines l ON l.doc_seq = t.doc_seq AND l.line_no = 0),
+  accounts AS (SELECT *, CASE WHEN tipo = 'venta' THEN '700' ELSE {_rules_sql('t', rules.EXPENSE_RULES, "'600'")} END AS cuenta FROM booked)"""
 
 
-@_query(f"SELECT DISTINCT doc_seq, CASE WHEN tipo = 'venta' THEN '700' ELSE {_TOPIC.format('628', '628', '631', '624', '622', '628', '628', '628', '600')} END AS cuenta FROM lines")
+@_query(f"{_BOOKED} SELECT doc_seq, cuenta FROM accounts")
 def q_account_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir).filter("line_no = 0").select("doc_seq", "cuenta")
 
 
-@_query(f"SELECT DISTINCT doc_seq, {_TOPIC.format('628', '628', '631', '624', '622', '628', '628', '628', '600')} AS codigo FROM lines")
+@_query(f"{_BOOKED} SELECT doc_seq, {_rules_sql('concepto', rules.EXPENSE_RULES, chr(39) + '600' + chr(39))} AS codigo FROM booked")
 def q_account_rule_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records.parse(texts(spark, sf_dir))
     return rules.by_join(r, "doc_seq", F.col("concepto_texto"), rules.rule_table(spark, rules.EXPENSE_RULES), rules.DEFAULT_EXPENSE)
 
 
-@_query(f"SELECT DISTINCT doc_seq, CASE WHEN tipo <> 'venta' AND doc_seq % 9 IN (0, 1, 5, 6, 7) THEN nullif({_TOPIC.format('G17', 'G18', '', '', '', 'G16', '', 'G14', '')}, '') END AS gxx FROM lines")
+@_query(f"{_BOOKED} SELECT doc_seq, CASE WHEN tipo <> 'venta' AND cuenta = '628' THEN {_rules_sql('t', rules.SUBCODE_RULES, 'NULL')} END AS gxx FROM accounts")
 def q_subaccount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir).filter("line_no = 0").select("doc_seq", "gxx")
 
@@ -230,21 +258,28 @@ def q_withholding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir).select("doc_seq", "line_no", "base_irpf", "pct_irpf", "cuota_irpf")
 
 
-@_query(f"""SELECT doc_seq, count(*) >= 2 AND abs({_r2("CAST(sum(CAST(printf('%.2f', base_iva) AS DECIMAL(18,2)) + CAST(printf('%.2f', cuota_iva) AS DECIMAL(18,2)) + CAST(printf('%.2f', coalesce(cuota_requiv, 0)) AS DECIMAL(18,2)) - CAST(printf('%.2f', coalesce(cuota_irpf, 0)) AS DECIMAL(18,2))) AS DOUBLE)")} - {_r2('min(total_impreso)')}) > 0.02 AS descuadra FROM lines GROUP BY 1""")
+_CENTS = "CAST(printf('%.2f', {0}) AS DECIMAL(18,2))"
+_SUMMED = " + ".join(_CENTS.format(c) for c in ("base_iva", "cuota_iva", "coalesce(cuota_requiv, 0)")) + " - " + _CENTS.format("coalesce(cuota_irpf, 0)")
+
+
+@_query(f"""SELECT doc_seq, trim(concat_ws(' ', CASE WHEN n >= 2 AND abs(suma - total) > 0.02 THEN {_msg(M.WARN_SUM, total="printf('%.2f', total)", n="n", sum="printf('%.2f', suma)")} END, CASE WHEN doc_seq % 27 = 0 THEN '{M.WARN_HANDWRITTEN}' END)) AS aviso
+  FROM (SELECT doc_seq, count(*) AS n, CAST(sum({_SUMMED}) AS DOUBLE) AS suma, {_r2('min(total_impreso)')} AS total FROM lines GROUP BY 1) t WHERE doc_seq % 31 <> 0""")
 def q_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _built(spark, sf_dir).filter("line_no = 0").select("doc_seq", F.col("aviso").contains("no cuadra").alias("descuadra"))
+    return _built(spark, sf_dir).filter("line_no = 0 and doc_seq % 31 <> 0").select("doc_seq", "aviso")  # others have a warning on the role too
 
 
 # Repairs --------------------------------------------------------------------------------------------------------------
-_HEAD = f", h AS (SELECT doc_seq, nombre, nif, {_key_sql('nombre')} AS clave, {_NORM.format('nif')} AS norm, {_valid_sql(_NORM.format('nif'))} AS valido FROM lines WHERE line_no = 0)"
-_SIBLINGS = f"{_HEAD}, v AS (SELECT clave, count(DISTINCT norm) AS n, min(norm) AS bueno FROM h WHERE valido AND clave <> '' GROUP BY 1)"
+_HEAD = f", h AS MATERIALIZED (SELECT doc_seq, nombre, nif, {_key_sql('nombre')} AS clave, {_NORM.format('nif')} AS norm, {_valid_sql(_NORM.format('nif'))} AS valido FROM lines WHERE line_no = 0)"
+_READ = "trim(coalesce(h.nif, ''))"
+_SIBLINGS = f"""{_HEAD}, v AS MATERIALIZED (SELECT clave, count(*) AS n, min(norm) AS bueno, arg_min(donante, norm) AS de, string_agg(norm, ', ' ORDER BY norm) AS ids
+  FROM (SELECT clave, norm, arg_min(nombre, doc_seq) AS donante FROM h WHERE valido AND clave <> '' GROUP BY 1, 2) d GROUP BY 1)"""
+_COPIED = f"""CASE WHEN h.valido OR v.n IS NULL THEN '' WHEN v.n = 1 THEN {_msg(M.WARN_COPIED, name="v.de", stored="v.bueno", why=f"CASE WHEN {_READ} <> '' THEN {_msg(M.WHY_COPIED_BAD, read=_READ)} ELSE '{M.WHY_COPIED_NONE}' END")}
+  ELSE {_msg(M.WARN_SEVERAL, n="v.n", ids="v.ids")} END"""
 
 
-@_query(f"""{_SIBLINGS} SELECT l.doc_seq, l.line_no, CASE WHEN NOT h.valido AND v.n = 1 THEN v.bueno ELSE l.nif END AS nif,
-  CASE WHEN h.valido OR v.n IS NULL THEN 'igual' WHEN v.n = 1 THEN 'copiado' ELSE 'varios' END AS caso FROM lines l JOIN h USING (doc_seq) LEFT JOIN v ON v.clave = h.clave""")
+@_query(f"""{_SIBLINGS} SELECT l.doc_seq, l.line_no, CASE WHEN NOT h.valido AND v.n = 1 THEN v.bueno ELSE l.nif END AS nif, {_COPIED} AS aviso FROM lines l JOIN h USING (doc_seq) LEFT JOIN v ON v.clave = h.clave""")
 def q_fill_sibling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fill.from_siblings(lines(spark, sf_dir))
-    return out.select("doc_seq", "line_no", "nif", F.when(F.col("aviso").startswith("NIF copiado"), "copiado").when(F.col("aviso").startswith("Hay "), "varios").otherwise("igual").alias("caso"))
+    return fill.from_siblings(lines(spark, sf_dir)).select("doc_seq", "line_no", "nif", "aviso")
 
 
 def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,14 +289,21 @@ def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(names.provider_key(F.col("p_name")).alias("clave"), F.concat(F.lpad(key, 8, "0"), letter).alias("nif"), F.col("p_name").alias("nombre"), (F.col("fk") % 2 == 0).alias("manual"))
 
 
-_MEM = f", m AS (SELECT {_key_sql('p_name')} AS clave, lpad(CAST(fk * 2 AS VARCHAR), 8, '0') || substr('{taxid.PERSON_LETTERS}', CAST(fk * 2 % 23 AS INT) + 1, 1) AS nif, p_name AS nombre, fk % 2 = 0 AS manual FROM (SELECT p_name, min(p_partkey) AS fk FROM part GROUP BY 1) s WHERE fk % 3 <> 0)"
+_MEM = f", m AS MATERIALIZED (SELECT {_key_sql('p_name')} AS clave, lpad(CAST(fk * 2 AS VARCHAR), 8, '0') || substr('{taxid.PERSON_LETTERS}', CAST(fk * 2 % 23 AS INT) + 1, 1) AS nif, p_name AS nombre, fk % 2 = 0 AS manual FROM (SELECT p_name, min(p_partkey) AS fk FROM part GROUP BY 1) s WHERE fk % 3 <> 0)"
+
 
+def _remembered(head: str) -> str:
+    """The warning of an invoice whose provider the memory knows."""
+    read = _READ.replace("h.", f"{head}.")
+    why = f"CASE WHEN {read} <> '' THEN {_msg(M.WHY_MEMORY_BAD, read=read)} ELSE '{M.WHY_MEMORY_NONE}' END"
+    return f"""CASE WHEN m.nif IS NULL OR {head}.valido AND {head}.norm = m.nif THEN '' WHEN {head}.valido THEN {_msg(M.WARN_MEMORY_DIFFERS, name=f"{head}.nombre", stored="m.nif", read=f"{head}.norm")}
+      ELSE {_msg(M.WARN_FROM_MEMORY, stored="m.nif", name=f"{head}.nombre", why=why)} END"""
 
-@_query(f"""{_HEAD}{_MEM} SELECT l.doc_seq, l.line_no, CASE WHEN NOT h.valido AND m.nif IS NOT NULL THEN m.nif ELSE l.nif END AS nif,
-  CASE WHEN m.nif IS NULL THEN 'nada' WHEN NOT h.valido THEN 'puesto' WHEN h.norm <> m.nif THEN 'distinto' ELSE 'nada' END AS caso FROM lines l JOIN h USING (doc_seq) LEFT JOIN m ON m.clave = h.clave""")
+
+@_query(f"""{_HEAD}{_MEM} SELECT l.doc_seq, l.line_no, CASE WHEN NOT h.valido AND m.nif IS NOT NULL THEN m.nif ELSE l.nif END AS nif, {_remembered("h")} AS aviso
+  FROM lines l JOIN h USING (doc_seq) LEFT JOIN m ON m.clave = h.clave""")
 def q_fill_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fill.from_memory(lines(spark, sf_dir), _memory(spark, sf_dir))
-    return out.select("doc_seq", "line_no", "nif", F.when(F.col("aviso").startswith("NIF puesto"), "puesto").when(F.col("aviso").startswith("OJO"), "distinto").otherwise("nada").alias("caso"))
+    return fill.from_memory(lines(spark, sf_dir), _memory(spark, sf_dir)).select("doc_seq", "line_no", "nif", "aviso")
 
 
 @_query(f"""{_HEAD}{_MEM}, w AS (SELECT clave, arg_max(norm, doc_seq) AS nif, arg_max(nombre, doc_seq) AS nombre FROM h WHERE valido AND clave <> '' GROUP BY 1)
@@ -271,13 +313,14 @@ def q_memory_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.upsert_providers(_memory(spark, sf_dir), memory.learnable(lines(spark, sf_dir)))
 
 
-_PAIRS = f", d AS (SELECT doc_seq, num_factura, {_ALNUM.format('num_factura')} AS k, {_ALNUM.format('sustituye_a')} AS t FROM lines WHERE line_no = 0), r AS (SELECT o.doc_seq AS old, n.doc_seq AS new, n.num_factura AS num FROM d o JOIN d n ON o.k = n.t AND o.doc_seq <> n.doc_seq WHERE n.t <> '')"
+_PAIRS = f""", d AS MATERIALIZED (SELECT doc_seq, num_factura, {_ALNUM.format('num_factura')} AS k, {_ALNUM.format('sustituye_a')} AS t FROM lines WHERE line_no = 0),
+  r AS MATERIALIZED (SELECT o.doc_seq AS old, n.doc_seq AS new, n.num_factura AS num FROM (SELECT * FROM d WHERE k <> '') o JOIN (SELECT * FROM d WHERE t <> '') n ON o.k = n.t WHERE o.doc_seq <> n.doc_seq),
+  rp AS MATERIALIZED (SELECT old, arg_max(num, new) AS por, string_agg({_msg(M.WARN_REPLACED, new='num')}, ' ' ORDER BY new) AS msg FROM r GROUP BY 1)"""
 
 
-@_query(f"{_PAIRS} SELECT l.doc_seq, l.line_no, p.por AS sustituida_por, coalesce(p.n, 0) AS veces FROM lines l LEFT JOIN (SELECT old, arg_max(num, new) AS por, count(*) AS n FROM r GROUP BY 1) p ON p.old = l.doc_seq")
+@_query(f"{_PAIRS} SELECT l.doc_seq, l.line_no, rp.por AS sustituida_por, coalesce(rp.msg, '') AS aviso FROM lines l LEFT JOIN rp ON rp.old = l.doc_seq")
 def q_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = replaced.mark(lines(spark, sf_dir))
-    return out.select("doc_seq", "line_no", "sustituida_por", (F.size(F.split("aviso", "SUSTITUIDA")) - 1).cast("long").alias("veces"))
+    return replaced.mark(lines(spark, sf_dir)).select("doc_seq", "line_no", "sustituida_por", "aviso")
 
 
 @_query(f"""SELECT l.doc_seq, l.line_no, CASE WHEN tipo = 'gasto' AND NOT g.held THEN g.gross ELSE base_iva END AS base_iva, CASE WHEN tipo <> 'gasto' OR g.held THEN pct_iva END AS pct_iva,
@@ -314,6 +357,25 @@ _SEVERITY = "greatest(" + ", ".join(f"CASE WHEN {c} THEN {s} ELSE 0 END" for _,
 _STATE = f"CASE {_SEVERITY} WHEN 2 THEN 'error' WHEN 1 THEN 'revisar' ELSE 'ok' END"
 
 
+def _py(x: str) -> str:
+    """A number with at least one decimal, as messages show it."""
+    return f"CASE WHEN {x} = floor({x}) AND abs({x}) < 1e15 THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) || '.0' ELSE CAST({x} AS VARCHAR) END"
+
+
+_PERIOD_TEXT = f"(({_PER} % 10) || 'T ' || ({_PER} // 10))"
+_VAT, _HELD = _r2("base_iva * pct_iva / 100.0::DOUBLE"), _r2("base_irpf * pct_irpf / 100.0::DOUBLE")
+_MESSAGES = {
+    1: _msg(M.NO_DATE), 2: _msg(M.ODD_DATE, fecha="fecha"), 3: _msg(M.OTHER_PERIOD, period=f"'{QUARTER % 10}T {QUARTER // 10}'", own=_PERIOD_TEXT, fecha="fecha"), 4: _msg(M.NO_NUMBER), 5: _msg(M.NO_NAME),
+    6: _msg(M.NO_CONCEPT), 7: _msg(M.NO_ID), 8: _msg(M.ODD_ID, nif="nif"), 9: _msg(M.NO_VAT), 10: _msg(M.ODD_VAT, cuota=_py("cuota_iva"), due=_py(_VAT)), 11: _msg(M.ODD_WITHHOLDING, cuota=_py("cuota_irpf"), due=_py(_HELD)),
+    12: _msg(M.ODD_SIGN, total=_py("total_impreso"), base=_py("base_iva")), 13: _msg(M.ODD_TOTAL, total=_py("total_impreso"), due=_py(_DUE)),
+}
+
+
+@_query(f"SELECT {_LINE}, concat_ws(' | ', " + ", ".join(f"CASE WHEN {c} THEN {_MESSAGES[k]} END" for k, _, c in _RULES) + ") AS mensajes FROM lines")
+def q_validate_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).select("doc_seq", "line_no", F.array_join(F.transform("issues", lambda i: i["message"]), " | ").alias("mensajes"))
+
+
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate(lines(spark, sf_dir), F.lit(QUARTER).cast("long"))
 
@@ -360,6 +422,83 @@ def q_export_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.export_problems(duplicates.mark(_checked(spark, sf_dir)), QUARTER)
 
 
+# A whole batch ----------------------------------------------------------------------------------------------------------
+_BATCH = f"""{_SIBLINGS}{_MEM}{_PAIRS}, a0 AS MATERIALIZED (
+    SELECT doc_seq, trim(concat_ws(' ', CASE WHEN doc_seq % 31 = 0 AND tipo = 'venta' THEN '{M.WARN_NO_ID}' END, CASE WHEN n >= 2 AND abs(suma - total) > 0.02 THEN {_msg(M.WARN_SUM, total="printf('%.2f', total)", n="n", sum="printf('%.2f', suma)")} END,
+      CASE WHEN doc_seq % 27 = 0 THEN '{M.WARN_HANDWRITTEN}' END)) AS aviso
+    FROM (SELECT doc_seq, min(tipo) AS tipo, count(*) AS n, CAST(sum({_SUMMED}) AS DOUBLE) AS suma, {_r2('min(total_impreso)')} AS total FROM lines GROUP BY 1) g),
+  s AS MATERIALIZED (SELECT l.* EXCLUDE (nif, aviso, cuota_iva, total_impreso, concepto, sustituida_por), {_r2('l.cuota_iva')} AS cuota_iva, {_r2('l.total_impreso')} AS total_impreso,
+      CASE WHEN NOT h.valido AND v.n = 1 THEN v.bueno ELSE l.nif END AS nif, trim(concat_ws(' ', a0.aviso, {_COPIED})) AS aviso
+    FROM lines l JOIN h USING (doc_seq) JOIN a0 USING (doc_seq) LEFT JOIN v ON v.clave = h.clave),
+  h2 AS MATERIALIZED (SELECT doc_seq, nombre, nif, {_key_sql('nombre')} AS clave, {_NORM.format('nif')} AS norm, {_valid_sql(_NORM.format('nif'))} AS valido FROM s WHERE line_no = 0),
+  t AS MATERIALIZED (SELECT s.* EXCLUDE (nif, aviso), CASE WHEN NOT h2.valido AND m.nif IS NOT NULL THEN m.nif ELSE s.nif END AS nif, trim(concat_ws(' ', s.aviso, {_remembered("h2")})) AS aviso
+    FROM s JOIN h2 USING (doc_seq) LEFT JOIN m ON m.clave = h2.clave),
+  y AS MATERIALIZED (SELECT t.* EXCLUDE (aviso), '600' AS concepto, rp.por AS sustituida_por, trim(concat_ws(' ', t.aviso, coalesce(rp.msg, ''))) AS aviso FROM t LEFT JOIN rp ON rp.old = t.doc_seq),
+  modal AS (SELECT {_PER} AS p FROM y WHERE {_PER} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1){_DUP.replace("FROM lines", "FROM y")}"""
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> batch.Batch:
+    return batch.run(records.parse(texts(spark, sf_dir)), _memory(spark, sf_dir))
+
+
+@_query(f"""{_BATCH} SELECT doc_seq, line_no, nif, aviso, sustituida_por, dup_doc, dup_line,
+  CASE WHEN dup_doc IS NOT NULL OR sev = 2 THEN 'error' WHEN sev = 1 OR aviso <> '' THEN 'revisar' ELSE 'ok' END AS estado FROM (SELECT *, {_SEVERITY.replace(str(QUARTER), "(SELECT p FROM modal)")} AS sev FROM x) z""")
+def q_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batch(spark, sf_dir).lines.select("doc_seq", "line_no", "nif", "aviso", "sustituida_por", "dup_doc", "dup_line", "estado")
+
+
+_LEARNED = f"""{_BATCH}, h3 AS (SELECT doc_seq, nombre, {_key_sql('nombre')} AS clave, {_NORM.format('nif')} AS norm FROM t WHERE line_no = 0 AND {_valid_sql(_NORM.format('nif'))}),
+  w AS (SELECT clave, arg_max(norm, doc_seq) AS nif, arg_max(nombre, doc_seq) AS nombre FROM h3 WHERE clave <> '' GROUP BY 1)"""
+
+
+@_query(f"""{_LEARNED} SELECT coalesce(m.clave, w.clave) AS clave, CASE WHEN coalesce(m.manual, FALSE) OR w.clave IS NULL THEN m.nif ELSE w.nif END AS nif,
+  CASE WHEN coalesce(m.manual, FALSE) OR w.clave IS NULL THEN m.nombre ELSE w.nombre END AS nombre, coalesce(m.manual, FALSE) AS manual FROM m FULL JOIN w ON m.clave = w.clave""")
+def q_batch_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batch(spark, sf_dir).memory
+
+
+@_query(f"""{_LEARNED} SELECT (SELECT count(*) FROM h JOIN v USING (clave) WHERE NOT h.valido AND v.n = 1) AS copiadas, (SELECT count(*) FROM h JOIN v USING (clave) WHERE NOT h.valido AND v.n > 1) AS dudosas,
+  (SELECT count(*) FROM h2 JOIN m USING (clave) WHERE NOT h2.valido) AS de_memoria, (SELECT count(*) FROM h2 JOIN m USING (clave) WHERE h2.valido AND h2.norm <> m.nif) AS distintas,
+  (SELECT count(*) FROM h3 WHERE clave <> '' AND clave NOT IN (SELECT clave FROM m WHERE manual)) AS aprendidas, (SELECT count(*) FROM r) AS marcadas""")
+def q_batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batch(spark, sf_dir).counts
+
+
+@_query(f"{_DUP} SELECT {_LINE}, estado FROM (SELECT {_LINE}, {_FINAL} AS estado FROM x) e WHERE estado = 'revisar'")
+def q_filter_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.in_state(validate.final_state(duplicates.mark(_checked(spark, sf_dir))), "revisar").select("doc_seq", "line_no", "estado")
+
+
+def _eur_sql(x: str) -> str:
+    return f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END) || replace(replace(replace(format('{{:,.2f}}', abs({x})), ',', '_'), '.', ','), '_', '.') || ' €'"
+
+
+@_query(f"""SELECT (periodo % 10) || 'T ' || (periodo // 10) AS trimestre, tipo, concat_ws('  ·  ', 'base ' || {_eur_sql('base')}, 'IVA ' || {_eur_sql('iva')}, CASE WHEN abs(requiv) > 0.005 THEN 'recargo ' || {_eur_sql('requiv')} END,
+    CASE WHEN abs(irpf) > 0.005 THEN 'IRPF −' || {_eur_sql('irpf')} END, 'total factura ' || {_eur_sql('total')}) AS texto
+  FROM (SELECT *, {_r2('base + iva + requiv - irpf')} AS total FROM (
+    SELECT {_PER} AS periodo, tipo, {_SUM.format('base_iva')} AS base, {_SUM.format('cuota_iva')} AS iva, {_SUM.format('cuota_irpf')} AS irpf, {_SUM.format('cuota_requiv')} AS requiv FROM lines WHERE {_PER} IS NOT NULL GROUP BY 1, 2) g) t""")
+def q_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dated = lines(spark, sf_dir).withColumn("periodo", dates.period(F.col("fecha"))).filter("periodo is not null")
+    return summary.totals(dated, "periodo", "tipo").select(dates.period_text(F.col("periodo")).alias("trimestre"), "tipo", summary.described().alias("texto"))
+
+
+#: The invoice whose id a person types, and the id.
+TYPED = (7, "B86561412")
+
+
+@_query(f"""{_HEAD} SELECT l.doc_seq, l.line_no, CASE WHEN l.doc_seq = {TYPED[0]} OR (h.clave <> '' AND h.clave = (SELECT clave FROM h WHERE doc_seq = {TYPED[0]}) AND NOT h.valido) THEN '{TYPED[1]}' ELSE l.nif END AS nif
+  FROM lines l JOIN h USING (doc_seq)""")
+def q_typed_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.spread_manual_id(lines(spark, sf_dir), *TYPED).select("doc_seq", "line_no", "nif")
+
+
+@_query("SELECT CASE WHEN doc_seq % 47 = 0 THEN doc_seq + 1 + (SELECT max(doc_seq) FROM lines WHERE doc_seq % 47 <> 0) ELSE doc_seq END AS doc_seq, line_no, num_factura FROM lines")
+def q_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = lines(spark, sf_dir)
+    gone = every.filter("doc_seq % 47 = 0")
+    return edits.restored(edits.without_rows(every, gone), gone).select("doc_seq", "line_no", "num_factura")
+
+
 _NUMBERED = f"{_DUP}, z AS (SELECT *, row_number() OVER (ORDER BY doc_seq, line_no) - 1 AS fila, {_FINAL} AS estado FROM x)"
 CURRENT = 100
 
@@ -370,8 +509,8 @@ def q_next_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.next_incident(rows, CURRENT)
 
 
-@_query(f"""{_NUMBERED}{_PAIRS.replace(', r AS', ', rr AS')}, dd AS (SELECT a.fila, 0 AS clase, b.fila AS primera, a.num_factura, a.nombre FROM z a JOIN z b ON b.doc_seq = a.dup_doc AND b.line_no = a.dup_line
-    UNION ALL SELECT fila, 1, NULL, num_factura, nombre FROM z WHERE doc_seq IN (SELECT old FROM rr))
+@_query(f"""{_NUMBERED}{_PAIRS}, dd AS (SELECT a.fila, 0 AS clase, b.fila AS primera, a.num_factura, a.nombre FROM z a JOIN z b ON b.doc_seq = a.dup_doc AND b.line_no = a.dup_line
+    UNION ALL SELECT fila, 1, NULL, num_factura, nombre FROM z WHERE doc_seq IN (SELECT old FROM rp))
   SELECT clase, fila, 'Línea ' || (fila + 1) || ': factura ' || num_factura || ' de ' || nombre || CASE clase WHEN 0 THEN ' — repetida de la línea ' || (primera + 1) || '.' ELSE ' — sustituida por otra del lote.' END AS texto, (SELECT count(*) FROM dd) AS avisos
   FROM dd ORDER BY clase, fila LIMIT 6""")
 def q_top_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,7 +534,7 @@ def _cell_sql() -> str:
         if c == "nif":
             return f"nullif({_NORM.format('nif')}, '')"
         if c == "nombre":
-            return "nombre"  # the projection's names are short
+            return _trim_sql("nombre")
         if c in cells.PERCENTAGES:
             return f"CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE replace(printf('%g', {c}), '.', ',') END"
         return f"replace(printf('%.2f', {c}), '.', ',')" if c in cells.AMOUNTS else c

@@ -84,9 +84,11 @@ def _texts(m: dict) -> str:
         + party("emisor", "nombre", "nif") + ", ', ', " + party("receptor", f"'{CLIENT_NAME}'", client_nif) + ") END, ', \"num_factura\": \"', num_factura, '\", \"fecha\": \"', fecha, '\", \"total\": \"', "
         + "CASE WHEN total_impreso < 0 THEN concat(" + amount("-total_impreso") + ", '-') ELSE " + amount("total_impreso") + " END, '\"', "
         + "CASE WHEN i_base IS NULL THEN '' ELSE concat(', \"base_irpf\": \"', " + amount("i_base") + ", '\", \"pct_irpf\": 15, \"cuota_irpf\": \"', " + amount("i_cuota") + ", '\"') END, "
+        + "CASE WHEN doc_seq % 27 = 0 THEN ', \"hay_anotaciones_manuscritas\": true' ELSE '' END, "
         + "', \"sustituye_a\": \"', sustituye_a, '\", \"concepto_texto\": \"', concepto_texto, '\", \"lineas_iva\": [', lineas, ']')"
     )
-    topics = "CASE doc_seq % 9 WHEN 0 THEN 'Recibo de móvil' WHEN 1 THEN 'Gasóleo A' WHEN 2 THEN 'Tasa de basuras' WHEN 3 THEN 'Soporte técnico' WHEN 4 THEN 'Reparación de taller' WHEN 5 THEN 'Gas natural' WHEN 6 THEN 'Factura de agua' WHEN 7 THEN 'Luz y electricidad' ELSE 'Género vario' END"
+    topic = lambda k: f"CASE {k} % 9 WHEN 0 THEN 'Recibo de móvil' WHEN 1 THEN 'Gasóleo A' WHEN 2 THEN 'Tasa de basuras' WHEN 3 THEN 'Soporte técnico' WHEN 4 THEN 'Reparación de taller' WHEN 5 THEN 'Gas natural' WHEN 6 THEN 'Factura de agua' WHEN 7 THEN 'Luz y electricidad' ELSE 'Género vario' END"
+    topics = f"concat({topic('doc_seq')}, CASE WHEN doc_seq % 5 = 0 THEN concat(' y ', {topic('(doc_seq + 4)')}) ELSE '' END)"
     return f"""
     SELECT doc_seq, concat('scan-', doc_seq % 100, '.pdf') AS origen, CAST(1 AS INT) AS pagina,
       CASE doc_seq % 3 WHEN 0 THEN concat('```json', chr(10), body, ', }}', chr(10), '```') WHEN 1 THEN concat(body, '}}') ELSE concat('Here it is: ', body, ' ,}}') END AS texto
@@ -116,5 +118,5 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(body, lines=lines(spark, sf_dir))
 
 
-#: Common table expressions for the other engine: p, lines, texts.
-DUCK = f"WITH p AS ({_lines(_DUCK)}), lines AS ({_scanned(_DUCK).replace('{p}', 'p')}), texts AS ({_texts(_DUCK).replace('{lines}', 'lines')})"
+#: Common table expressions for the other engine: p, lines, texts. Each is computed once, however often it is named.
+DUCK = f"WITH p AS MATERIALIZED ({_lines(_DUCK)}), lines AS MATERIALIZED ({_scanned(_DUCK).replace('{p}', 'p')}), texts AS MATERIALIZED ({_texts(_DUCK).replace('{lines}', 'lines')})"

@@ -108,3 +108,9 @@ def test_cells(spark):
     assert column(spark, lambda c: cells.cell_value("nif", c), ["b-8.6", "", None]) == ["B86", None, None]
     assert column(spark, lambda c: cells.cell_value("base_iva", c), [1234.5, None], "double") == ["1234,50", None]
     assert column(spark, lambda c: cells.cell_value("base_iva", c, "numero"), [1234.567], "double") == ["1234.57"]
+
+
+def test_numbers_in_messages(spark):
+    values = [0.0, 1.0, -2.5, 12500000.0, 123456789.12, 1e15, 1e16, 0.05, 0.0001, 1e-5, -9999999.99, 10000000.01, None]
+    df = spark.createDataFrame([(x,) for x in values], "x double").select("x", numbers.plain_text(F.col("x")).alias("t"))
+    assert [r["t"] for r in df.collect()] == [None if x is None else {1e16: "1.0E16", 1e-5: "1.0E-5"}.get(x, repr(x)) for x in values]

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,24 +40,32 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 class Scratch:
     """Intermediate tables of one operator run, written to the shared folder so that a lost executor costs no redo.
 
-    ``store`` writes a table and reads it back; ``drop`` deletes what later steps don't need.
+    ``store`` writes a table and reads it back; ``drop`` deletes what later steps don't need, ``keep`` all but what the result is
+    read from.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.tag = spark, tag
+        self.paths: set[str] = set()
 
     def store(self, df: DataFrame) -> DataFrame:
         path = fresh_path(self.spark, self.tag)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.add(path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             if path := getattr(df, "_scratch_path", None):
                 delete_path(self.spark, path)
+                self.paths.discard(path)
 
+    def keep(self, *frames: DataFrame) -> None:
+        for path in self.paths - {getattr(df, "_scratch_path", None) for df in frames}:
+            delete_path(self.spark, path)
+            self.paths.discard(path)
 
     def sweep(self) -> None:
         """Lets Spark delete the shuffle files of finished steps now, not when the driver's memory happens to be collected."""
@@ -129,6 +138,28 @@ HOT_ROWS = 200
 MOST_HOT_KEYS = 100_000
 
 
+#: Rows with one value that a task of ``often_seen`` must see to name it; a value that none names has fewer in each.
+SEEN = 8
+
+
+def often_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over one column of arrays of numbers: (value, n) of values that this task sees often. No shuffle of all values is
+    needed to find the common ones."""
+
+    def flush() -> pa.RecordBatch:
+        every, counts = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+        often = counts >= SEEN
+        return pa.RecordBatch.from_arrays([pa.array(every[often], pa.int64()), pa.array(counts[often], pa.int64())], names=["value", "n"])
+
+    held: list[np.ndarray] = []
+    for b in batches:
+        held.append(b.column(0).flatten().to_numpy(zero_copy_only=False))
+        if sum(map(len, held)) > 8 << 20:
+            yield flush()
+            held = []
+    yield flush()
+
+
 def hot_keys(counts: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
     """Of counts (keys, n) that add up to at most ``total``: the keys that need more tasks than one, with their number ``_ways``. At most
     MOST_HOT_KEYS."""
@@ -145,6 +176,17 @@ def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFra
     return dealt.join(copied, [*keys, "_way"], how).drop("_way")
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores behind those that a column already has."""
+    used, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
 def n_shuffle(spark: SparkSession, df: DataFrame | None = None) -> int:
     """Partitions for a shuffle of all rows: the session's number, or as many as the input has if those are more."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_HOT_KEYS, Scratch, as_bytes, batch_columns, hot_keys, n_shuffle, salted_join
+from .common import MOST_HOT_KEYS, Scratch, as_bytes, batch_columns, hot_keys, n_shuffle, often_seen, salted_join
 from .components import components
 from .grouping import groups, sorted_groups
 from .partenum import folded, signatures, sketch
@@ -144,7 +144,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     prints = work.store(source.mapInArrow(_fingerprints(size, percent), "doc_id long, n long, h1 long, h2 long, sketch binary, sigs array<long>"))
     total = prints.count()
-    known, members, reps = _members(prints, total, work)
+    known, members, classes = _members(prints, total, work)
     work.drop(prints)
     work.sweep()
     nodes = known.filter("doc_id = rep").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumnRenamed("doc_id", "doc")
@@ -158,8 +158,9 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     more = _checked(source, _further_pairs(members, nodes, comp, percent, work), size, percent, work)
     work.drop(members, comp)
     final = components(links.unionByName(more), work)
+    work.keep(known, classes, final)
     work.sweep()
-    out = salted_join(known, final.withColumnRenamed("node", "rep"), ["rep"], hot_keys(reps, ["rep"], total), F.xxhash64("doc_id"), "left")
+    out = salted_join(known, final.withColumnRenamed("node", "rep"), ["rep"], hot_keys(classes, ["rep"], total, "copies"), F.xxhash64("doc_id"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
@@ -168,28 +169,9 @@ def _often(rows: DataFrame, key: str) -> DataFrame:
     return hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), [key], rows.count())
 
 
-#: Rows with one signature that a task of ``_hot_signatures`` must see to name it; others have fewer than that in each of its tasks.
-SEEN = 8
-
-
-def _hot_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush() -> pa.RecordBatch:
-        every, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
-        often = counts >= SEEN
-        return pa.RecordBatch.from_arrays([pa.array(every[often], pa.int64()), pa.array(counts[often], pa.int64())], names=["sig", "n"])
-
-    held: list[np.ndarray] = []
-    for b in batches:
-        held.append(b.column(0).flatten().to_numpy(zero_copy_only=False))
-        if sum(map(len, held)) > 8 << 20:
-            yield flush()
-            held = []
-    yield flush()
-
-
 def _members(prints: DataFrame, total: int, work: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents with their class (doc_id, n, sketch, rep); members (sig, doc, pivot, c) of the buckets of several classes; how many
-    documents each class has (rep, n).
+    """Documents with their class (doc_id, n, sketch, rep); members (sig, doc, pivot, c) of the buckets of several classes; the classes
+    (rep, copies), all stored.
 
     A signature with many rows would be one task's window: such signatures are dealt out, and their counts and least
     members are summed up by partial aggregates.
@@ -202,8 +184,8 @@ def _members(prints: DataFrame, total: int, work: Scratch) -> tuple[DataFrame, D
     rest = prints.filter(~alone | F.col("doc_id").isNull()).select("doc_id", "n", "sketch", F.lit(None).cast("long").alias("rep"))
     known = work.store(found.unionByName(rest))
 
-    seen = prints.filter("sigs is not null").select("sigs").mapInArrow(_hot_signatures, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n"))
-    common = work.store(seen.orderBy(F.desc("n"), "sig").limit(MOST_HOT_KEYS).select("sig"))  # any other has at most one part in MOST_HOT_KEYS of all rows
+    seen = prints.filter("sigs is not null").select("sigs").mapInArrow(often_seen, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    common = work.store(seen.orderBy(F.desc("n"), "value").limit(MOST_HOT_KEYS).select(F.col("value").alias("sig")))  # any other has at most one part in MOST_HOT_KEYS of all rows
     shared = prints.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
     rare = shared.join(F.broadcast(common), "sig", "left_anti").selectExpr("sig", "doc", "count(*) over (partition by sig) as c").filter("c > 1").select("sig", "doc")
     buckets = work.store(rare.unionByName(shared.join(F.broadcast(common), "sig")))
@@ -214,7 +196,7 @@ def _members(prints: DataFrame, total: int, work: Scratch) -> tuple[DataFrame, D
     sums = often.groupBy("sig").agg(F.min("doc").alias("pivot"), F.count("*").alias("c"))
     out = work.store(rare.unionByName(often.join(F.broadcast(sums), "sig").select("sig", "doc", "pivot", "c")).filter("c > 1"))
     work.drop(buckets, members, common)
-    return known, out, classes.select("rep", F.col("copies").alias("n"))
+    return known, out, classes
 
 
 def _further_pairs(members: DataFrame, nodes: DataFrame, comp: DataFrame, percent: int, work: Scratch) -> DataFrame:

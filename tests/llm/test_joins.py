@@ -162,7 +162,8 @@ def test_vectors_against_all_pairs(spark):
     assert got[904]["n_links"] == got[905]["n_links"] == 1 and got[905]["component_id"] == 904
     assert got[None]["component_id"] is None and got[None]["n_links"] == 0
     assert vector_join.near_duplicate_vectors(df.limit(0)).count() == 0
-    assert vector_join.recall(0.95, 26, 12, 2.0) > 0.99
+    assert vector_join.plan(50_000, 0.95, 0.99, 2.0) == (18, 11) and vector_join.plan(10**10, 0.95, 0.99, 2.0)[1] > 25
+    assert all(vector_join.recall(0.95, *vector_join.plan(n, 0.95, 0.995, 2.0), 2.0) >= 0.995 for n in (0, 1, 10, 10**5, 10**9))
 
 
 def vectors(spark, *vecs):

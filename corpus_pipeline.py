@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from invoicelake.llm import mixing, packing, pii, set_join, toxicity
 from invoicelake.llm.common import Scratch
@@ -23,7 +22,7 @@ from invoicelake.llm.common import Scratch
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score(docs, labels, keep=True).filter(F.col("_score") < 0.7).select(*docs.columns)
+    return toxicity.without_toxic(docs, labels, threshold=0.7)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = Scratch(spark, f"pipeline-{name.replace(' ', '-')}").store(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    work = Scratch(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, work.store(stage(spark, docs, sf_dir))
+        work.drop(before)
+    pieces = STAGES[-1][1](spark, docs, sf_dir)  # stores what it places
+    work.drop(docs)
+    return pieces

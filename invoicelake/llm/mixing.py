@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_names, hot_keys, salted_join
 
 
 def n_words(text: Column | str) -> Column:
@@ -111,30 +111,46 @@ def _rounded(units: DataFrame, scratch: Scratch, bucket: int, seed: int) -> Data
     return done.unionByName(last).select(F.col("unit.doc").alias("doc_id"), "source", F.col("unit.size").alias("size"), F.col("unit.bit").alias("bit"))
 
 
+#: Up to so many sources are sent to every executor; more are joined by a shuffle that deals out large ones.
+BROADCAST_SOURCES = 100_000
+
+
+def _with_source(rows: DataFrame, sources: DataFrame, few: bool, total: int) -> DataFrame:
+    """rows (of, ...) with their source's row."""
+    if few:
+        return rows.join(F.broadcast(sources), "of")
+    return salted_join(rows, sources, ["of"], hot_keys(sources, ["of"], total, "rows"), F.xxhash64("doc_id", "size"))
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, bucket: int = 96, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken; one row per row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.store(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n"))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.struct(F.count_if(F.col("size") > 0).alias("worded"), F.count("*").alias("rows")).alias("n"))
     sources = targets(sizes, weights, share, most, scratch)
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    sources = sources.select(F.col("source").alias("of"), "source_size", "n", "target", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("p"))
+    of = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("of")
+    sources = sources.select(of, "source_size", "n.worded", "n.rows", "target", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("p"))
+    few, total = sources.count() <= BROADCAST_SOURCES, rows.count()
 
-    keyed = rows.join(sources, F.col("source").eqNullSafe(F.col("of"))).withColumn("open", (F.col("p") > 0) & (F.col("size") > 0))
-    bits = _rounded(keyed.filter("open").select("doc_id", "source", "n", "size", "p"), scratch, bucket, seed)
+    keyed = _with_source(rows.select("*", of), sources, few, total).withColumn("open", (F.col("p") > 0) & (F.col("size") > 0))
+    bits = _rounded(keyed.filter("open").select("doc_id", "source", F.col("worded").alias("n"), "size", "p"), scratch, bucket, seed)
     fixed = keyed.filter("not open").select("doc_id", "source", "size", F.lit(0).alias("bit"))
-    out = fixed.unionByName(bits).join(sources, F.col("source").eqNullSafe(F.col("of")))
+    out = _with_source(fixed.unionByName(bits).select("*", of), sources, few, total)
     copies = (F.col("whole") + F.col("bit")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    out = scratch.store(out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")))
+    scratch.keep(out)
+    return out
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: each row of ``docs``, all columns, as often as it is taken. Rows without words are taken as their source's are
     at least."""
     chosen = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    chosen = chosen.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    keyed = docs.withColumn("_w", n_words(text_col))
-    match = keyed[id_col].cast("long").eqNullSafe(F.col("_d")) & keyed[source_col].cast("string").eqNullSafe(F.col("_s")) & (F.col("_w") == F.col("_n"))
-    place = "row_number() over (partition by _d, _s, _n order by 1)"
-    with_copies = keyed.join(chosen, match).withColumn("_k", F.when(F.size("_copies") == 1, F.element_at("_copies", 1)).otherwise(F.element_at("_copies", F.expr(place))))
-    return with_copies.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("_k", F.lit(1).cast("long"))))).filter("_again <= _k").select(*docs.columns)
+    words, doc, source, size, copies, own, again = free_names(docs.columns, "_words", "_doc", "_source", "_size", "_copies", "_own", "_again")
+    chosen = chosen.groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size)).agg(F.sort_array(F.collect_list("copies")).alias(copies))
+    keyed = docs.withColumn(words, n_words(text_col))
+    match = keyed[id_col].cast("long").eqNullSafe(F.col(doc)) & keyed[source_col].cast("string").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
+    place = f"row_number() over (partition by {doc}, {source}, {size} order by 1)"
+    with_copies = keyed.join(chosen, match).withColumn(own, F.when(F.size(copies) == 1, F.element_at(copies, 1)).otherwise(F.element_at(copies, F.expr(place))))
+    return with_copies.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(own, F.lit(1).cast("long"))))).filter(F.col(again) <= F.col(own)).select(*docs.columns)

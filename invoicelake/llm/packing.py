@@ -100,9 +100,11 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     left = placed.filter("kind = 1").select("part", "win", "length").withColumn("part_group", F.expr(f"part div {MERGED_PARTITIONS}"))
     moved = left.groupBy("part_group").applyInPandas(_merge(seq_len), "part long, win long, to_part long, to_win long, base long")
     pieces = placed.filter("kind = 0").drop("kind").join(moved, ["part", "win"], "left")
-    return pieces.select(
+    out = pieces.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         F.expr("shiftleft(coalesce(to_part, part), 32) + coalesce(to_win, win)").alias("sequence_id"),
         (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"),
         *(["ids"] if with_ids else []),
     )
+    out._scratch_path = placed._scratch_path  # Scratch.drop(out) deletes it
+    return out

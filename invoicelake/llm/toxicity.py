@@ -1,17 +1,19 @@
 """Toxicity by noisy-channel deobfuscation.
 
 1. A character trigram model is counted over the words of all documents: a Python task counts words, turns the counts into trigram
-   counts and gives at most alphabet**3 rows, which are summed. The model grows in mass with the corpus and is bounded in size.
+   counts and gives at most alphabet**3 rows, which are summed. The model grows in mass with the corpus and is bounded in size: scripts
+   of thousands of signs, which no sign of a Latin disguise stands for, count as one letter.
 2. A word that looks disguised (digits or signs among letters, letters repeated, letters set apart) is a lattice: a position may be
    what is seen or what the sign stands for, a repeated letter may be one or two, a separator nothing. An exact Viterbi search
    over states of two characters gives the likeliest readings under the model.
-3. A document's evidence is that of its worst restored words. Evidence of a word is the smoothed share of toxic documents among those
+3. A document's evidence is that of its three worst restored words. Evidence of a word is the smoothed share of toxic documents among those
    that hold it, or, where different words share a beginning, hold a word that begins so; it is counted over labelled rows, of near copies only one.
    Strong evidence comes first; the rest is counted anew over the toxic documents that hold none of it, so that what merely goes
    along with strong words is not taken for a cause.
 
-Labels are learned only from rows whose crc32(doc_id) mod 3 is not 1, of each class at most ``class_rows``, taken by the order of a
-hash of the doc_id. That bound also bounds what is sent to the executors. Scores read the text alone.
+Labels are learned only from rows whose crc32(doc_id) mod 3 is not 1, of each class at most ``class_rows``, the first by a hash of the
+doc_id; the classifier keeps at most ``model_features`` features, those of the most evidence. These two bound what is sent to the
+executors. Where labels of a doc_id differ, toxic holds. Scores read the text alone.
 
 Null and empty texts score the share of toxic rows. Null labels teach nothing; without labels every score is 0. Rows that repeat
 a doc_id are scored each on its own. An empty table gives no rows. Other columns are left out.
@@ -31,7 +33,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import Scratch, as_bytes, batch_columns, slices, worker_cache
 from .shingles import mix, window_hashes, word_hashes
@@ -51,13 +52,15 @@ COST_SIGN, COST_SEPARATOR, COST_RUN, COST_LOST_SIGN = 1.0, 0.5, 0.3, 8.0
 BEST = 6
 #: Beginnings of a word that carry evidence, in letters.
 BEGINNINGS = (4, 5, 6, 7)
-MODEL_FEATURES = 200_000
 #: A long lattice is read in windows of twice as many pieces, half of each in the next: what has so many letters lies whole in one.
 HALF_WINDOW = 24
 #: Of a longer token, what stands between separators counts too, and words within.
 LONG = 40
 _APART = re.compile(rf"[^\w{_SIGNS}]+|_+")
 PRIOR_ROWS = 3.0
+#: Ideographs, kana, syllables of Hangul and the like, and the letter that they count as.
+_MANY = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]")
+_FIRST_OF_MANY, _ONE = "\u2e80", "\u5b57"
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +71,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, n in words.items():
             text = w.decode().strip(_EDGE).lower()
             if text.isalpha():
-                padded = f"^^{text}$"
+                padded = f"^^{_MANY.sub(_ONE, text)}$"
                 for k in range(len(padded) - 2):
                     grams[padded[k : k + 3]] += n
         words.clear()
@@ -101,6 +104,8 @@ class CharModel:
         self.kinds = len(self.one) + 1
 
     def cost(self, a: str, b: str, c: str) -> float:
+        if a >= _FIRST_OF_MANY or b >= _FIRST_OF_MANY or c >= _FIRST_OF_MANY:
+            a, b, c = _MANY.sub(_ONE, a), _MANY.sub(_ONE, b), _MANY.sub(_ONE, c)
         one = (self.one[c] + 1) / (self.total + self.kinds)
         two = (self.mid[b + c] + 4 * one) / (self.pre[b] + 4)
         return -math.log((self.tri.get(a + b + c, 0) + 4 * two) / (self.two[a + b] + 4))
@@ -298,12 +303,28 @@ class WordScores(dict):
         return max(1 - left, 0.0) if worst else rate
 
 
-def _score_all(key: str, shared, rate: float, out: str):
+def _scores_of(key: str, shared) -> WordScores:
+    return worker_cache(key, lambda: WordScores(CharModel(shared.value[0]), shared.value[1]))
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def _score_all(key: str, shared, rate: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scores_of(key, shared)
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scores.score(x, rate) for x in _texts(b.column(1))], pa.float64())], names=["doc_id", "score"])
+
+    return run
+
+
+def _below(key: str, shared, rate: float, at: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = worker_cache(key, lambda: WordScores(CharModel(shared.value[0]), shared.value[1]))
-        for b in slices(batches):  # the text comes last, the score takes its place
-            values = [scores.score(x, rate) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(values, pa.float64())], names=[*b.schema.names[:-1], out])
+        scores = _scores_of(key, shared)
+        for b in slices(batches):
+            yield b.filter(pa.array([scores.score(x, rate) < threshold for x in _texts(b.column(at))], pa.bool_()))
 
     return run
 
@@ -314,8 +335,8 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", class_rows: int = 10_000) -> tuple[dict[str, int], dict[str, float], float]:
-    """(trigram counts, evidence of features, share of toxic rows). Both tables are bounded: by the alphabet, by MODEL_FEATURES."""
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", class_rows: int = 10_000, model_features: int = 200_000) -> tuple[dict[str, int], dict[str, float], float]:
+    """(trigram counts, evidence of features, share of toxic rows). Both tables are bounded: by the alphabet, by ``model_features``."""
     spark = docs.sparkSession
     work = Scratch(spark, "toxicity")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(F.col(text_col)).alias("utf8"))
@@ -323,14 +344,15 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     counts = {g: n for g, n in grams.collect()}
     model = CharModel(counts)
 
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out("doc_id")).dropDuplicates(["doc_id"])
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out("doc_id"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     numbers = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not numbers.get(1):
         return counts, {}, 0.0
     rate = numbers[1] / sum(numbers.values())
     taken = {k: min(1.0, class_rows / n) for k, n in numbers.items()}
-    draw = F.expr("pmod(xxhash64(doc_id), 1000000) / 1e6")
-    chosen = known.filter(draw < F.when(F.col("toxic") == 1, taken[1]).otherwise(taken.get(0, 1.0)))
+    first_rows = lambda k: known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(class_rows)
+    chosen = work.store(first_rows(1).unionByName(first_rows(0)))
     made = source.join(F.broadcast(chosen), "doc_id").mapInArrow(_sample_features(model), "doc_id long, toxic int, bands array<long>, features array<string>, low array<long>, high array<long>")
     sample = work.store(made)
     bands = sample.select("doc_id", "toxic", F.explode("bands").alias("band"))
@@ -354,22 +376,27 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     explained = toxic.join(strong, "feature", "left_semi").select("doc_id").distinct()
     again = toxic.join(explained, "doc_id", "left_anti").groupBy("feature").agg(F.count("*").alias("u"))
     weak = found.join(strong, "feature", "left_anti").join(again, "feature").filter("u >= 3").withColumn("share", share("u")).filter("share > 0.5")
-    kept = strong.unionByName(weak.select("feature", "share")).orderBy(F.desc("share"), "feature").limit(MODEL_FEATURES)
+    kept = strong.unionByName(weak.select("feature", "share")).orderBy(F.desc("share"), "feature").limit(model_features)
     weights = {r["feature"]: r["share"] for r in kept.collect()}
-    work.drop(rows, found)
+    work.drop(rows, found, chosen)
     return counts, weights, rate
 
 
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", class_rows: int = 10_000, threshold: float = 0.7, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted; with ``keep``, all columns of ``docs`` and _score, for filters."""
-    spark = docs.sparkSession
-    counts, weights, rate = learn(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, class_rows=class_rows)
-    shared = spark.sparkContext.broadcast((counts, weights))
-    key = f"toxicity {uuid.uuid4().hex}"
-    if keep:
-        source = docs.select("*", as_bytes(F.col(text_col)).alias("_utf8"))
-        return source.mapInArrow(_score_all(key, shared, min(rate, 0.5), "_score"), StructType([*docs.schema, StructField("_score", DoubleType())]))
-    source = docs.select(F.col(id_col).alias("doc_id"), as_bytes(F.col(text_col)).alias("utf8"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    scored = source.mapInArrow(_score_all(key, shared, min(rate, 0.5), "score"), f"doc_id {kind}, score double")
+def _learned(docs: DataFrame, labels: DataFrame, **how) -> tuple[str, object, float]:
+    """The workers' key for a model, the model as it is sent to them, and the score of texts without evidence."""
+    counts, weights, rate = learn(docs, labels, **how)
+    return f"toxicity {uuid.uuid4().hex}", docs.sparkSession.sparkContext.broadcast((counts, weights)), min(rate, 0.5)
+
+
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", class_rows: int = 10_000, model_features: int = 200_000, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    key, shared, rate = _learned(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, class_rows=class_rows, model_features=model_features)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scored = source.mapInArrow(_score_all(key, shared, rate), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", class_rows: int = 10_000, model_features: int = 200_000, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, that score less than ``threshold``."""
+    key, shared, rate = _learned(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, class_rows=class_rows, model_features=model_features)
+    return docs.mapInArrow(_below(key, shared, rate, docs.columns.index(text_col), threshold), docs.schema)

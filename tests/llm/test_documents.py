@@ -1,8 +1,10 @@
 import hashlib
+import itertools
 import random
 import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,13 +56,46 @@ def test_long_texts_are_linear():
     assert pii.spans_of("a" * 300_000) == [] and pii.spans_of("@" * 50_000) == [] and len(pii.spans_of("1" * 200_000 + " a@b.c")) == 1
 
 
-def test_pii_digest(docs, nothing):
-    rows = {r["doc_id"]: r for r in pii.digest(pii.find(docs)).collect()}
-    for r in docs.collect():
-        base = plain(r["text"] or "")
-        joined = ",".join(f"{k}:{i}:{j}" for k, i, j in base)
-        assert rows[r["doc_id"]]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and rows[r["doc_id"]]["n_email"] == sum(k == "email" for k, _, _ in base)
+#: What disguises are made of: every separator of every step, and pieces of identifiers.
+BITS = st.sampled_from([*" .,-()[]@+_\n", " dot ", " at ", "[at]", "(dot)", " @ ", "@", ". ", " .", "john", "example", "com", "polkadot.com", "plus", "double", "one", "five", "un", "uno", "siete", "1", "55", "192", "4O", "O5", "l1", "oh", "О", "１", "\u200b", "4539578763621486"])
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(BITS, max_size=40).map("".join))
+def test_gates_change_nothing(text):
+    base = pii.plain(text)
+    assert pii.disguised(text, base) == pii.disguised(text, base, gated=False)
+
+
+@pytest.mark.parametrize(
+    "text,kind,found",
+    [
+        ("plus (one) (five) (five) (five) (one) (two) (three) (four) (five) (six) (seven)", "phone", "plus (one) (five) (five) (five) (one) (two) (three) (four) (five) (six) (seven"),
+        ("at one nine two.one six eight.one.one zero end", "ip", "one nine two.one six eight.one.one zero"), ("so +1 (5O) 555 (l2) 34567 it", "phone", "+1 (5O) 555 (l2) 34567"),
+        ("mail john@example .com now", "email", "john@example .com"),
+    ],
+)
+def test_disguises_with_any_separator(text, kind, found):
+    assert (kind, found) in [(s["kind"], text[s["start"] : s["end"]]) for s in pii.spans_of(text)]
+
+
+def test_pii_digest(spark, docs, nothing):
+    more = ["a@b.co; 192.168.0.1; +1 555 123 4567; 4539578763621486", "john dot doe at example dot com", "a@b.co c@d.org"]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + k, x) for k, x in enumerate(more)], "doc_id long, text string"))
+    rows = {r["doc_id"]: r.asDict() for r in pii.digest(pii.find(df)).collect()}
+    for r in df.collect():
+        text, got = r["text"] or "", rows[r["doc_id"]]
+        base = plain(text)
+        held = lambda spans: ",".join(f"{k}:{i}:{j}" for k, i, j in spans)
+        every = sorted(base + pii.disguised(text, base, gated=False), key=lambda s: (s[1], pii.KINDS.index(s[0]), s[2]))
+        assert got["base_sha256"] == hashlib.sha256(held(base).encode()).hexdigest() and got["spans"] == held(every)
+        assert [got[f"n_{k}"] for k in pii.KINDS] == [sum(x == k for x, _, _ in base) for k in pii.KINDS]
+        assert [got[f"n_all_{k}"] for k in pii.KINDS] == [sum(x == k for x, _, _ in every) for k in pii.KINDS]
+        assert (got["n_spans"], got["n_added"]) == (len(every), len(every) - len(base))
+    assert rows[1000]["n_spans"] == 4 and rows[1001]["n_all_email"] == 1 and rows[1001]["n_email"] == 0
     assert pii.redact(docs).columns == docs.columns and pii.redact(docs).count() == docs.count()
+    clash = docs.select("doc_id", "text").withColumns({"spans": F.lit("own"), "kind": F.lit(3)})
+    assert {(r["spans"], r["kind"]) for r in pii.redact(clash).collect()} == {("own", 3)}
     assert pii.find(nothing).count() == 0 and pii.redact(nothing).count() == 0
 
 
@@ -98,7 +133,7 @@ def test_ledger_and_policies(docs, nothing):
     assert quality.ledger(nothing).count() == 0
 
 
-def test_mixing(docs, nothing):
+def test_mixing(docs, nothing, monkeypatch):
     out = mixing.mix(docs).collect()
     assert len(out) == docs.count()
     total = sum(r["size"] for r in out)
@@ -127,6 +162,10 @@ def test_mixing(docs, nothing):
     key = lambda r: (r["doc_id"] is not None, r["doc_id"], r["taken"])
     assert sorted(again, key=key) == sorted(out, key=key)
     assert mixing.mix(nothing).count() == 0
+    clash = mixing.mixed_documents(docs.selectExpr("*", "1 as _w", "2 as _words", "3 as _copies", "4 as of", "5 as _way"))
+    assert clash.count() == sum(r["copies"] for r in out) and {(r["_w"], r["_words"], r["of"]) for r in clash.collect()} == {(1, 2, 4)}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", -1)
+    assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, out))
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in out)
     assert mixing.mixed_documents(nothing).count() == 0
@@ -165,8 +204,53 @@ def test_toxicity(spark, spoken):
     assert held and all(got[k]["predicted"] == truth[k] for k in held)
     assert [got[k]["predicted"] for k in (10_000, 10_001, 10_002, 10_003, 10_004, 10_005, None, 10_006)] == [1, 1, 1, 0, 0, 0, 1, 0]
     assert all(0 <= r["score"] <= 1 for r in got.values())
-    kept = toxicity.score(docs, labels, keep=True)
-    assert kept.columns == [*docs.columns, "_score"] and kept.count() == docs.count()
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.schema == docs.schema and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(k) for k, r in got.items() if r["score"] < 0.7)
+    twice = labels.union(labels.filter("toxic = 1").withColumn("toxic", F.lit(0)))  # toxic holds
+    assert {r["doc_id"]: r["score"] for r in toxicity.score(docs, twice.repartition(5)).collect()} == {k: r["score"] for k, r in got.items()}
+    assert toxicity.score(docs, labels, class_rows=20).filter("predicted = 1").count() > 50
+
+
+def test_scores_against_all_readings():
+    """Every path of every word's lattice, by brute force."""
+    counts = {}
+    for w in ["idiot", "moron", "stupid", "loser", "illicit"] * 3 + ["it", "dot", "lid", "or", "on"]:
+        p = f"^^{w}$"
+        for k in range(len(p) - 2):
+            counts[p[k : k + 3]] = counts.get(p[k : k + 3], 0) + 1
+    model, weights = toxicity.CharModel(counts), {"idiot$": 0.9, "moron$": 0.6, "stup": 0.7, "dot$": 0.55, "x": 0.99}
+
+    def readings(word):
+        every = {}
+        for path in itertools.product(*[w for w in toxicity.lattice(word) if w != [("", toxicity.COST_SEPARATOR)]]):
+            seen = "".join(t for t, _ in path)
+            padded = f"^^{seen}$"
+            cost = sum(c for _, c in path) + sum(model.cost(*padded[k : k + 3]) for k in range(len(seen) + 1))
+            every[seen] = min(cost, every.get(seen, cost))
+        return sorted(every, key=lambda s: (every[s], s))[: toxicity.BEST]
+
+    def word_score(word):
+        ways = [word, *(readings(word) if toxicity._LOOSE.search(word) else [])]
+        return max([weights.get(f, 0) for w in ways if len(w) >= 3 for f in [w + "$", *(w[:k] for k in (4, 5, 6, 7) if len(w) > k)]], default=0)
+
+    r, scores = random.Random(2), toxicity.WordScores(model, weights)
+    for _ in range(150):
+        words = ["".join(r.choice(x) for x in r.choice([("i1!", "d", "i1", "o0", "t7+"), ("mM", "o0", "r", "o0", "n"), ("s$5", "t7", "u", "p", "i1"), ("d", "o0", "t"), ("l", "a")])) for _ in range(r.randint(1, 5))]
+        worst = sorted((s for s in map(word_score, {toxicity.bared(w) for w in words}) if s > 0.5), reverse=True)[:3]
+        want = 0.1
+        if worst:
+            left = 1.0
+            for s in worst:
+                left *= 1 - s
+            want = 1 - left
+        spread = {w.lower(): toxicity.bared(w) for w in words}
+        if len(set(spread)) == len(set(spread.values())):
+            assert scores.score(" ".join(words).encode(), 0.1) == pytest.approx(want)
+
+
+def test_scripts_of_many_signs_are_one_letter():
+    grams = {g: n for b in toxicity._trigrams(iter([pa.RecordBatch.from_arrays([pa.array(["日本 語 かな 한국 abc".encode()])], names=["utf8"])])) for g, n in zip(*(c.to_pylist() for c in b.columns))}
+    assert set("".join(grams)) == set("^$abc字") and toxicity.CharModel(grams).cost("日", "本", "$") == toxicity.CharModel(grams).cost("字", "字", "$")
 
 
 def test_toxicity_without_labels_or_rows(spark, spoken):

@@ -62,11 +62,10 @@ def test_letters_of_any_script_and_gap(gap, word):
     assert word in toxicity.restored_text(text, got.model)
 
 
-def test_all_trigrams_of_all_words_count(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "MODEL_FEATURES", 50)
+def test_all_trigrams_of_all_words_count(spark):
     words = ["".join(chr(97 + (k * m + m) % 26) for k in range(9)) for m in range(1, 26)] + ["жук" * 20]
     docs = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "doc_id long, text string")
-    counts, _, _ = toxicity.learn(docs, spark.createDataFrame([(0, 0)], "doc_id long, toxic int"))
+    counts, _, _ = toxicity.learn(docs, spark.createDataFrame([(0, 0)], "doc_id long, toxic int"), model_features=50)
     want = {}
     for w in words:
         for k in range(len(w) + 1):

@@ -27,6 +27,11 @@ def header_label(field: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), field), field)
 
 
+def by_letter(layout: DataFrame) -> DataFrame:
+    """The columns in use, by their letters as texts (AA comes before B)."""
+    return layout.filter("letra <> ''").orderBy("letra")
+
+
 def sheet(lines: DataFrame, layout: DataFrame, mode: str = "texto") -> DataFrame:
     """(fila, columna, letra, valor, formato): header cells in row 1 if the layout has them, one row for each line from its first row on.
     Null and empty fields leave no cell; numbers as texts get the format @."""

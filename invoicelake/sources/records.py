@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import warnings
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import json_text
 from ..schema import RAW
@@ -19,6 +21,13 @@ def parse(texts: DataFrame) -> DataFrame:
     return rec.select("doc_seq", "origen", "pagina", "_r.*", F.col("_json").isNotNull().alias("legible"))
 
 
+def literal(spark: SparkSession, records: list[dict], origin: str = "literal") -> DataFrame:
+    """Records written out by hand, as ``parse`` gives them; fields that are left out are null."""
+    kept = {f.name for f in StructType.fromDDL(RAW)}
+    rows = [(k, origin, 1, json.dumps({f: v for f, v in r.items() if f in kept})) for k, r in enumerate(records)]
+    return parse(spark.createDataFrame(rows, "doc_seq long, origen string, pagina int, texto string"))
+
+
 def _fs(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath

@@ -21,8 +21,7 @@ def record(num="F-1", date="04/06/2026", base="100", pct="21", vat="21", total=N
 
 
 def raw(spark, *recs):
-    rows = [(k, "f.pdf", 1, json.dumps(r)) for k, r in enumerate(recs)]
-    return records.parse(spark.createDataFrame(rows, "doc_seq long, origen string, pagina int, texto string"))
+    return records.literal(spark, list(recs), "f.pdf")
 
 
 def built(spark, *recs):
@@ -183,6 +182,7 @@ def test_sheet(spark, tmp_path):
     (tmp_path / "gastos.xml").write_text(XML, "latin-1")
     where = layout.read(spark, f"file://{tmp_path}/gastos.xml")
     assert {(r["campo"], r["letra"]) for r in where.collect()} == {("num_factura", "Q"), ("fecha", "B"), ("base_iva", "D"), ("pct_iva", "E"), ("nif", "O")}
+    assert [r["letra"] for r in grid.by_letter(where).collect()] == ["B", "D", "E", "O", "Q"]
     assert where.first()["primera_fila"] == 2 and where.first()["incluye_cabecera"] and layout.is_expenses(where).first()[0]
     cells = grid.sheet(built(spark, record(base="1.234,5"), record(num=None)), where)
     got = {(r["fila"], r["letra"]): (r["valor"], r["formato"]) for r in cells.collect()}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_columns, slices
+from .common import Scratch, as_bytes, batch_columns, slices
 from .shingles import window_hashes, word_hashes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_exclaims", "n_stutters")
@@ -97,6 +97,17 @@ def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     return measured.withColumn("failures", F.expr(bits))
 
 
+def stored_ledger(docs: DataFrame, **how) -> DataFrame:
+    """The ledger as a table in the shared folder: policies and ablations read it, not the texts."""
+    return Scratch(docs.sparkSession, "ledger").store(ledger(docs, **how))
+
+
+def alone(version: int) -> Column:
+    """The bit of the rule that alone rejects a document under a policy; null where none or several do."""
+    held = F.col("failures").bitwiseAND(F.lit(POLICIES[version]).cast("long"))
+    return F.when(F.bit_count(held) == 1, F.bit_count(held - 1)).cast("long")
+
+
 def passes(version: int, failures: Column | str = "failures") -> Column:
     """Whether a policy keeps a document."""
     c = F.col(failures) if isinstance(failures, str) else failures

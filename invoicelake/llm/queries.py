@@ -42,9 +42,9 @@ def op5_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.ledger(_table(spark, sf_dir, "documents"))
+    rows = quality.stored_ledger(_table(spark, sf_dir, "documents"))
     base_failed = F.col("failures").bitwiseAND(F.lit(quality.BASE_MASK).cast("long")) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), quality.passes(quality.CURRENT_POLICY).alias("kept"), "failures")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), quality.passes(quality.CURRENT_POLICY).alias("kept"), "failures", quality.alone(quality.CURRENT_POLICY).alias("rejected_by_alone"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

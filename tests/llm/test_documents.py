@@ -133,6 +133,35 @@ def test_ledger_and_policies(docs, nothing):
     assert quality.ledger(nothing).count() == 0
 
 
+def failed_rules(text):
+    """The rules once more, in plain Python."""
+    text = text or ""
+    n, chars, symbols, dup, repeats = measured(text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
+    letters, upper = len(re.findall("[A-Za-z]", text)), len(re.findall("[A-Z]", text))
+    stutters = sum(a == b for a, b in zip(words, words[1:]))
+    return {
+        "few_words": n < 10, "repeated_windows": repeats / max(n, 1) > 0.2, "symbols": symbols > n / 10, "repeated_lines": lines >= 4 and dup / lines > 0.4, "word_length": n >= 10 and not 2.5 <= chars / n <= 15,
+        "shouting": letters >= 20 and upper / letters > 0.7, "exclaims": text.count("!") > n / 2, "stutter": n >= 10 and stutters / n > 0.2,
+    }
+
+
+def test_every_rule_and_what_it_alone_rejects(spark, docs):
+    plain_words = "some words that stand here once and are not too long at all then"
+    odd = ["a b " * 3 + plain_words, plain_words + " # $ %", "\n".join(["line of words"] * 5 + [plain_words]), plain_words.upper(), plain_words + "!" * 9, "so so so so " + plain_words, "x" * 400 + " " + plain_words, "a b c d e f g h i j k l", plain_words, "very very " * 9]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(5000 + k, x) for k, x in enumerate(odd)], "doc_id long, text string"))
+    rows = quality.stored_ledger(df).withColumn("kept", quality.passes(3)).withColumn("alone", quality.alone(3))
+    want = {r["doc_id"]: failed_rules(r["text"]) for r in df.collect()}
+    seen = set()
+    for r in rows.collect():
+        failed = [x.name for x in quality.RULES if r["failures"] >> x.bit & 1]
+        assert failed == [x.name for x in quality.RULES if want[r["doc_id"]][x.name]] and r["kept"] == (not failed)
+        assert r["alone"] == (next(x.bit for x in quality.RULES if x.name == failed[0]) if len(failed) == 1 else None)
+        seen.update(failed)
+    assert seen == {x.name for x in quality.RULES}
+
+
 def test_mixing(docs, nothing, monkeypatch):
     out = mixing.mix(docs).collect()
     assert len(out) == docs.count()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import warnings
 
 from pyspark.errors import AnalysisException
@@ -66,6 +67,10 @@ def append_cache(records: DataFrame, path: str) -> None:
     records.select("clave", "texto").write.mode("append").json(path)
 
 
+#: What Spark says of a file that is no Parquet, or not a whole one.
+_BROKEN = re.compile(r"CANNOT_READ_FILE_FOOTER|not a Parquet file|UNABLE_TO_INFER_SCHEMA")
+
+
 def _versions(spark: SparkSession, path: str) -> list[str]:
     """The whole versions of a memory, latest first. Spark writes _SUCCESS last, so one without it isn't whole."""
     fs, jpath = _fs(spark, path)
@@ -81,7 +86,9 @@ def read_memory(spark: SparkSession, path: str, schema: str) -> DataFrame:
         held = f"{path.rstrip('/')}/{name}"
         try:
             spark.read.parquet(held).limit(1).count()
-        except Exception as e:  # a file that is no Parquet shows in several kinds of errors
+        except Exception as e:  # a broken file shows in several kinds of errors; any other reason is not the file's
+            if not _BROKEN.search(str(e)):
+                raise
             warnings.warn(f"{held} can't be read: {e}", stacklevel=2)
             continue
         return spark.read.schema(schema).parquet(held)

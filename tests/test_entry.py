@@ -1,8 +1,9 @@
+import os
 import shutil
 import subprocess
 import sys
 
-from conftest import ROOT
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 COUNT = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), len(o), any(k.startswith('op') or k == 'pipeline' for k in [*q, *o]), set(o) <= set(q))"
 

@@ -21,7 +21,8 @@ def _apply(lines: DataFrame, fixes: DataFrame) -> DataFrame:
 
 
 def _sibling_fixes(lines: DataFrame) -> DataFrame:
-    head = _headers(lines).filter("clave <> ''")
+    # pages that can't be read share one name and have no id: they are no siblings, however many they are
+    head = _headers(lines).filter((F.col("clave") != "") & (F.col("clave") != names.provider_key(F.lit(M.UNREADABLE))))
     valid = head.filter("valido").groupBy("clave", "norm").agg(F.min(F.struct("doc_seq", "nombre")).alias("donor"))
     per_name = valid.groupBy("clave").agg(F.count("*").alias("n"), F.min("norm").alias("bueno"), F.min_by("donor.nombre", "norm").alias("de"), F.array_join(F.array_sort(F.collect_list("norm")), ", ").alias("ids"))
     read = F.regexp_replace(F.coalesce("nif", F.lit("")), r"(?U)^\s+|\s+$", "")

@@ -101,7 +101,7 @@ class CachedTokenizer:
     """many(texts) gives the ids of a batch of texts. ``cache_bytes`` bounds each of two generations of pieces: once the newer one is
     full, it becomes the older one, and what is used again moves over."""
 
-    def __init__(self, path: str, cache_bytes: int = 96 << 20, special: bool = True):
+    def __init__(self, path: str, cache_bytes: int = 64 << 20, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer, pre_tokenizers

@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10: each applies one operator, with production parameters, to its whole table."""
+"""The registered queries op1 to op13: each applies one operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compaction, mixing, packing, pii, quality, set_join, token_store, toxicity, vector_join, warc
+from . import compaction, divergence, mixing, packing, piece_codec, pii, quality, set_join, token_store, toxicity, vector_join, warc, whitening
 from .common import fresh_path
 
 
@@ -65,14 +65,52 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = piece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    ids = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
+    return piece_codec.decode(ids, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(whitening.whiten(_table(spark, sf_dir, "embeddings"), most=32))
+
+
 _ALL = (
     op1_packing, op2_token_files, op3_ngram_jaccard_join, op4_pii, op5_size_tiered_compaction, op6_quality_rules, op7_mixing, op8_toxicity,
-    op9_arc_to_warc, op10_embedding_near_dedup,
+    op9_arc_to_warc, op10_embedding_near_dedup, op11_source_divergence, op12_sentencepiece, op13_embedding_whitening,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL of those queries whose rows SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op11_source_divergence": """
+        WITH d AS (
+          SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents
+        ), w AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+        c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM w GROUP BY ALL),
+        k AS MATERIALIZED (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+        ls AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM k GROUP BY ALL),
+        g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+        gs AS (SELECT lang, source, sum(c.n)::HUGEINT AS n FROM c JOIN k USING (lang, term) GROUP BY ALL),
+        f AS MATERIALIZED (
+          SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(gs.n, 0) + 2 * ls.v) AS p,
+                 1 + 1000000000::HUGEINT * (k.n + 2) // (ls.n + 2 * ls.v) AS q
+          FROM g JOIN k USING (lang) JOIN ls USING (lang) LEFT JOIN gs USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), met AS (
+          SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+          FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), pairs AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(m.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN met m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+        ), terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM f WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) u)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INT) AS rank FROM ranked WHERE part = 'pair' OR r <= 10""",
     "op5_size_tiered_compaction": "SELECT doc_id, source, lang, length(text) AS text_chars, md5(text) AS text_md5 FROM documents",
     "op9_arc_to_warc": """
         WITH p AS (

@@ -8,9 +8,9 @@ ids are recovered backwards. Time is linear in the text, however long, and nothi
 The pair test asks whether two entries, written side by side, stay as they are: it takes them apart along the border, always at
 that side whose last merge came later, and fails where a merge across the border would have come before.
 
-Texts are cut where no entry can reach across: in front of a space (no entry has one behind another sign) and around signs that the
-vocabulary lacks, which become their UTF-8 bytes. Pieces between cuts are met again and again, so a worker keeps their ids, at
-most so many; longer ones are encoded anew. Runs of spaces are entries of one score and so are joined from the left, last of all.
+Texts are cut where no entry can reach across: in front of a space, since no entry has one behind another sign. Words between cuts are met
+again and again, so a worker keeps their ids, at most so many; longer ones are encoded anew. Signs that the vocabulary lacks become
+their UTF-8 bytes; no entry reaches across them either. Runs of spaces are entries of one score and so are joined from the left, last of all.
 
 Null and empty texts have no ids and decode to ''. Null lists of ids decode as empty ones. Rows may repeat. Columns of the input are kept;
 one that has the name of the result is replaced. Models are refused that normalise, drop spaces, have user-defined or unused entries, or no
@@ -32,8 +32,12 @@ from pyspark.sql import functions as F
 from .common import BATCH_ROWS, slices, worker_cache
 
 SPACE = "▁"
-#: Longest piece whose ids are kept, and the most signs of kept pieces.
-KEPT_LENGTH, KEPT_SIGNS = 48, 4_000_000
+#: Between words that are encoded together; no entry may have it.
+SEPARATOR = "\n"
+#: Longest word whose ids are kept, the most signs of the words of one generation of two, and of pairs of entries that were tested.
+KEPT_LENGTH, KEPT_SIGNS, KEPT_PAIRS = 48, 5_000_000, 400_000
+#: In the table: no token ends here; a text begins here, or a sign that the vocabulary lacks ends here.
+NOTHING, BORDER = -1, -2
 
 
 class Codec:
@@ -41,11 +45,15 @@ class Codec:
 
     def __init__(self, model_path: str):
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        self._entries(model_path)
+        self.model_path, self.rank = model_path, None
+
+    def _build(self) -> None:
+        """What encoding needs and decoding doesn't."""
+        self._entries(self.model_path)
         self._merges()
-        self.texts = _Kept(self)
-        self.parts: dict[str, np.ndarray] = {}
-        self.pair: dict[int, bool] = {}
+        self.kept: dict[str, bytes] = {}  # words of late, and those before them that weren't met since
+        self.before: dict[str, bytes] = {}
+        self.signs = 0
 
     def _entries(self, model_path: str) -> None:
         from sentencepiece import sentencepiece_model_pb2
@@ -66,6 +74,8 @@ class Codec:
             elif p.type == kinds.NORMAL:
                 normal.append((p.piece, p.score, k))
         self.runs = {p: k for p, _, k in normal if set(p) == {SPACE}}
+        if any(SEPARATOR in p for p, _, _ in normal):
+            raise ValueError("no entry may have a line feed")
         words = [(p, s, k) for p, s, k in normal if p == SPACE or p not in self.runs]
         joined = [s for p, s, _ in words if len(p) > 1]
         if any(SPACE in p[1:] for p, _, _ in words) or len(set(joined)) < len(joined) or {s for p, s, _ in normal if p in self.runs and p != SPACE} & set(joined):
@@ -81,28 +91,41 @@ class Codec:
         merging never gives is left out."""
         self.split: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
-        automaton = ahocorasick.Automaton()
+        self.pair: dict[int, bool] = {}
+        self.automaton = ahocorasick.Automaton()
+        self.single = {p: k for p, k in self.ids.items() if len(p) == 1}
+        self.size = {k: len(p) for p, k in self.ids.items()}
+        self.split.update((k, (k, k)) for k in self.single.values())
+        made: list[int] = []
+        entries = sorted((k for k, p in self.text.items() if len(p) > 1), key=self.rank.__getitem__)
+        every = ahocorasick.Automaton()
         for piece, k in self.ids.items():
-            automaton.add_word(piece, (k, len(piece)))
-        automaton.make_automaton()
-        self.automaton, self.pair = automaton, {}
-        self.usable: set[int] = {k for p, k in self.ids.items() if len(p) == 1}
-        for k in sorted(self.text, key=self.rank.__getitem__):
-            if k in self.usable:
-                self.split[k] = (k, k)
-            else:
-                parts = self.last_tokens(self.text[k])
-                if len(parts) == 2:  # else its parts never meet as two
-                    self.split[k] = tuple(parts)
-                    self.joined[tuple(parts)] = k
-                    self.usable.add(k)
-        self.pair = {}
-        automaton = ahocorasick.Automaton()
-        for k in self.usable:
-            automaton.add_word(self.text[k], (k, len(self.text[k])))
-        automaton.make_automaton()
-        self.automaton = automaton
-        self.known = {p for p in self.ids if len(p) == 1}
+            every.add_word(piece, (k, len(piece)))
+        every.make_automaton()
+        for k in entries:
+            parts = self._parts(self.text[k], every)
+            if len(parts) == 2:  # else its parts never meet as two
+                self.split[k] = tuple(parts)
+                self.joined[tuple(parts)] = k
+                made.append(k)
+        for k in made:
+            self.automaton.add_word(self.text[k], (k, len(self.text[k])))
+        self.automaton.make_automaton()
+        self.usable, self.pair = set(self.split), {}
+        self.unknown = re.compile("[^" + "".join(map(re.escape, self.single)) + "]")
+
+    def _parts(self, entry: str, every: ahocorasick.Automaton) -> list[int]:
+        """An entry's tokens before its own last merge: those that are known so far, by the same table."""
+        last, length = [BORDER] + [NOTHING] * len(entry), [0] * (len(entry) + 1)
+        for end, (k, size) in every.iter(entry):
+            before = last[end + 1 - size]
+            if k in self.split and not length[end + 1] and (before == BORDER or before >= 0 and self.compatible(before, k)):
+                last[end + 1], length[end + 1] = k, size
+        out, at = [], len(entry)
+        while at > 0:
+            out.insert(0, last[at])
+            at -= length[at]
+        return out
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two entries side by side stay two."""
@@ -121,51 +144,59 @@ class Codec:
             else:
                 limit, right = rank[right] + 1, split[right][0]
 
-    def last_tokens(self, part: str) -> list[int]:
-        """The ids of a part of known signs, by the prefix table."""
-        n = len(part)
-        last: list[int] = [-1] * (n + 1)
-        length: list[int] = [0] * (n + 1)
-        pair, usable, width = self.pair, self.usable, 1 << 20
-        for end, (k, size) in self.automaton.iter(part):
-            end += 1
-            if length[end] or k not in usable:
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids, as 32-bit numbers, of words without spaces, each behind one space. They are written one behind the other with a sign between that no
+        entry has, so that the automaton runs once; the table has a place for each sign."""
+        joined = SEPARATOR + SEPARATOR.join([SPACE + w for w in words])
+        last = [NOTHING] * len(joined)
+        for lacking in self.unknown.finditer(joined):
+            last[lacking.start()] = BORDER
+        self._fill(joined, last)
+        size, single = self.size, self.single
+        out: list[int] = []
+        counts: list[int] = []
+        end = len(joined) - 1
+        for w in reversed(words):  # ids are recovered backwards
+            begin, at, before = end - len(w) - 1, end, len(out)
+            while at > begin:
+                k = last[at]
+                if k == BORDER:
+                    out += [self.byte_ids[b] for b in reversed(joined[at].encode())]
+                    at -= 1
+                elif k == NOTHING:
+                    out.append(single[joined[at]])
+                    at -= 1
+                else:
+                    out.append(k)
+                    at -= size[k]
+            counts.append(len(out) - before)
+            end = begin - 1
+        ids = np.array(out[::-1], "<u4").tobytes()
+        ends = np.cumsum([0] + counts[::-1]) * 4
+        return [ids[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def _fill(self, text: str, last: list[int]) -> None:
+        """Puts last tokens into the table; places are those of last signs. Of the entries that end at a place one at most fits; where none of
+        two signs or more does, it is the sign itself, which is put there once it is asked for. The text begins with a border."""
+        pair, single, compatible = self.pair, self.single, self.compatible
+        for end, (k, size) in self.automaton.iter(text):
+            if last[end] >= 0:
                 continue
             begin = end - size
-            if begin:
-                before = last[begin]
-                if before < 0:
-                    continue
-                key = before * width + k
-                fits = pair.get(key)
-                if fits is None:
-                    if len(pair) > 2_000_000:
-                        pair.clear()
-                    fits = pair[key] = self.compatible(before, k)
-                if not fits:
+            before = last[begin]
+            if before < 0:
+                if before == BORDER:
+                    last[end] = k
                     continue
-            last[end], length[end] = k, size
-        out, at = [], n
-        while at > 0:
-            out.append(last[at])
-            at -= length[at]
-        out.reverse()
-        return out
-
-    def word(self, word: str) -> bytes:
-        """Ids, as 32-bit numbers, of a word without spaces behind one space."""
-        out: list[int] = []
-        whole = SPACE + word
-        begin = 0
-        for at, sign in enumerate(whole):
-            if sign not in self.known:
-                if at > begin:
-                    out += self.last_tokens(whole[begin:at])
-                out += [self.byte_ids[b] for b in sign.encode()]
-                begin = at + 1
-        if begin < len(whole):
-            out += self.last_tokens(whole[begin:])
-        return np.array(out, "<u4").tobytes()
+                before = last[begin] = single[text[begin]]
+            key = before << 20 | k
+            fits = pair.get(key)
+            if fits is None:
+                if len(pair) >= KEPT_PAIRS:
+                    pair.clear()
+                fits = pair[key] = compatible(before, k)
+            if fits:
+                last[end] = k
 
     def spaces(self, n: int) -> bytes:
         """Ids of a run of single spaces: as all longer runs have one score, the leftmost two that make an entry are joined, time and again."""
@@ -183,18 +214,36 @@ class Codec:
                     break
         return np.array([self.runs[SPACE * k] for k in got], "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        words = text.replace(SPACE, " ").split(" ")
-        if "" not in words:
-            return b"".join(map(self.texts.__getitem__, words))
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts, as 32-bit numbers. Words that weren't met before are encoded together."""
+        if self.rank is None:
+            self._build()
+        split = [t.replace(SPACE, " ").split(" ") if t else [] for t in texts]
+        kept, before = self.kept, self.before
+        new = set().union(*split).difference(kept)
+        new.discard("")
+        for w in before.keys() & new:
+            kept[w] = before[w]
+        self.signs += sum(map(len, new)) + 8 * len(new)
+        new = list(new.difference(kept))
+        kept.update(zip(new, self.words(new)))
+        out = [b"".join(map(kept.__getitem__, words)) if "" not in words else self._spaced(words) for words in split]
+        for w in new:
+            if len(w) > KEPT_LENGTH:
+                del kept[w]
+                self.signs -= len(w) + 8
+        if self.signs > KEPT_SIGNS:
+            self.kept, self.before, self.signs = {}, kept, 0
+        return out
+
+    def _spaced(self, words: list[str]) -> bytes:
+        """Ids of a text with runs of spaces: an empty word has another space behind its own."""
         lone = np.array([self.runs[SPACE]], "<u4").tobytes()
         out, run = [], 0
         for word in words:
             run += 1
             if word:
-                ids = self.texts[word]
+                ids = self.kept[word]
                 if ids[:4] == lone:
                     ids = ids[4:]
                 else:
@@ -207,28 +256,13 @@ class Codec:
             out.append(self.spaces(run))
         return b"".join(out)
 
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
 
-class _Kept(dict):
-    """Ids of words met before; forgets all beyond a number of signs."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec, self.signs = codec, 0
-
-    def __missing__(self, word: str) -> bytes:
-        out = self.codec.word(word)
-        if len(word) <= KEPT_LENGTH:
-            self.signs += len(word) + 8
-            if self.signs > KEPT_SIGNS:
-                self.clear()
-                self.signs = 0
-            self[word] = out
-        return out
-
-
 def _codec(model_path: str) -> Codec:
     return worker_cache(f"pieces {model_path}", lambda: Codec(model_path))
 
@@ -253,7 +287,7 @@ def _encoder(model_path: str, text_col: str, out_col: str, schema: pa.Schema):
             text = b.column(b.schema.get_field_index(text_col))
             for i, j in _pieces(text, 4 << 20):
                 part = b.slice(i, j - i)
-                encoded = [codec.encode(t) if t else b"" for t in text.slice(i, j - i).to_pylist()]
+                encoded = codec.encode_all(text.slice(i, j - i).to_pylist())
                 ends = np.cumsum([0] + [len(e) // 4 for e in encoded]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), "<i4"), pa.int32()))
                 yield pa.RecordBatch.from_arrays([ids if f.name == out_col else part.column(part.schema.get_field_index(f.name)) for f in schema], names=schema.names)

@@ -98,7 +98,9 @@ def test_whole_numbers_of_a_large_corpus(spark):
 # SentencePiece ----------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def codec():
-    return piece_codec.Codec(MODEL)
+    out = piece_codec.Codec(MODEL)
+    out.encode("")
+    return out
 
 
 def ids_of(codec, text):
@@ -157,9 +159,10 @@ def test_the_piece_query_by_the_library(spark, docs, tmp_path):
 
 def test_kept_words_are_bounded(codec, monkeypatch):
     monkeypatch.setattr(piece_codec, "KEPT_SIGNS", 2_000)
+    monkeypatch.setattr(piece_codec, "KEPT_PAIRS", 10)
     for k in range(600):
-        assert ids_of(codec, f"w{k} x{k}") == codec.library.encode(f"w{k} x{k}")
-    assert codec.texts.signs <= 2_100
+        assert ids_of(codec, f"w{k} x{k} " + "y" * 60) == codec.library.encode(f"w{k} x{k} " + "y" * 60)
+        assert codec.signs <= 2_000 and "y" * 60 not in codec.kept and len(codec.kept) < 300 and len(codec.pair) <= 10
 
 
 # Embedding whitening ----------------------------------------------------------------------------------------------------

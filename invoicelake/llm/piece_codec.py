@@ -35,7 +35,7 @@ SPACE = "▁"
 #: Between words that are encoded together; no entry may have it.
 SEPARATOR = "\n"
 #: Longest word whose ids are kept, the most signs of the words of one generation of two, and of pairs of entries that were tested.
-KEPT_LENGTH, KEPT_SIGNS, KEPT_PAIRS = 48, 5_000_000, 400_000
+KEPT_LENGTH, KEPT_SIGNS, KEPT_PAIRS = 48, 4_500_000, 300_000
 #: In the table: no token ends here; a text begins here, or a sign that the vocabulary lacks ends here.
 NOTHING, BORDER = -1, -2
 
@@ -285,7 +285,7 @@ def _encoder(model_path: str, text_col: str, out_col: str, schema: pa.Schema):
         codec = _codec(model_path)
         for b in slices(batches, BATCH_ROWS):
             text = b.column(b.schema.get_field_index(text_col))
-            for i, j in _pieces(text, 4 << 20):
+            for i, j in _pieces(text, 2 << 20):
                 part = b.slice(i, j - i)
                 encoded = codec.encode_all(text.slice(i, j - i).to_pylist())
                 ends = np.cumsum([0] + [len(e) // 4 for e in encoded]).astype(np.int32)

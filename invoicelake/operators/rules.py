@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import strip_accents
 from ..functions.texts import let
+from . import rule_index
 
 DEFAULT_EXPENSE, DEFAULT_SALE, SUPPLIES = "600", "700", "628"
 # Accounts with their keywords, first match wins; sub-codes of account 628 likewise.
@@ -56,10 +57,8 @@ def rule_table(spark: SparkSession, rules: Rules) -> DataFrame:
 
 
 def by_join(df: DataFrame, id_col: str, text: Column, rules: DataFrame, default: str | None) -> DataFrame:
-    """The same for rules kept in a table: (id, codigo). All rules are tried; Spark chooses the join."""
-    t = df.select(F.col(id_col), strip_accents(F.lower(F.coalesce(text, F.lit("")))).alias("_t"))
-    hits = t.join(rules, F.expr("contains(_t, clave)"), "left")
-    return hits.groupBy(id_col).agg(F.coalesce(F.min_by("codigo", "prio"), F.lit(default)).alias("codigo"))
+    """The same for rules kept in a table: (id, codigo). All rules count; an index of q-grams finds those worth a test."""
+    return rule_index.by_index(df, id_col, text, rules, default)
 
 
 def expense_account(text: Column) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import messages as M
 from ..functions import cells, dates, json_text, names, numbers, taxid
-from ..operators import build, client, duplicates, edits, fill, grid, gross, memory, periods, replaced, rules, summary, validate
+from ..operators import build, client, duplicates, edits, fill, grid, gross, incidents, memory, name_join, periods, replaced, rule_index, rules, summary, validate
 from ..sources import records
+from ..stages import stage
 from . import batch
 from .projection import CLIENT_ID, CLIENT_NAME, DUCK, lines, texts
 
@@ -577,3 +578,53 @@ def q_client_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     news = c.filter("c_custkey % 2 = 0").select("nif", (F.col("c_custkey") % 4 == 0).alias("recargo_equivalencia"), F.lit("").alias("nombre"))
     held = memory.upsert_clients(spark.createDataFrame([], "nif string, recargo_equivalencia boolean, nombre string"), news)
     return memory.in_surcharge_regime(c, held, "nif").select("c_custkey", "recargo_equivalencia")
+
+
+# Tables of rules and names at scale --------------------------------------------------------------------------------------
+_WORD = "translate(substr(md5(concat(CAST({0} AS STRING), '-', CAST({1} AS STRING))), 1, {2}), '0123456789', 'etaoinshrl')"
+_KEYWORDS = f"""SELECT (p_partkey * 7919 + j * 104729) % 10007 AS prio, {_WORD.format("p_partkey", "j", "CAST(3 + (p_partkey + j) % 5 AS INT)")} AS clave
+  FROM {{part}} CROSS JOIN (SELECT 1 AS j UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) x"""
+
+
+@_query(f"""WITH k AS MATERIALIZED (SELECT clave, min(prio) AS prio FROM ({_KEYWORDS.format(part="part")}) a GROUP BY 1), d AS MATERIALIZED (SELECT doc_id, strip_accents(lower(coalesce(text, ''))) AS t FROM documents),
+  h AS (SELECT doc_id, min(prio) AS prio FROM d JOIN k ON contains(d.t, k.clave) GROUP BY 1)
+  SELECT d.doc_id, coalesce(CAST(600 + h.prio % 30 AS VARCHAR), '600') AS codigo FROM d LEFT JOIN h ON h.doc_id = d.doc_id""", source=False)
+def q_indexed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five keywords for each part, against whole documents."""
+    keywords = spark.sql(_KEYWORDS, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    table = keywords.select(F.col("prio").cast("int").alias("prio"), (600 + F.col("prio") % 30).cast("string").alias("codigo"), "clave")
+    return rule_index.by_index(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", F.col("text"), table, "600")
+
+
+_PARTY = f"concat(CASE WHEN p_partkey % 3 = 0 THEN 'Suministros ' ELSE '' END, p_name, ' ', {_WORD.format('p_partkey % 331', 7, 6)}, CASE p_partkey % 4 WHEN 0 THEN ', S.L.' WHEN 1 THEN concat(' ', {_WORD.format('p_partkey % 113', 8, 5)}, ' SA') ELSE '' END)"
+
+
+@_query(f"""WITH n AS (SELECT p_partkey, {_tokens_sql(_PARTY)} AS w FROM part), c AS MATERIALIZED (SELECT w, count(*) AS n, min(p_partkey) AS least FROM n GROUP BY 1),
+  g AS (SELECT a.w, sum(b.n) AS n, min(CASE WHEN a.w <> b.w THEN b.least END) AS least FROM c a JOIN c b ON len(list_intersect(a.w, b.w)) >= 2 AND len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.6 GROUP BY 1),
+  o AS (SELECT *, min(p_partkey) OVER (PARTITION BY w) AS first, min(p_partkey) OVER (PARTITION BY w ORDER BY p_partkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM n)
+  SELECT p_partkey, CAST(coalesce(g.n - 1, 0) AS BIGINT) AS partners, CASE WHEN g.w IS NOT NULL THEN least(g.least, CASE WHEN p_partkey > first THEN first ELSE later END) END AS least_partner FROM o LEFT JOIN g ON g.w = o.w""", source=False)
+def q_same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each party how many others are the same firm, and the first of them; a third of all share one word."""
+    parties = spark.sql(f"SELECT p_partkey, {_PARTY} AS nombre FROM {{part}}", part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return name_join.within(parties, id_col="p_partkey")
+
+
+_CLIENTS = f"SELECT c_custkey, {_WORD.format('c_custkey % 331', 7, 6)} || ' ' || {_WORD.format('c_custkey % 113', 8, 5)} || CASE WHEN c_custkey % 3 = 0 THEN ' Suministros' ELSE '' END AS nombre FROM {{customer}}"
+
+
+@_query(f"""WITH l AS (SELECT c_custkey, {_tokens_sql("nombre")} AS w FROM ({_CLIENTS.format(customer="customer")}) a), r AS (SELECT {_tokens_sql(_PARTY)} AS w, count(*) AS n, min(p_partkey) AS least FROM part GROUP BY 1),
+  c AS (SELECT DISTINCT w FROM l),
+  g AS (SELECT c.w, sum(r.n) AS n, min(r.least) AS least FROM c JOIN r ON len(list_intersect(c.w, r.w)) >= 2 AND len(list_intersect(c.w, r.w)) / least(len(c.w), len(r.w)) >= 0.6 GROUP BY 1)
+  SELECT c_custkey, CAST(coalesce(g.n, 0) AS BIGINT) AS partners, g.least AS least_partner FROM l LEFT JOIN g ON g.w = l.w""", source=False)
+def q_clients_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many clients at once: for each the parties that bear its name."""
+    clients = spark.sql(_CLIENTS, customer=spark.read.parquet(f"{sf_dir}/customer.parquet")).select(F.col("c_custkey").alias("id"), "nombre")
+    parties = spark.sql(f"SELECT p_partkey AS id, {_PARTY} AS nombre FROM {{part}}", part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return name_join.across(clients, parties).withColumnRenamed("id", "c_custkey")
+
+
+@_query(f"""{_NUMBERED} SELECT fila, coalesce(min(CASE WHEN estado <> 'ok' THEN fila END) OVER (ORDER BY fila ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), (SELECT min(fila) FROM z WHERE estado <> 'ok')) AS siguiente FROM z""")
+def q_next_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every line the next one to look at, going round."""
+    rows = stage(summary.numbered(validate.final_state(duplicates.mark(_checked(spark, sf_dir)))).select("fila", "estado"))
+    return incidents.next_incidents(rows)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import joins
 from .. import messages as M
 from ..functions import names, taxid, texts
+from ..stages import stage
 
 
 def _headers(lines: DataFrame) -> DataFrame:
@@ -15,27 +17,32 @@ def _headers(lines: DataFrame) -> DataFrame:
 
 
 def _apply(lines: DataFrame, fixes: DataFrame) -> DataFrame:
-    """fixes (doc_seq, _nif or null, _aviso) on all lines of their invoices."""
+    """fixes (doc_seq, _nif or null, _aviso), stored, on all lines of their invoices; ``release`` of the result deletes them."""
     out = lines.join(fixes, "doc_seq", "left")
-    return out.withColumn("nif", F.coalesce("_nif", "nif")).withColumn("aviso", texts.added(F.col("aviso"), F.col("_aviso"))).select(*lines.columns)
+    out = out.withColumn("nif", F.coalesce("_nif", "nif")).withColumn("aviso", texts.added(F.col("aviso"), F.col("_aviso"))).select(*lines.columns)
+    out._stage_path = fixes._stage_path
+    return out
 
 
 def _sibling_fixes(lines: DataFrame) -> DataFrame:
     # pages that can't be read share one name and have no id: they are no siblings, however many they are
-    head = _headers(lines).filter((F.col("clave") != "") & (F.col("clave") != names.provider_key(F.lit(M.UNREADABLE))))
+    head = stage(_headers(lines).filter((F.col("clave") != "") & (F.col("clave") != names.provider_key(F.lit(M.UNREADABLE)))))
     valid = head.filter("valido").groupBy("clave", "norm").agg(F.min(F.struct("doc_seq", "nombre")).alias("donor"))
     per_name = valid.groupBy("clave").agg(F.count("*").alias("n"), F.min("norm").alias("bueno"), F.min_by("donor.nombre", "norm").alias("de"), F.array_join(F.array_sort(F.collect_list("norm")), ", ").alias("ids"))
     read = F.regexp_replace(F.coalesce("nif", F.lit("")), r"(?U)^\s+|\s+$", "")
     why = F.when(read != "", texts.filled(M.WHY_COPIED_BAD, read=read)).otherwise(M.WHY_COPIED_NONE)
-    return head.filter("not valido").join(per_name, "clave").select(
+    asking = joins.lookup(head.filter("not valido"), per_name, ["clave"], spread=F.xxhash64("doc_seq"))
+    fixes = asking.select(
         "doc_seq", F.when(F.col("n") == 1, F.col("bueno")).alias("_nif"),
         F.when(F.col("n") == 1, texts.filled(M.WARN_COPIED, name=F.col("de"), stored=F.col("bueno"), why=why)).otherwise(texts.filled(M.WARN_SEVERAL, n=F.col("n"), ids=F.col("ids"))).alias("_aviso"),
     )
+    return stage(fixes, head)
 
 
 def from_siblings(lines: DataFrame) -> DataFrame:
     """Invoices without a valid id take the one valid id that others of exactly the same name words have. With several, none is
-    taken and a warning says so. A valid id is never replaced. Keys are summed up before the join, so a common name is no large group."""
+    taken and a warning says so. A valid id is never replaced. Keys are summed up before the join, and the invoices of a common name are
+    dealt out in it, so it is no large group. ``lines`` are read twice."""
     return _apply(lines, _sibling_fixes(lines))
 
 
@@ -63,5 +70,7 @@ def _memory_fixes(lines: DataFrame, memory: DataFrame) -> DataFrame:
     why = F.when(read != "", texts.filled(M.WHY_MEMORY_BAD, read=read)).otherwise(M.WHY_MEMORY_NONE)
     differs = texts.filled(M.WARN_MEMORY_DIFFERS, name=F.col("nombre"), stored=F.col("guardado"), read=F.col("norm"))
     filled = texts.filled(M.WARN_FROM_MEMORY, stored=F.col("guardado"), name=F.col("nombre"), why=why)
-    fixes = _headers(lines).join(known, "clave").filter("not valido or norm <> guardado")
-    return fixes.select("doc_seq", F.when(~F.col("valido"), F.col("guardado")).alias("_nif"), F.when(F.col("valido"), differs).otherwise(filled).alias("_aviso"))
+    head = stage(_headers(lines).filter("clave <> ''"))
+    fixes = joins.lookup(head, known, ["clave"], spread=F.xxhash64("doc_seq")).filter("not valido or norm <> guardado")
+    fixes = fixes.select("doc_seq", F.when(~F.col("valido"), F.col("guardado")).alias("_nif"), F.when(F.col("valido"), differs).otherwise(filled).alias("_aviso"))
+    return stage(fixes, head)

@@ -34,13 +34,16 @@ def run(raw: DataFrame, providers: DataFrame, *, collapse: bool = False, period:
     who = stage(client.detect(raw))
     built = stage(build.build(raw, who))
     copied = stage(fill.sibling_counts(built))
-    siblings = stage(fill.from_siblings(built), built)
+    filled = fill.from_siblings(built)
+    siblings = stage(filled, filled, built)
     from_memory = stage(fill.memory_counts(siblings, providers))
-    lines = stage(fill.from_memory(siblings, providers), siblings)
+    filled = fill.from_memory(siblings, providers)
+    lines = stage(filled, filled, siblings)
     learned = stage(memory.upsert_providers(providers, memory.learnable(lines)))
     counts = copied.toDF("copiadas", "dudosas").join(from_memory.toDF("de_memoria", "distintas"), F.lit(True)).join(memory.learned_count(lines, providers), F.lit(True))
     counts = stage(counts.join(replaced.counted(lines), F.lit(True)), copied, from_memory)
-    lines = stage(replaced.mark(lines), lines)
+    marked = replaced.mark(lines)
+    lines = stage(marked, marked, lines)
     if collapse:
         lines = stage(gross.collapse(lines), lines)
     kept = lines

@@ -280,7 +280,7 @@ _COPIED = f"""CASE WHEN h.valido OR v.n IS NULL THEN '' WHEN v.n = 1 THEN {_msg(
 
 @_query(f"""{_SIBLINGS} SELECT l.doc_seq, l.line_no, CASE WHEN NOT h.valido AND v.n = 1 THEN v.bueno ELSE l.nif END AS nif, {_COPIED} AS aviso FROM lines l JOIN h USING (doc_seq) LEFT JOIN v ON v.clave = h.clave""")
 def q_fill_sibling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fill.from_siblings(lines(spark, sf_dir)).select("doc_seq", "line_no", "nif", "aviso")
+    return fill.from_siblings(stage(lines(spark, sf_dir))).select("doc_seq", "line_no", "nif", "aviso")
 
 
 def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +304,7 @@ def _remembered(head: str) -> str:
 @_query(f"""{_HEAD}{_MEM} SELECT l.doc_seq, l.line_no, CASE WHEN NOT h.valido AND m.nif IS NOT NULL THEN m.nif ELSE l.nif END AS nif, {_remembered("h")} AS aviso
   FROM lines l JOIN h USING (doc_seq) LEFT JOIN m ON m.clave = h.clave""")
 def q_fill_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fill.from_memory(lines(spark, sf_dir), _memory(spark, sf_dir)).select("doc_seq", "line_no", "nif", "aviso")
+    return fill.from_memory(stage(lines(spark, sf_dir)), _memory(spark, sf_dir)).select("doc_seq", "line_no", "nif", "aviso")
 
 
 @_query(f"""{_HEAD}{_MEM}, w AS (SELECT clave, arg_max(norm, doc_seq) AS nif, arg_max(nombre, doc_seq) AS nombre FROM h WHERE valido AND clave <> '' GROUP BY 1)
@@ -321,7 +321,7 @@ _PAIRS = f""", d AS MATERIALIZED (SELECT doc_seq, num_factura, {_ALNUM.format('n
 
 @_query(f"{_PAIRS} SELECT l.doc_seq, l.line_no, rp.por AS sustituida_por, coalesce(rp.msg, '') AS aviso FROM lines l LEFT JOIN rp ON rp.old = l.doc_seq")
 def q_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replaced.mark(lines(spark, sf_dir)).select("doc_seq", "line_no", "sustituida_por", "aviso")
+    return replaced.mark(stage(lines(spark, sf_dir))).select("doc_seq", "line_no", "sustituida_por", "aviso")
 
 
 @_query(f"""SELECT l.doc_seq, l.line_no, CASE WHEN tipo = 'gasto' AND NOT g.held THEN g.gross ELSE base_iva END AS base_iva, CASE WHEN tipo <> 'gasto' OR g.held THEN pct_iva END AS pct_iva,
@@ -340,7 +340,7 @@ _DUP = f""", u AS (SELECT *, first_value(doc_seq) OVER w AS d0, first_value(line
 
 @_query(f"{_DUP} SELECT doc_seq, line_no, dup_doc, dup_line FROM x")
 def q_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.mark(lines(spark, sf_dir)).select("doc_seq", "line_no", "dup_doc", "dup_line")
+    return duplicates.mark(stage(lines(spark, sf_dir))).select("doc_seq", "line_no", "dup_doc", "dup_line")
 
 
 _PER = _period_sql("fecha")
@@ -391,12 +391,12 @@ _FINAL = f"CASE WHEN dup_doc IS NOT NULL THEN 'error' ELSE {_STATE} END"
 
 @_query(f"{_DUP} SELECT {_LINE}, {_FINAL} AS estado FROM x")
 def q_validate_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.final_state(duplicates.mark(_checked(spark, sf_dir))).select("doc_seq", "line_no", "estado")
+    return validate.final_state(duplicates.mark(stage(_checked(spark, sf_dir)))).select("doc_seq", "line_no", "estado")
 
 
 @_query(f"{_DUP}, e AS (SELECT {_FINAL} AS estado, tipo FROM x) SELECT count(*) AS total, count(*) FILTER (estado = 'ok') AS ok, count(*) FILTER (estado = 'revisar') AS revisar, count(*) FILTER (estado = 'error') AS error, count(*) FILTER (tipo = 'gasto') AS gastos, count(*) FILTER (tipo = 'venta') AS ventas FROM e")
 def q_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.state_counts(validate.final_state(duplicates.mark(_checked(spark, sf_dir))))
+    return summary.state_counts(validate.final_state(duplicates.mark(stage(_checked(spark, sf_dir)))))
 
 
 _SUM = "CAST(sum(CAST(printf('%.2f', coalesce({0}, 0)) AS DECIMAL(18,2))) AS DOUBLE)"
@@ -420,7 +420,7 @@ def q_out_of_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_DUP} SELECT count(dup_doc) AS duplicadas, count(*) FILTER ({_SEVERITY} = 2) AS errores, count(*) FILTER ({_PER} IS DISTINCT FROM {QUARTER}) AS fuera FROM x")
 def q_export_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.export_problems(duplicates.mark(_checked(spark, sf_dir)), QUARTER)
+    return summary.export_problems(duplicates.mark(stage(_checked(spark, sf_dir))), QUARTER)
 
 
 # A whole batch ----------------------------------------------------------------------------------------------------------
@@ -467,7 +467,7 @@ def q_batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_DUP} SELECT {_LINE}, estado FROM (SELECT {_LINE}, {_FINAL} AS estado FROM x) e WHERE estado = 'revisar'")
 def q_filter_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.in_state(validate.final_state(duplicates.mark(_checked(spark, sf_dir))), "revisar").select("doc_seq", "line_no", "estado")
+    return summary.in_state(validate.final_state(duplicates.mark(stage(_checked(spark, sf_dir)))), "revisar").select("doc_seq", "line_no", "estado")
 
 
 def _eur_sql(x: str) -> str:
@@ -487,8 +487,8 @@ def q_described(spark: SparkSession, sf_dir: str) -> DataFrame:
 TYPED = (7, "B86561412")
 
 
-@_query(f"""{_HEAD} SELECT l.doc_seq, l.line_no, CASE WHEN l.doc_seq = {TYPED[0]} OR (h.clave <> '' AND h.clave = (SELECT clave FROM h WHERE doc_seq = {TYPED[0]}) AND NOT h.valido) THEN '{TYPED[1]}' ELSE l.nif END AS nif
-  FROM lines l JOIN h USING (doc_seq)""")
+@_query(f"""{_HEAD} SELECT l.doc_seq, l.line_no, CASE WHEN l.doc_seq = {TYPED[0]} OR same.clave IS NOT NULL AND NOT h.valido THEN '{TYPED[1]}' ELSE l.nif END AS nif
+  FROM lines l JOIN h ON h.doc_seq = l.doc_seq LEFT JOIN h AS same ON same.doc_seq = {TYPED[0]} AND same.clave <> '' AND same.clave = h.clave""")
 def q_typed_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.spread_manual_id(lines(spark, sf_dir), *TYPED).select("doc_seq", "line_no", "nif")
 
@@ -506,7 +506,7 @@ CURRENT = 100
 
 @_query(f"{_NUMBERED} SELECT fila, estado FROM z WHERE estado <> 'ok' ORDER BY ((fila - {CURRENT + 1}) % (SELECT count(*) FROM z) + (SELECT count(*) FROM z)) % (SELECT count(*) FROM z) LIMIT 1")
 def q_next_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = summary.numbered(validate.final_state(duplicates.mark(_checked(spark, sf_dir)))).select("fila", "estado")
+    rows = summary.numbered(validate.final_state(duplicates.mark(stage(_checked(spark, sf_dir))))).select("fila", "estado")
     return summary.next_incident(rows, CURRENT)
 
 
@@ -515,7 +515,7 @@ def q_next_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT clase, fila, 'Línea ' || (fila + 1) || ': factura ' || num_factura || ' de ' || nombre || CASE clase WHEN 0 THEN ' — repetida de la línea ' || (primera + 1) || '.' ELSE ' — sustituida por otra del lote.' END AS texto, (SELECT count(*) FROM dd) AS avisos
   FROM dd ORDER BY clase, fila LIMIT 6""")
 def q_top_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = summary.numbered(duplicates.mark(replaced.mark(lines(spark, sf_dir))))
+    rows = summary.numbered(duplicates.mark(stage(replaced.mark(stage(lines(spark, sf_dir))))))
     first = rows.select(F.col("doc_seq").alias("dup_doc"), F.col("line_no").alias("dup_line"), F.col("fila").alias("dup_fila"))
     rows = rows.join(first, ["dup_doc", "dup_line"], "left").withColumn("sustituida", F.col("aviso").contains("SUSTITUIDA"))
     return summary.alerts(rows)
@@ -626,5 +626,5 @@ def q_clients_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""{_NUMBERED} SELECT fila, coalesce(min(CASE WHEN estado <> 'ok' THEN fila END) OVER (ORDER BY fila ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), (SELECT min(fila) FROM z WHERE estado <> 'ok')) AS siguiente FROM z""")
 def q_next_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every line the next one to look at, going round."""
-    rows = stage(summary.numbered(validate.final_state(duplicates.mark(_checked(spark, sf_dir)))).select("fila", "estado"))
+    rows = stage(summary.numbered(validate.final_state(duplicates.mark(stage(_checked(spark, sf_dir))))).select("fila", "estado"))
     return incidents.next_incidents(rows)

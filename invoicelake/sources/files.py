@@ -65,7 +65,8 @@ class NoCredit(RuntimeError):
     """The client refuses for want of payment: the batch stops."""
 
 
-def _ask(client: Client, models: tuple[str, ...], image: bytes, tries: int, wait: float) -> str:
+def _ask(client: Client, models: tuple[str, ...], image: bytes, tries: int, wait: float, pause: Callable[[float], bool | None] = time.sleep) -> str:
+    """``pause`` waits, or says False where no time is left: then the page is given up."""
     last: Exception | None = None
     for model in models:
         for k in range(tries):
@@ -77,32 +78,42 @@ def _ask(client: Client, models: tuple[str, ...], image: bytes, tries: int, wait
                     raise NoCredit(str(e)) from e
                 if not any(w in text for w in TRANSIENT_WORDS):
                     break
-                time.sleep(wait * (k + 1))
+                if pause(wait * (k + 1)) is False:
+                    raise
     raise last or ValueError("no models")
 
 
+def ask_page(client: Client, models: tuple[str, ...], image: bytes, page: int, *, asks: int, tries: int, wait: float, pause: Callable[[float], bool | None] = time.sleep) -> tuple[str | None, str | None]:
+    """(text, error): the client's JSON of one page, or why there is none. A refusal for want of payment is raised."""
+    try:
+        text = None
+        for _ in range(asks):
+            text = _ask(client, models, image, tries, wait, pause)
+            if json_text.readable(text):
+                return text, None
+        return None, f"no JSON on page {page}: {(text or '')[:200]}"
+    except NoCredit:
+        raise
+    except Exception as e:
+        return None, str(e)
+
+
+#: What stands for a page that can't be read.
+PLACEHOLDER = f'{{"emisor_nombre": "{UNREADABLE}"}}'
+
+
 def extract(images: DataFrame, client: Client, models: tuple[str, ...], *, asks: int = 3, tries: int = 3, wait: float = 2.0) -> DataFrame:
     """(doc_seq, origen, pagina, texto, _error): the client's JSON text of each page. A page that stays unreadable becomes a
-    placeholder with its error, and the batch goes on. Write the result to a table before using it: a task that is run again asks again."""
+    placeholder with its error, and the batch goes on. Write the result to a table before using it: a task that is run again asks again
+    (``cached.extract`` doesn't)."""
     schema = pa.schema([("doc_seq", pa.int64()), ("origen", pa.string()), ("pagina", pa.int32()), ("texto", pa.string()), ("_error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for seq, name, page, image in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_seq", "origen", "pagina", "imagen"))):
-                text, error = None, None
-                try:
-                    for _ in range(asks):
-                        text = _ask(client, models, image, tries, wait)
-                        if json_text.readable(text):
-                            break
-                    else:
-                        text, error = None, f"no JSON on page {page}: {(text or '')[:200]}"
-                except NoCredit:
-                    raise
-                except Exception as e:
-                    text, error = None, str(e)
-                out.append((seq, name, page, text or f'{{"emisor_nombre": "{UNREADABLE}"}}', error))
+                text, error = ask_page(client, models, image, page, asks=asks, tries=tries, wait=wait)
+                out.append((seq, name, page, text or PLACEHOLDER, error))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)] if out else [pa.array([], t) for t in schema.types], schema=schema)
 
     return images.mapInArrow(run, "doc_seq long, origen string, pagina int, texto string, _error string")

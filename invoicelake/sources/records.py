@@ -52,7 +52,7 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """(clave, texto), keyed by file#page: a folder that ``append_cache`` wrote, or a file with one JSON object; no rows where there is
     none. Of several texts of a key the greatest is taken."""
     if _is_folder(spark, path):
-        lines = spark.read.schema("clave string, texto string").json(path)
+        lines = spark.read.schema("clave string, texto string").option("recursiveFileLookup", True).json(path)
         return lines.filter("clave is not null").groupBy("clave").agg(F.max("texto").alias("texto"))
     return _object(spark, path, "string", "clave string, v string").select("clave", F.col("v").alias("texto"))
 

@@ -1,12 +1,7 @@
-"""A workbook with one sheet, written with the standard library alone."""
+"""The parts of a workbook with one sheet, and workbooks by type."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterable
-from xml.sax.saxutils import escape
-
 from pyspark.sql import DataFrame
 
 SHEET = "Facturas"
@@ -17,46 +12,24 @@ _DOC = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 
 
-def workbook(cells: Iterable[tuple[int, int, str, str, str | None]], numeric: bool = False) -> bytes:
-    """(row, column, letters, value, format), by row and column -> the bytes of a workbook. Texts are inline; ``numeric`` writes values
-    that are numbers, below the first row, as numbers."""
-    rows: list[str] = []
-    last = None
-    for r, _, letters, value, style in cells:
-        if r != last:
-            rows.append(("</row>" if last is not None else "") + f'<row r="{r}">')
-            last = r
-        number = False
-        if numeric and r > 1 and style == "n":
-            number = True
-        rows.append(f'<c r="{letters}{r}"><v>{value}</v></c>' if number else f'<c r="{letters}{r}" t="inlineStr"{" s=\"1\"" if style == "@" else ""}><is><t xml:space="preserve">{escape(value)}</t></is></c>')
-    if last is not None:
-        rows.append("</row>")
+def parts(rows: str) -> dict[str, str]:
+    """The archive's files, by name; ``rows`` is what stands in the sheet."""
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    parts = {
+    return {
         "[Content_Types].xml": f'{head}<Types xmlns="{_PACK}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>',
         "_rels/.rels": f'{head}<Relationships xmlns="{_PACK}/relationships"><Relationship Id="rId1" Type="{_DOC}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
         "xl/workbook.xml": f'{head}<workbook xmlns="{_MAIN}" xmlns:r="{_DOC}"><sheets><sheet name="{SHEET}" sheetId="1" r:id="rId1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'{head}<Relationships xmlns="{_PACK}/relationships"><Relationship Id="rId1" Type="{_DOC}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{_DOC}/styles" Target="styles.xml"/></Relationships>',
         "xl/styles.xml": f'{head}<styleSheet xmlns="{_MAIN}"><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf numFmtId="49" applyNumberFormat="1"/></cellXfs></styleSheet>',
-        "xl/worksheets/sheet1.xml": f'{head}<worksheet xmlns="{_MAIN}"><sheetData>{"".join(rows)}</sheetData></worksheet>',
+        "xl/worksheets/sheet1.xml": f'{head}<worksheet xmlns="{_MAIN}"><sheetData>{rows}</sheetData></worksheet>',
     }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in parts.items():
-            z.writestr(name, text)
-    return out.getvalue()
 
 
 def write(cells: DataFrame, path: str, mode: str = "texto") -> None:
-    """A sheet's cells (fila, columna, letra, valor, formato) to a local file: a workbook is one file that one process writes, so at most
-    MAX_ROWS rows go into it, streamed to the driver."""
-    if (cells.selectExpr("max(fila)").first()[0] or 0) > MAX_ROWS:
-        raise ValueError("more rows than a sheet can hold")
-    ordered = cells.orderBy("fila", "columna").toLocalIterator(prefetchPartitions=True)
-    number = lambda v: mode == "numero" and v.replace(".", "", 1).lstrip("-").isdigit() and "." in v
-    with open(path, "wb") as f:
-        f.write(workbook(((r["fila"], r["columna"], r["letra"], r["valor"], "n" if number(r["valor"]) else r["formato"]) for r in ordered), numeric=mode == "numero"))
+    """A sheet's cells (fila, columna, letra, valor, formato) as a workbook. Tasks write its parts (``sheet_writer``); more than MAX_ROWS rows are an error."""
+    from . import sheet_writer
+
+    sheet_writer.write(cells, path, mode)
 
 
 def write_by_type(sheets: dict[str, DataFrame], folder: str, names: dict[str, str] | None = None) -> list[str]:

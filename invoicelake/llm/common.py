@@ -8,7 +8,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,11 +66,6 @@ class Scratch:
             delete_path(self.spark, path)
             self.paths.discard(path)
 
-    def sweep(self) -> None:
-        """Lets Spark delete the shuffle files of finished steps now, not when the driver's memory happens to be collected."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
 
 def _fs(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -138,28 +132,6 @@ HOT_ROWS = 200
 MOST_HOT_KEYS = 100_000
 
 
-#: Rows with one value that a task of ``often_seen`` must see to name it; a value that none names has fewer in each.
-SEEN = 8
-
-
-def often_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over one column of arrays of numbers: (value, n) of values that this task sees often. No shuffle of all values is
-    needed to find the common ones."""
-
-    def flush() -> pa.RecordBatch:
-        every, counts = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
-        often = counts >= SEEN
-        return pa.RecordBatch.from_arrays([pa.array(every[often], pa.int64()), pa.array(counts[often], pa.int64())], names=["value", "n"])
-
-    held: list[np.ndarray] = []
-    for b in batches:
-        held.append(b.column(0).flatten().to_numpy(zero_copy_only=False))
-        if sum(map(len, held)) > 8 << 20:
-            yield flush()
-            held = []
-    yield flush()
-
-
 def hot_keys(counts: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
     """Of counts (keys, n) that add up to at most ``total``: the keys that need more tasks than one, with their number ``_ways``. At most
     MOST_HOT_KEYS."""

@@ -1,7 +1,7 @@
 """Near-duplicate classes by the Jaccard similarity of word n-grams: an exact PartEnum join.
 
 1. One pass over the texts gives each document's set size, a 128-bit fingerprint of its set, a parity sketch and its PartEnum
-   signatures. Documents of equal sets form a class; its least doc_id stands for it from here on.
+   signatures. Documents of equal sets form a class, which has a number of its own from here on; signatures are told once for each class.
 2. Signatures that two classes share make buckets. In each, members are paired with the bucket's least member only; pairs that size and
    sketch don't rule out are checked exactly, and those that hold are links.
 3. Buckets whose members still lie in several components are searched for further links between different components. Their
@@ -12,8 +12,8 @@ So a class of thousands of near copies costs one check for each member, yet no l
 lost: the components are those of the full join. Exact checks read the sets of surviving documents alone.
 
 Null texts and texts without words: an empty set, linked with nothing. Texts with fewer words than ``size``: the whole sequence is the one
-shingle. Rows that repeat a doc_id count as one document for links; each is returned. Rows with a null doc_id
-are returned with a null component and linked with nothing. An empty table gives no rows. Other columns are left out.
+shingle. Rows that repeat a doc_id are one document, whose texts may differ: what any of them is linked to, all are; each row is
+returned. Rows with a null doc_id are returned with a null component and linked with nothing. An empty table gives no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_HOT_KEYS, Scratch, as_bytes, batch_columns, hot_keys, n_shuffle, often_seen, salted_join
+from .common import Scratch, as_bytes, batch_columns, hot_keys, n_shuffle, salted_join
 from .components import components
 from .grouping import groups, sorted_groups
 from .partenum import folded, signatures, sketch
@@ -33,10 +33,15 @@ from .shingles import mix, shingle_set
 
 #: Members of one block in step 3.
 BLOCK = 1024
-#: Up to so many documents (8 bytes each) are sent to every executor to pick out their texts; more are joined by a shuffle.
+#: Up to so many documents or signatures (8 to 24 bytes each) are sent to every executor to pick out their rows; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
+def _print(s: np.ndarray) -> tuple[int, int]:
+    """A set's fingerprint."""
+    return tuple(int(mix(s ^ np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) for k in (0x51, 0xA7C3))
+
+
 def _fingerprints(size: int, percent: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary()), ("sigs", pa.list_(pa.int64()))])
 
@@ -46,7 +51,7 @@ def _fingerprints(size: int, percent: int):
             rows = []
             for doc_id, utf8 in zip(doc_ids, texts):
                 s = shingle_set(utf8, size)
-                h1, h2 = (int(mix(s ^ np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) for k in (0x51, 0xA7C3))
+                h1, h2 = _print(s)
                 new = len(s) > 0 and doc_id is not None and (h1, h2) not in seen
                 if new:
                     seen.add((h1, h2))
@@ -59,11 +64,22 @@ def _fingerprints(size: int, percent: int):
 
 
 def _sets(size: int):
-    schema = pa.schema([("doc", pa.int64()), ("set", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int, int]] = set()  # rows may repeat
         for doc_ids, texts in batch_columns(batches, "doc_id", "utf8"):
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([shingle_set(x, size).tobytes() for x in texts], pa.binary())], schema=schema)
+            rows = []
+            for doc_id, utf8 in zip(doc_ids, texts):
+                s = shingle_set(utf8, size)
+                key = (doc_id, *_print(s))
+                if key not in told:
+                    told.add(key)
+                    rows.append((*key, s.tobytes()))
+            if len(told) > 500_000:
+                told.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return run
 
@@ -144,24 +160,47 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     prints = work.store(source.mapInArrow(_fingerprints(size, percent), "doc_id long, n long, h1 long, h2 long, sketch binary, sigs array<long>"))
     total = prints.count()
-    known, members, classes = _members(prints, total, work)
+    worded = prints.filter("n > 0 and doc_id is not null")
+    classes = worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("sigs", ignorenulls=True).alias("sigs"))
+    classes = work.store(classes.withColumn("doc", F.monotonically_increasing_id()))  # a class's number, fixed by being stored
+    hot = hot_keys(classes, ["h1", "h2"], total, "copies")
+    found = salted_join(worded.select("doc_id", "n", "h1", "h2"), classes.select("h1", "h2", "doc"), ["h1", "h2"], hot, F.xxhash64("doc_id")).select("doc_id", "n", "doc")
+    rest = prints.filter("not (n > 0 and doc_id is not null)").select("doc_id", "n", F.lit(None).cast("long").alias("doc"))
+    known = work.store(found.unionByName(rest))
     work.drop(prints)
-    work.sweep()
-    nodes = known.filter("doc_id = rep").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumnRenamed("doc_id", "doc")
+    members = _members(classes, work)
+    nodes = classes.select("doc", "n", "sketch")
 
     first = work.store(members.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
     both = salted_join(first, nodes.toDF("a", "n_a", "sketch_a"), ["a"], _often(first, "a"), F.xxhash64("b")).join(nodes.toDF("b", "n_b", "sketch_b"), "b")
-    links = _checked(source, both.mapInArrow(_sift(percent), "a long, b long"), size, percent, work)
+    links = _checked(source, both.mapInArrow(_sift(percent), "a long, b long"), classes, size, percent, work)
     work.drop(first)
-    work.sweep()
     comp = components(links, work)
-    more = _checked(source, _further_pairs(members, nodes, comp, percent, work), size, percent, work)
+    more = _checked(source, _further_pairs(members, nodes, comp, percent, work), classes, size, percent, work)
     work.drop(members, comp)
-    final = components(links.unionByName(more), work)
-    work.keep(known, classes, final)
-    work.sweep()
-    out = salted_join(known, final.withColumnRenamed("node", "rep"), ["rep"], hot_keys(classes, ["rep"], total, "copies"), F.xxhash64("doc_id"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    final = components(links.unionByName(more).unionByName(_of_one_document(known)), work)
+    named = work.store(_least_documents(classes.select("doc", "rep", "copies"), final))
+    work.keep(known, named)
+    hot = hot_keys(named, ["doc"], total, "copies")
+    out = salted_join(known, named.drop("copies"), ["doc"], hot, F.xxhash64("doc_id"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _of_one_document(known: DataFrame) -> DataFrame:
+    """Links between the classes of documents with several different texts."""
+    ends = known.filter("doc is not null").groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a <> z")
+    return known.filter("doc is not null").select("doc_id", F.col("doc").alias("b")).join(ends, "doc_id").filter("a <> b").select("a", "b").distinct()
+
+
+def _least_documents(classes: DataFrame, final: DataFrame) -> DataFrame:
+    """classes (doc, rep, copies) with component_id: the least doc_id of all classes of a component. A component may have a large part of all classes."""
+    both = classes.join(final.withColumnRenamed("node", "doc"), "doc", "left")
+    linked = both.filter("component is not null")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("size"))
+    hot = hot_keys(least, ["component"], final.count(), "size")
+    out = salted_join(linked, least.drop("size"), ["component"], hot, F.xxhash64("doc"))
+    columns = ("doc", "copies", "component_id")
+    return out.select(*columns).unionByName(both.filter("component is null").select("doc", "copies", F.col("rep").alias("component_id")))
 
 
 def _often(rows: DataFrame, key: str) -> DataFrame:
@@ -169,34 +208,18 @@ def _often(rows: DataFrame, key: str) -> DataFrame:
     return hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), [key], rows.count())
 
 
-def _members(prints: DataFrame, total: int, work: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents with their class (doc_id, n, sketch, rep); members (sig, doc, pivot, c) of the buckets of several classes; the classes
-    (rep, copies), all stored.
-
-    A signature with many rows would be one task's window: such signatures are dealt out, and their counts and least
-    members are summed up by partial aggregates.
-    """
-    classes = work.store(prints.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    alone = F.col("n") > 0  # texts without words have one fingerprint
-    usable = prints.filter(alone & F.col("doc_id").isNotNull()).select("doc_id", "n", "sketch", "h1", "h2")
-    hot = hot_keys(classes, ["h1", "h2"], total, "copies")
-    found = salted_join(usable, classes.drop("copies"), ["h1", "h2"], hot, F.xxhash64("doc_id")).select("doc_id", "n", "sketch", "rep")
-    rest = prints.filter(~alone | F.col("doc_id").isNull()).select("doc_id", "n", "sketch", F.lit(None).cast("long").alias("rep"))
-    known = work.store(found.unionByName(rest))
-
-    seen = prints.filter("sigs is not null").select("sigs").mapInArrow(often_seen, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
-    common = work.store(seen.orderBy(F.desc("n"), "value").limit(MOST_HOT_KEYS).select(F.col("value").alias("sig")))  # any other has at most one part in MOST_HOT_KEYS of all rows
-    shared = prints.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
-    rare = shared.join(F.broadcast(common), "sig", "left_anti").selectExpr("sig", "doc", "count(*) over (partition by sig) as c").filter("c > 1").select("sig", "doc")
-    buckets = work.store(rare.unionByName(shared.join(F.broadcast(common), "sig")))
-    copies = known.filter("doc_id <> rep").select(F.col("doc_id").alias("doc"), "rep").distinct()
-    members = work.store(buckets.join(copies, "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct())
-    rare = members.join(F.broadcast(common), "sig", "left_anti").selectExpr("sig", "doc", "min(doc) over (partition by sig) as pivot", "count(*) over (partition by sig) as c")
-    often = members.join(F.broadcast(common), "sig")
-    sums = often.groupBy("sig").agg(F.min("doc").alias("pivot"), F.count("*").alias("c"))
-    out = work.store(rare.unionByName(often.join(F.broadcast(sums), "sig").select("sig", "doc", "pivot", "c")).filter("c > 1"))
-    work.drop(buckets, members, common)
-    return known, out, classes
+def _members(classes: DataFrame, work: Scratch) -> DataFrame:
+    """Members (sig, doc, pivot, c) of the signatures that several classes share, stored: the least member and the number of all. Both come from exact
+    partial aggregates, so no signature is a window, however common it is and however thinly spread."""
+    shared = classes.select(F.explode(F.array_distinct("sigs")).alias("sig"), "doc")
+    sums = work.store(shared.groupBy("sig").agg(F.min("doc").alias("pivot"), F.count("*").alias("c")).filter("c > 1"))
+    if sums.count() <= BROADCAST_IDS:
+        met = shared.join(F.broadcast(sums), "sig")
+    else:
+        met = salted_join(shared, sums, ["sig"], hot_keys(sums, ["sig"], sums.agg(F.sum("c")).first()[0], "c"), F.xxhash64("doc"))
+    out = work.store(met.select("sig", "doc", "pivot", "c"))
+    work.drop(sums)
+    return out
 
 
 def _further_pairs(members: DataFrame, nodes: DataFrame, comp: DataFrame, percent: int, work: Scratch) -> DataFrame:
@@ -220,13 +243,16 @@ def _further_pairs(members: DataFrame, nodes: DataFrame, comp: DataFrame, percen
     return sorted_groups(dealt, ["sig", "bi", "bj"], n_shuffle(members.sparkSession)).mapInArrow(_block_pairs(percent), "a long, b long").distinct()
 
 
-def _checked(source: DataFrame, pairs: DataFrame, size: int, percent: int, work: Scratch) -> DataFrame:
-    """The pairs whose sets are similar enough; reads the sets of documents in some pair only."""
+def _checked(source: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int, work: Scratch) -> DataFrame:
+    """The pairs of classes whose sets are similar enough; reads the sets of one document of each class in some pair only. A document with several texts
+    is told apart by the set's fingerprint."""
     pairs = work.store(pairs)
-    wanted = work.store(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    few = wanted.count() <= BROADCAST_IDS
-    texts = source.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = work.store(texts.mapInArrow(_sets(size), "doc long, set binary").dropDuplicates(["doc"]))
+    asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    wanted = work.store(asked.join(classes.select("doc", F.col("rep").alias("doc_id"), "h1", "h2"), "doc"))
+    few, ids = wanted.count() <= BROADCAST_IDS, wanted.select("doc_id").distinct()
+    texts = source.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(size), "doc_id long, h1 long, h2 long, set binary")
+    sets = work.store(sets.join(F.broadcast(wanted) if few else wanted, ["doc_id", "h1", "h2"]).select("doc", "set").dropDuplicates(["doc"]))
     both = pairs
     for one, other in ("ab", "ba"):
         both = salted_join(both, sets.toDF(one, f"set_{one}"), [one], _often(pairs, one), F.xxhash64(other))

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_HOT_KEYS, Scratch, hot_keys, n_shuffle, often_seen, salted_join
+from .common import MOST_HOT_KEYS, Scratch, hot_keys, n_shuffle, salted_join
 from .components import components
 from .grouping import Forest, groups, sorted_groups
 from .shingles import mix
@@ -257,10 +257,14 @@ def _dealt(members: DataFrame, *more: str | Column) -> DataFrame:
 def _links(vecs: DataFrame, threshold: float, work: Scratch) -> tuple[DataFrame, DataFrame]:
     """(node, links) of the classes of equal vectors, and (node, component) of their ids."""
     spark = vecs.sparkSession
-    often = work.store(vecs.select("keys").mapInArrow(often_seen, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(MOST_HOT_KEYS))
-    blocks = often.select(F.col("value").alias("key"), F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks")).filter("blocks > 1")
     members = vecs.select("cid", "sketch", F.explode("keys").alias("key"))
-    dealt = _dealt(members.join(F.broadcast(blocks), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "sketch")
+    counts = members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)  # exact, however thinly a bucket's members are spread
+    often = work.store(counts.select("key", "n", F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks")))
+    if often.count() <= MOST_HOT_KEYS:
+        placed = members.join(F.broadcast(often.select("key", "blocks")), "key", "left")
+    else:
+        placed = salted_join(members, often.select("key", "blocks"), ["key"], hot_keys(often, ["key"], often.agg(F.sum("n")).first()[0]), F.xxhash64("cid"), "left")
+    dealt = _dealt(placed.withColumn("blocks", F.coalesce("blocks", F.lit(1))), "sketch")
     active = work.store(sorted_groups(dealt, ["key", "bi", "bj"], n_shuffle(spark)).mapInArrow(_active(sketch_limit(threshold)), "key long, cid long").distinct())
     sums = active.groupBy("key").agg(F.count("*").alias("c"), F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.expr("bit_xor(xxhash64(cid))").alias("x1"), F.expr("bit_xor(xxhash64(7, cid))").alias("x2"))
     tab = (F.col("key").bitwiseAND(F.lit(0xFFF))).cast("int")

@@ -202,3 +202,50 @@ def test_links_close_to_the_threshold(spark):
     links = np.array([got[k]["n_links"] for k in range(len(x))])
     assert (links <= want).all()
     assert links[:1800].sum() >= 0.99 * want[:1800].sum() and links.sum() >= 0.999 * want.sum()
+
+
+def linked_by_hand(rows, size, percent):
+    """(doc_id, n) -> component of every row, a doc_id's texts being one document."""
+    sets = [shingles(t, size) if i is not None else frozenset() for i, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    links += [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and rows[i][0] == rows[j][0]]
+    comp = classes(len(rows), links)
+    least = {}
+    for k, c in enumerate(comp):
+        if rows[k][0] is not None:
+            least[c] = min(least.get(c, rows[k][0]), rows[k][0])
+    return sorted((str(i), len(shingles(t, size)), str(None if i is None else least[comp[k]])) for k, (i, t) in enumerate(rows))
+
+
+def test_documents_with_several_texts_lose_no_link(spark):
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    base = [r.choice(words) for _ in range(120)]
+    near = base[:60] + ["changed"] + base[61:]
+    other = [r.choice(words) for _ in range(90)]
+    rows = [(1, " ".join(other)), (1, " ".join(base)), (5, " ".join(near)), (7, " ".join(other)), (3, "a b c"), (3, None), (None, " ".join(base)), (9, "x y z u v w"), (8, "x y z u v w"), (8, "q q q q q q q")]
+    for k in range(4):
+        shuffled = rows[:]
+        random.Random(k).shuffle(shuffled)
+        df = spark.createDataFrame(shuffled, "doc_id long, text string").repartition(k + 1)
+        got = sorted((str(x["doc_id"]), x["n_shingles"], str(x["component_id"])) for x in set_join.near_duplicate_classes(df, size=4, percent=85).collect())
+        assert got == linked_by_hand(rows, 4, 85)
+
+
+def test_common_signatures_that_are_thinly_spread(spark):
+    """150 partitions with 7 near copies each of one text: every one is linked, and no task gets them all."""
+    base = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join(base[:40] + [f"own{k}"] + base[41:])) for k in range(1050)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(150, "doc_id")
+    got = set_join.near_duplicate_classes(df, size=4, percent=80).collect()
+    assert len(got) == 1050 and {r["component_id"] for r in got} == {0}
+
+
+def test_thinly_spread_vectors_meet_in_bounded_blocks(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    monkeypatch.setattr(vector_join, "BLOCK", 64)
+    centre = r.normal(size=16)
+    rows = [(k, [float(x) for x in centre + 0.01 * r.normal(size=16)]) for k in range(1050)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(150, "vec_id")
+    got = vector_join.near_duplicate_vectors(df).collect()
+    assert len(got) == 1050 and {x["component_id"] for x in got} == {0} and {x["n_links"] for x in got} == {1049}

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,6 +131,26 @@ def as_bytes(c: Column) -> Column:
 #: Rows of one key that may meet in a task as they are; and the most keys with more of them, which bounds the list that is broadcast.
 HOT_ROWS = 200
 MOST_HOT_KEYS = 100_000
+#: Values that a task of ``seen_twice`` looks at together.
+HELD_VALUES = 8 << 20
+
+
+def seen_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over one column of arrays of numbers: (value, n) of values that this task sees at least twice among HELD_VALUES. A value that
+    no task names has at most one row for each task and HELD_VALUES. No shuffle of all values is needed to find the common ones."""
+
+    def flush() -> pa.RecordBatch:
+        every, counts = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+        often = counts > 1
+        return pa.RecordBatch.from_arrays([pa.array(every[often], pa.int64()), pa.array(counts[often], pa.int64())], names=["value", "n"])
+
+    held: list[np.ndarray] = []
+    for b in batches:
+        held.append(b.column(0).flatten().to_numpy(zero_copy_only=False))
+        if sum(map(len, held)) > HELD_VALUES:
+            yield flush()
+            held = []
+    yield flush()
 
 
 def hot_keys(counts: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:

@@ -1,7 +1,7 @@
 """Near-duplicate classes by the Jaccard similarity of word n-grams: an exact PartEnum join.
 
 1. One pass over the texts gives each document's set size, a 128-bit fingerprint of its set, a parity sketch and its PartEnum
-   signatures. Documents of equal sets form a class, which has a number of its own from here on; signatures are told once for each class.
+   signatures. Documents of equal sets form a class, whose number is its least doc_id from here on; signatures are told once for each class.
 2. Signatures that two classes share make buckets. In each, members are paired with the bucket's least member only; pairs that size and
    sketch don't rule out are checked exactly, and those that hold are links.
 3. Buckets whose members still lie in several components are searched for further links between different components. Their
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, batch_columns, hot_keys, n_shuffle, salted_join
+from .common import MOST_HOT_KEYS, Scratch, as_bytes, batch_columns, hot_keys, n_shuffle, salted_join, seen_twice
 from .components import components
 from .grouping import groups, sorted_groups
 from .partenum import folded, signatures, sketch
@@ -162,7 +162,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     total = prints.count()
     worded = prints.filter("n > 0 and doc_id is not null")
     classes = worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("sigs", ignorenulls=True).alias("sigs"))
-    classes = work.store(classes.withColumn("doc", F.monotonically_increasing_id()))  # a class's number, fixed by being stored
+    classes = _numbered(work.store(classes), work)
     hot = hot_keys(classes, ["h1", "h2"], total, "copies")
     found = salted_join(worded.select("doc_id", "n", "h1", "h2"), classes.select("h1", "h2", "doc"), ["h1", "h2"], hot, F.xxhash64("doc_id")).select("doc_id", "n", "doc")
     rest = prints.filter("not (n > 0 and doc_id is not null)").select("doc_id", "n", F.lit(None).cast("long").alias("doc"))
@@ -209,19 +209,42 @@ def _often(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _members(classes: DataFrame, work: Scratch) -> DataFrame:
-    """Members (sig, doc, pivot, c) of the signatures that several classes share, stored: the least member and the number of all. Both come from exact
-    partial aggregates, so no signature is a window, however common it is and however thinly spread."""
+    """Members (sig, doc, pivot, c) of the signatures that several classes share, stored: the least member and the number of all.
+
+    A signature with many rows would be one task's window: the commonest, and all that a task sees twice up to MOST_HOT_KEYS, are summed up by partial
+    aggregates. Any other has one row in a task at most, or one part in MOST_HOT_KEYS of all rows.
+    """
+    seen = classes.select("sigs").mapInArrow(seen_twice, "value long, n long").groupBy(F.col("value").alias("sig")).agg(F.sum("n").alias("n"))
+    common = work.store(seen.orderBy(F.desc("n"), "sig").limit(MOST_HOT_KEYS).select("sig"))
     shared = classes.select(F.explode(F.array_distinct("sigs")).alias("sig"), "doc")
-    sums = work.store(shared.groupBy("sig").agg(F.min("doc").alias("pivot"), F.count("*").alias("c")).filter("c > 1"))
-    if sums.count() <= BROADCAST_IDS:
-        met = shared.join(F.broadcast(sums), "sig")
-    else:
-        met = salted_join(shared, sums, ["sig"], hot_keys(sums, ["sig"], sums.agg(F.sum("c")).first()[0], "c"), F.xxhash64("doc"))
-    out = work.store(met.select("sig", "doc", "pivot", "c"))
-    work.drop(sums)
+    rare = shared.join(F.broadcast(common), "sig", "left_anti").selectExpr("sig", "doc", "min(doc) over (partition by sig) as pivot", "count(*) over (partition by sig) as c")
+    often = shared.join(F.broadcast(common), "sig")
+    sums = often.groupBy("sig").agg(F.min("doc").alias("pivot"), F.count("*").alias("c"))
+    out = work.store(rare.unionByName(often.join(F.broadcast(sums), "sig").select("sig", "doc", "pivot", "c")).filter("c > 1"))
+    work.drop(common)
     return out
 
 
+def _numbered(classes: DataFrame, work: Scratch) -> DataFrame:
+    """classes, stored, with ``doc``, a number of their own: the least doc_id. Documents with several texts are the least of several classes: all
+    but one of these get hashes, which are tried until no two numbers are equal."""
+    shared = work.store(classes.groupBy("rep").agg(F.count("*").alias("k"), F.min(F.struct("h1", "h2")).alias("own")).filter("k > 1"))
+    if not shared.limit(1).count():
+        return classes.withColumn("doc", F.col("rep"))
+    total = classes.count()
+    both = salted_join(classes, shared, ["rep"], hot_keys(shared, ["rep"], total, "k"), F.xxhash64("h1", "h2"), "left")
+    again = F.col("own").isNotNull() & (F.struct("h1", "h2") != F.col("own"))
+    attempt = 0
+    while True:
+        numbered = work.store(both.withColumn("doc", F.when(again, F.xxhash64("h1", "h2", F.lit(attempt))).otherwise(F.col("rep"))).drop("k", "own"))
+        if not numbered.groupBy("doc").count().filter("count > 1").limit(1).count():
+            break
+        work.drop(numbered)
+        attempt += 1
+    work.drop(classes)
+    return numbered
+
+
 def _further_pairs(members: DataFrame, nodes: DataFrame, comp: DataFrame, percent: int, work: Scratch) -> DataFrame:
     """Open pairs of different components in one bucket, but for those with the bucket's pivot, which were checked.
 

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import nfd
 from .texts import let
 
-# Accented letters and their bases, what name comparison drops, words a cut name doesn't end with.
-_ACCENTED = "ÁÀÂÄÃÅáàâäãåÉÈÊËéèêëÍÌÎÏíìîïÓÒÔÖÕóòôöõÚÙÛÜúùûüÑñÇçÝýÿ"
-_BASES = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuNnCcYyy"
+# What name comparison drops, words a cut name doesn't end with.
 _DROPPED = (",", ".", "(", ")", " SL", " S L", " SLU", " SA", " SAU", " CB")
 _CONNECTORS = ("DE", "DEL", "LA", "EL", "LOS", "LAS", "Y", "E")
 NAME_LENGTH = 40
 
 
 def strip_accents(c: Column) -> Column:
-    """Latin letters without their marks, combining marks gone."""
-    return F.regexp_replace(F.translate(c, _ACCENTED, _BASES), r"\p{Mn}", "")
+    """Letters of any script without their marks, combining marks gone. Signs that decompose into several others, as Hangul syllables do, stay
+    (``nfd.without_marks`` takes them apart)."""
+    return F.regexp_replace(F.translate(c, *nfd.bases()), r"\p{Mn}", "")
 
 
 def tokens(c: Column) -> Column:

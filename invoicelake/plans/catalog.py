@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import messages as M
-from ..functions import cells, dates, json_text, names, numbers, taxid
-from ..operators import build, client, duplicates, edits, fill, grid, gross, incidents, memory, name_join, periods, replaced, rule_index, rules, summary, validate
+from ..functions import cells, dates, json_text, names, nfd, numbers, taxid
+from ..operators import build, client, duplicates, edit_log, edits, fill, grid, gross, incidents, memory, name_join, periods, replaced, revalidate, rule_index, rules, summary, validate
 from ..sources import records
 from ..stages import stage
 from . import batch
@@ -628,3 +628,41 @@ def q_next_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every line the next one to look at, going round."""
     rows = stage(summary.numbered(validate.final_state(duplicates.mark(stage(_checked(spark, sf_dir))))).select("fila", "estado"))
     return incidents.next_incidents(rows)
+
+
+# What a person did, and what follows from it ------------------------------------------------------------------------------
+#: Entries: 1 to 3 edits of a name, the last one undone for every second document, the undo undone for every sixth; deletions, some undone.
+_LOGGED = """SELECT doc_seq * 10 + 1 AS seq, 'edita' AS accion, doc_seq, 0 AS line_no, 'nombre' AS campo, concat('primera ', doc_seq) AS valor, CAST(NULL AS BIGINT) AS deshace FROM {h} WHERE doc_seq % 4 = 0
+  UNION ALL SELECT doc_seq * 10 + 2, 'edita', doc_seq, 0, 'nombre', concat('segunda ', doc_seq), CAST(NULL AS BIGINT) FROM {h} WHERE doc_seq % 8 = 0
+  UNION ALL SELECT doc_seq * 10 + 3, 'deshace', CAST(NULL AS BIGINT), CAST(NULL AS INT), CAST(NULL AS STRING), CAST(NULL AS STRING), doc_seq * 10 + 2 FROM {h} WHERE doc_seq % 16 = 0
+  UNION ALL SELECT doc_seq * 10 + 4, 'deshace', CAST(NULL AS BIGINT), CAST(NULL AS INT), CAST(NULL AS STRING), CAST(NULL AS STRING), doc_seq * 10 + 3 FROM {h} WHERE doc_seq % 48 = 0
+  UNION ALL SELECT doc_seq * 10 + 5, 'borra', doc_seq, 0, CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS BIGINT) FROM {h} WHERE doc_seq % 7 = 0
+  UNION ALL SELECT doc_seq * 10 + 6, 'deshace', CAST(NULL AS BIGINT), CAST(NULL AS INT), CAST(NULL AS STRING), CAST(NULL AS STRING), doc_seq * 10 + 5 FROM {h} WHERE doc_seq % 21 = 0"""
+
+
+@_query(f"""SELECT {_LINE}, CASE WHEN line_no > 0 THEN nombre WHEN doc_seq % 8 = 0 AND (doc_seq % 16 <> 0 OR doc_seq % 48 = 0) THEN 'segunda ' || doc_seq WHEN doc_seq % 4 = 0 THEN 'primera ' || doc_seq ELSE nombre END AS nombre
+  FROM lines WHERE NOT (line_no = 0 AND doc_seq % 7 = 0 AND doc_seq % 21 <> 0)""")
+def q_edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as a log of edits, deletions and undos leaves them."""
+    every = stage(lines(spark, sf_dir))
+    log = spark.sql(_LOGGED, h=every.filter("line_no = 0"))
+    return edit_log.at_version(every, log).select("doc_seq", "line_no", "nombre")
+
+
+_EDITED = _DUP.replace("FROM lines", "FROM edited").replace(", u AS", ", edited AS (SELECT * REPLACE (CASE WHEN doc_seq % 101 = 0 AND line_no = 0 THEN 'F-1' ELSE num_factura END AS num_factura) FROM lines WHERE NOT (doc_seq % 211 = 0 AND line_no = 0)), u AS", 1)
+
+
+@_query(f"{_EDITED} SELECT {_LINE}, dup_doc, {_FINAL} AS estado FROM x")
+def q_revalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results after edits and deletions, of which only what they touch is computed anew."""
+    every = stage(lines(spark, sf_dir))
+    results = revalidate.Results(every, QUARTER)
+    typed = every.filter("doc_seq % 101 = 0 and line_no = 0").select("doc_seq", "line_no", F.lit("num_factura").alias("campo"), F.lit("F-1").alias("valor"))
+    results.apply(typed, every.filter("doc_seq % 211 = 0 and line_no = 0"))
+    return results.lines().select("doc_seq", "line_no", "dup_doc", "estado")
+
+
+@_query("SELECT doc_id, md5(strip_accents(coalesce(text, ''))) AS md5 FROM documents", source=False)
+def q_without_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in canonical decomposition, without marks."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(nfd.without_marks(F.coalesce("text", F.lit("")))).alias("md5"))

@@ -34,11 +34,17 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
+def is_folder(spark: SparkSession, path: str) -> bool:
     fs, jpath = _fs(spark, path)
     return fs.exists(jpath) and fs.getFileStatus(jpath).isDirectory()
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder."""
+    fs, jpath = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(jpath) if f.isDirectory()] if fs.exists(jpath) else []
+
+
 def _object(spark: SparkSession, path: str, value: str, columns: str) -> DataFrame:
     """(clave, v) of a file that holds one JSON object; no rows where it is missing or broken."""
     try:
@@ -51,7 +57,7 @@ def _object(spark: SparkSession, path: str, value: str, columns: str) -> DataFra
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """(clave, texto), keyed by file#page: a folder that ``append_cache`` wrote, or a file with one JSON object; no rows where there is
     none. Of several texts of a key the greatest is taken."""
-    if _is_folder(spark, path):
+    if is_folder(spark, path):
         lines = spark.read.schema("clave string, texto string").option("recursiveFileLookup", True).json(path)
         return lines.filter("clave is not null").groupBy("clave").agg(F.max("texto").alias("texto"))
     return _object(spark, path, "string", "clave string, v string").select("clave", F.col("v").alias("texto"))

@@ -22,6 +22,17 @@ def test_the_rest_stands_without_the_corpus_operators(tmp_path):
     assert run(tmp_path).stdout == out.stdout and "corpus" not in run(tmp_path).stderr
 
 
+def test_the_rest_stands_whatever_of_the_corpus_operators_is_deleted(tmp_path):
+    """The two folders alone, and with them the pipeline at the top."""
+    whole = tmp_path / "repo"
+    shutil.copytree(ROOT, whole, ignore=shutil.ignore_patterns("llm", "__pycache__", ".git", ".pytest_cache"))
+    assert (whole / "corpus_pipeline.py").exists() and not (whole / "tests/llm").exists()
+    out = run(whole)
+    assert out.returncode == 0 and out.stdout.split()[2:] == ["False", "True"] and "corpus" not in out.stderr
+    (whole / "corpus_pipeline.py").unlink()
+    assert run(whole).stdout == out.stdout
+
+
 def test_a_missing_library_takes_no_other_query_down():
     out = run(ROOT, "import sys; sys.modules['public_tokenizers'] = None\n")
     assert out.returncode == 0 and out.stdout.split()[2] == "False"

@@ -1,8 +1,9 @@
 """Ordered keyword rules in a table, found by an index of q-grams: no text is compared with all keywords.
 
-A text holds a keyword only if it holds each of the keyword's q-grams, so the rarest one will do as its index entry. The distinct q-grams of
-the texts are joined with the index by equality, and only the pairs that meet there are tested. Keywords of one or two signs are their
-own entries among q-grams of their length; the empty keyword is in every text.
+A text holds a keyword only if it holds each of the keyword's q-grams, so one of them will do as its index entry: the one that fewest keywords
+have. The q-grams of the texts are joined with the index by equality, and only the pairs that meet there are tested. Keywords of fewer than q signs are their
+own entries among runs of their length, and need no test; the empty keyword is in every text. Rules are numbered by priority, so a text's first
+rule is the least number it meets.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 
 from .. import joins
 from ..functions.names import strip_accents
-from ..stages import release, stage
+from ..stages import release, row_numbers, stage
 
-#: Signs of an index entry.
-Q = 3
+#: Signs of an index entry. Longer ones meet fewer texts in vain; each length up to this that keywords have is one more pass along a text.
+Q = 5
 
 
 def plain(text: Column) -> Column:
@@ -24,9 +25,9 @@ def plain(text: Column) -> Column:
 
 
 def grams(text: Column, q: int) -> Column:
-    """The distinct runs of q signs. A look-ahead takes them in one pass; cutting the text at each place would start from its beginning
+    """The runs of q signs. A look-ahead takes them in one pass; cutting the text at each place would start from its beginning
     each time."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1))
 
 
 def _all_grams(text: Column, sizes: list[int]) -> Column:
@@ -39,47 +40,49 @@ def _sizes(rules: DataFrame) -> list[int]:
 
 
 def index(rules: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
-    """(gram, clave, prio, codigo): each keyword at its rarest q-gram, by ``frequency`` (gram, n): how many texts have it; one that isn't there is
-    in none. Without, by how many keywords have it. Of equally rare ones the first by code point. One keyword's rules but the first are left out."""
-    best = rules.filter("clave <> ''").groupBy("clave").agg(F.min(F.struct("prio", "codigo")).alias("r"))
-    q = F.least(F.length("clave"), F.lit(Q))
-    own = F.when(q < Q, F.array("clave")).otherwise(grams(F.col("clave"), Q))
-    each = best.select("clave", "r", F.explode(own).alias("gram"))
+    """rules (clave, rango) -> (gram, clave, rango): each keyword at its rarest q-gram, by ``frequency`` (gram, n); one that isn't there counts as the rarest.
+    Without, by how many keywords have it. Of equally rare ones the first by code point. Of one keyword's rules the first is kept."""
+    best = rules.filter("clave <> ''").groupBy("clave").agg(F.min("rango").alias("rango"))
+    own = F.when(F.length("clave") < Q, F.array("clave")).otherwise(F.array_distinct(grams(F.col("clave"), Q)))
+    each = best.select("clave", "rango", F.explode(own).alias("gram"))
     if frequency is None:
         frequency = each.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = each.join(frequency, "gram", "left").groupBy("clave").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"), F.first("r").alias("r"))
-    return rarest.select("g.gram", "clave", "r.prio", "r.codigo")
+    rarest = each.join(frequency, "gram", "left").groupBy("clave").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"), F.first("rango").alias("rango"))
+    return rarest.select("g.gram", "clave", "rango")
 
 
 def by_index(df: DataFrame, id_col: str, text: Column, rules: DataFrame, default: str | None) -> DataFrame:
     """(id, codigo): the code of the first rule (prio, codigo, clave) with a keyword in the text, by prio and then code; else ``default``. Keywords match
     within words, as they are written in the table. Rows that repeat an id are one text in parts; null texts count as empty, null keywords
-    match nothing. ``df`` is read twice: once to count the keywords' q-grams, once to find them.
+    match nothing. Of ``df`` the texts are read once, ids twice.
 
     Up to ``joins.BROADCAST_ROWS`` keywords are sent to every executor, and texts go no further than their task. A larger index is
     joined by a shuffle of q-grams and ids that deals out common q-grams; texts meet only the keywords that remain.
     """
-    rules = stage(rules.select(F.col("prio").cast("int").alias("prio"), F.col("codigo").cast("string").alias("codigo"), F.col("clave").cast("string").alias("clave")).filter("clave is not null"))
-    sizes = _sizes(rules)
-    texts = df.select(F.struct(F.col(id_col).alias("id")).alias("_id"), plain(text).alias("_t"))  # a key that isn't null
-    wanted = stage(rules.filter(F.length("clave") >= Q).select(F.explode(grams(F.col("clave"), Q)).alias("gram")).distinct())
-    small = rules.count() <= joins.BROADCAST_ROWS
-    met = texts.select(F.explode(grams(F.col("_t"), Q)).alias("gram")).join(F.broadcast(wanted) if small else wanted, "gram", "left_semi")
-    placed = stage(index(rules, met.groupBy("gram").agg(F.count("*").alias("n"))), wanted)
-    always = rules.filter("clave = ''").agg(F.min(F.struct("prio", "codigo")).alias("r")).first()["r"]
-
+    named = rules.select(F.struct(F.col("prio").cast("int").alias("prio"), F.col("codigo").cast("string").alias("codigo")).alias("regla"), F.col("clave").cast("string").alias("clave"))
+    named = stage(named.filter("clave is not null"))
+    ranks = row_numbers(named.select("regla").distinct(), ["regla"], "rango")
+    ranked = stage(named.join(ranks, "regla").select("clave", "rango"))
+    placed = stage(index(ranked))
+    small, sizes = placed.count() <= joins.BROADCAST_ROWS, _sizes(ranked)
+    always = ranked.filter("clave = ''").agg(F.min("rango")).first()[0]
+    ids = F.struct(F.col(id_col).alias("id")).alias("_id")  # a key that isn't null
+    texts = df.select(ids, plain(text).alias("_t"))
+    found = (F.col("gram") == F.col("clave")) | F.contains("_t", "clave")
+    parts = []
     if small:
-        each = texts.select("_id", "_t", F.explode_outer(_all_grams(F.col("_t"), sizes)).alias("gram"))
-        tested = each.join(F.broadcast(placed), "gram", "left").select("_id", F.when(F.contains("_t", "clave"), F.struct("prio", "codigo")).alias("_hit"))
+        each = texts.select("_id", "_t", F.explode(_all_grams(F.col("_t"), sizes)).alias("gram"))
+        tested = each.join(F.broadcast(placed), "gram").filter(found)
     else:
-        each = stage(texts.select("_id", F.explode(_all_grams(F.col("_t"), sizes)).alias("gram")).join(placed.select("gram").distinct(), "gram", "left_semi"))
-        pairs = stage(joins.lookup(each, placed, ["gram"], spread=F.xxhash64("_id")).select("_id", "clave", "prio", "codigo").distinct(), each)
-        tested = joins.lookup(pairs, texts, ["_id"], spread=F.xxhash64("clave")).filter(F.contains("_t", "clave")).select("_id", F.struct("prio", "codigo").alias("_hit"))
-        tested = tested.unionByName(texts.select("_id", F.lit(None).cast("struct<prio:int,codigo:string>").alias("_hit")))
-    hits = tested.groupBy("_id").agg(F.min("_hit").alias("_hit"))
-    first = F.col("_hit") if always is None else F.least(F.col("_hit"), F.struct(F.lit(always["prio"]).cast("int").alias("prio"), F.lit(always["codigo"]).cast("string").alias("codigo")))
-    out = hits.select(F.col("_id.id").alias(id_col), F.when(first.isNull(), F.lit(default)).otherwise(first["codigo"]).alias("codigo"))
-    done = stage(out, rules, placed)
-    if not small:
-        release(pairs)
+        each = texts.select("_id", F.explode(F.array_distinct(_all_grams(F.col("_t"), sizes))).alias("gram"))
+        each = stage(each.join(placed.select("gram").distinct(), "gram", "left_semi"))
+        pairs = stage(joins.lookup(each, placed, ["gram"], spread=F.xxhash64("_id")).select("_id", "gram", "clave", "rango").distinct(), each)
+        tested = joins.lookup(pairs, texts, ["_id"], spread=F.xxhash64("clave")).filter(found)
+        parts.append(pairs)
+    hits = tested.groupBy("_id").agg(F.min("rango").alias("_hit"))
+    first = F.col("_hit") if always is None else F.least("_hit", F.lit(always))
+    met = stage(df.select(ids).distinct().join(hits, "_id", "left").select("_id", first.alias("rango")))
+    codes = joins.lookup(met, ranks, ["rango"], "left", spread=F.xxhash64("_id"))
+    done = stage(codes.select(F.col("_id.id").alias(id_col), F.when(F.col("rango").isNull(), F.lit(default)).otherwise(F.col("regla.codigo")).alias("codigo")), met, named, ranked, placed, ranks)
+    release(*parts)
     return done

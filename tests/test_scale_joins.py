@@ -51,9 +51,11 @@ def test_no_rules_and_no_texts(spark):
 
 
 def test_a_keyword_is_indexed_at_its_rarest_gram(spark):
-    rules = spark.createDataFrame([(0, "a", "the xq"), (1, "b", "the"), (2, "c", "z")], "prio int, codigo string, clave string")
-    common = spark.createDataFrame([("the", 90), ("he ", 80), ("e x", 7), (" xq", 2)], "gram string, n long")
-    assert {r["clave"]: r["gram"] for r in rule_index.index(rules, common).collect()} == {"the xq": " xq", "the": "the", "z": "z"}
+    rules = spark.createDataFrame([(0, "the xq"), (1, "the"), (2, "z"), (3, "the x")], "rango long, clave string")
+    common = spark.createDataFrame([("the x", 90), ("he xq", 80)], "gram string, n long")
+    expected = {"the xq": "he xq", "the": "the", "z": "z", "the x": "the x"}
+    assert {r["clave"]: r["gram"] for r in rule_index.index(rules, common).collect()} == expected
+    assert {r["clave"]: r["gram"] for r in rule_index.index(rules).collect()} == expected
 
 
 def test_long_texts_take_linear_time(spark):

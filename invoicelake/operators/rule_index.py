@@ -15,7 +15,7 @@ from .. import joins
 from ..functions.names import strip_accents
 from ..stages import release, row_numbers, stage
 
-#: Signs of an index entry. Longer ones meet fewer texts in vain; each length up to this that keywords have is one more pass along a text.
+#: Signs of an index entry. Longer ones meet fewer texts in vain.
 Q = 5
 
 
@@ -30,9 +30,13 @@ def grams(text: Column, q: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1))
 
 
-def _all_grams(text: Column, sizes: list[int]) -> Column:
-    parts = [grams(text, q) for q in sizes]
-    return F.concat(*parts) if parts else F.array().cast("array<string>")
+def _cut(texts: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """texts (keep, _t) with ``gram``: all runs of these sizes. One pass along a text gives the longest at each place, and the others are their
+    beginnings; what is cut short by the text's end is in the text all the same."""
+    if not sizes:
+        return texts.limit(0).select(*keep, F.lit("").alias("gram"))
+    runs = texts.select(*keep, F.explode(F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{1,{max(sizes)}}}))"), F.lit(1))).alias("_run"))
+    return runs.select(*keep, F.explode(F.array(*(F.substring("_run", 1, q) for q in sizes))).alias("gram"))
 
 
 def _sizes(rules: DataFrame) -> list[int]:
@@ -71,11 +75,10 @@ def by_index(df: DataFrame, id_col: str, text: Column, rules: DataFrame, default
     found = (F.col("gram") == F.col("clave")) | F.contains("_t", "clave")
     parts = []
     if small:
-        each = texts.select("_id", "_t", F.explode(_all_grams(F.col("_t"), sizes)).alias("gram"))
+        each = _cut(texts, sizes, "_id", "_t")
         tested = each.join(F.broadcast(placed), "gram").filter(found)
     else:
-        each = texts.select("_id", F.explode(F.array_distinct(_all_grams(F.col("_t"), sizes))).alias("gram"))
-        each = stage(each.join(placed.select("gram").distinct(), "gram", "left_semi"))
+        each = stage(_cut(texts, sizes, "_id").join(placed.select("gram").distinct(), "gram", "left_semi").distinct())
         pairs = stage(joins.lookup(each, placed, ["gram"], spread=F.xxhash64("_id")).select("_id", "gram", "clave", "rango").distinct(), each)
         tested = joins.lookup(pairs, texts, ["_id"], spread=F.xxhash64("clave")).filter(found)
         parts.append(pairs)

@@ -583,15 +583,15 @@ def q_client_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Tables of rules and names at scale --------------------------------------------------------------------------------------
 _WORD = "translate(substr(md5(concat(CAST({0} AS STRING), '-', CAST({1} AS STRING))), 1, {2}), '0123456789', 'etaoinshrl')"
 _KEYWORDS = f"""SELECT (p_partkey * 7919 + j * 104729) % 10007 AS prio, {_WORD.format("p_partkey", "j", "CAST(3 + (p_partkey + j) % 5 AS INT)")} AS clave
-  FROM {{part}} CROSS JOIN (SELECT 1 AS j UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) x"""
+  FROM (SELECT p_partkey, {{five}} AS j FROM {{part}}) x"""
 
 
-@_query(f"""WITH k AS MATERIALIZED (SELECT clave, min(prio) AS prio FROM ({_KEYWORDS.format(part="part")}) a GROUP BY 1), d AS MATERIALIZED (SELECT doc_id, strip_accents(lower(coalesce(text, ''))) AS t FROM documents),
+@_query(f"""WITH k AS MATERIALIZED (SELECT clave, min(prio) AS prio FROM ({_KEYWORDS.format(part="part", five="unnest([1, 2, 3, 4, 5])")}) a GROUP BY 1), d AS MATERIALIZED (SELECT doc_id, strip_accents(lower(coalesce(text, ''))) AS t FROM documents),
   h AS (SELECT doc_id, min(prio) AS prio FROM d JOIN k ON contains(d.t, k.clave) GROUP BY 1)
   SELECT d.doc_id, coalesce(CAST(600 + h.prio % 30 AS VARCHAR), '600') AS codigo FROM d LEFT JOIN h ON h.doc_id = d.doc_id""", source=False)
 def q_indexed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five keywords for each part, against whole documents."""
-    keywords = spark.sql(_KEYWORDS, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    keywords = spark.sql(_KEYWORDS.replace("{five}", "explode(array(1, 2, 3, 4, 5))"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
     table = keywords.select(F.col("prio").cast("int").alias("prio"), (600 + F.col("prio") % 30).cast("string").alias("codigo"), "clave")
     return rule_index.by_index(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", F.col("text"), table, "600")
 

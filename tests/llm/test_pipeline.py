@@ -35,4 +35,4 @@ def test_near_copies_leave_one(spark, folder):
 
 
 def test_every_operator_is_registered():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]

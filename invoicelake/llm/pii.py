@@ -4,10 +4,12 @@ Plain matches are leftmost and non-overlapping for each kind (email, ip, card, p
 not tried again. A disguised text runs through a chain of transducers, each of which rewrites pieces and keeps, for every character it
 gives, the span of source characters it stands for:
 
-1. characters: zero-width ones vanish; full-width, mathematical, Cyrillic and Greek look-alikes become ASCII;
+1. characters: format characters vanish; no-break spaces, full-width, mathematical, Cyrillic and Greek look-alikes become ASCII;
 2. look-alike letters between digits (O, o, I, l) become digits;
 3. spelled digits, "plus", "double", "triple", "dot", "dash" become characters, and the separators between them vanish;
-4. "[at]", "(dot)" and the like, and "at" ... "dot" between the parts of an address, become "@" and ".".
+4. "[at]", "(dot)" and the like, and "at" ... "dot" between the parts of an address, in English, Spanish, French and German, become "@" and ".".
+
+White space of any kind and length separates; local parts, labels and runs have no bound.
 
 Identifiers found in the result are mapped back to source spans. They are added where they overlap no plain match; plain matches
 stay as they are. Spelled digits and numerals may be mixed in a run; the kinds' own checks reject what is none of them. A step runs only where
@@ -107,8 +109,9 @@ class Tape:
 _CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅ", "aeopcyxijshdqwABEKMHOPCTYXIJS"))
 _GREEK = dict(zip("οανρτυικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oavptuikABEZHIKMNOPTYX"))
 _LOOKS = _CYRILLIC | _GREEK
-_HIDDEN = "​‌‍⁠﻿­"
-_ODD = re.compile(rf"[^\x00-ɏ]|{_HIDDEN[-1]}")
+#: Format characters (zero-width ones, soft hyphens, marks of direction, tags) and variation selectors.
+_HIDDEN = frozenset(c for c in map(chr, (*range(1 << 16), *range(0xE0000, 0xE01F0))) if unicodedata.category(c) == "Cf" or unicodedata.name(c, "").startswith("VARIATION SELECTOR"))
+_ODD = re.compile(r"[^\x00-\u024F]|[\xA0\xAD]")
 
 
 def _characters(text: str) -> Iterator[tuple[int, int, str]]:
@@ -122,9 +125,9 @@ def _characters(text: str) -> Iterator[tuple[int, int, str]]:
             yield m.start(), m.end(), n
 
 
-_MIXED = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9OoIl](?:[ ().-]{0,2}[0-9OoIl]){6,}(?![A-Za-z0-9])")
+_MIXED = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9OoIl](?:[ ().-]*+[0-9OoIl]){6,}(?![A-Za-z0-9])")
 #: A run with both has a figure and a letter side by side, with the run's own separators between.
-_MIXED_SIGN = re.compile(r"[0-9][ ().-]{0,2}[OoIl]|[OoIl][ ().-]{0,2}[0-9]")
+_MIXED_SIGN = re.compile(r"[0-9][ ().-]*+[OoIl]|[OoIl][ ().-]*+[0-9]")
 _AS_DIGIT = {"O": "0", "o": "0", "I": "1", "l": "1"}
 
 
@@ -149,9 +152,9 @@ _REPEATS = {"double": 2, "triple": 3}
 _NUMBER_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _SPOKEN = "|".join([_NUMBER_WORD, *_MARKS, *_REPEATS])
 #: A run is edited for a spoken piece in it, and that has a neighbour.
-_SPELLED_SIGN = re.compile(rf"(?i)(?<!\w)(?:(?:{_SPOKEN})[ ,.()-]{{1,3}}(?:{_SPOKEN}|[0-9]+)|[0-9]+[ ,.()-]{{1,3}}(?:{_SPOKEN}))(?!\w)")
+_SPELLED_SIGN = re.compile(rf"(?i)(?<!\w)(?:(?:{_SPOKEN})[\s,./()-]++(?:{_SPOKEN}|[0-9]+)|[0-9]+[\s,./()-]++(?:{_SPOKEN}))(?!\w)")
 _ITEM = rf"(?:{_NUMBER_WORD}|{'|'.join([*_MARKS, *_REPEATS])}|[0-9]+)"
-_SPELLED_RUN = re.compile(rf"(?i)(?<![\w@.+-])\+?(?:{_ITEM})(?:[ ,.()-]{{1,3}}(?:{_ITEM})(?!\w))+")
+_SPELLED_RUN = re.compile(rf"(?i)(?<![\w@.+-])\+?(?:{_ITEM})(?:[\s,./()-]++(?:{_ITEM})(?!\w))+")
 _PIECE = re.compile(r"[^\W\d_]+|[0-9]+|[^\w]+|_+")
 
 
@@ -186,34 +189,90 @@ def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
                 yield i, j, "." if "." in p and len(p) == 1 else ""
 
 
-_BRACKETED = re.compile(r"(?i)\s{0,3}[\[({<]\s{0,2}(at|dot|@|\.|arroba|punto|punkt|point)\s{0,2}[\])}>]\s{0,3}")
-_WORDED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}(?: dot [A-Za-z0-9_%+-]{1,64}){0,4})([ _-]at[ _-]|@ ?| @ ?)((?:[A-Za-z0-9-]{1,63}(?: ?\. ?|[ _-]dot[ _-])){1,5}[A-Za-z]{2,24})(?![A-Za-z0-9])")
-_WORD_DOT = re.compile(r"(?i)[ _-]dot[ _-]| ?\. ?")
-_SPOKEN_DOT = re.compile(r"(?i)[ _-]dot[ _-]")
-_BRACKET_SIGN = re.compile(r"(?i)[\[({<]\s{0,2}(?:at|dot|@|\.|arroba|punto|punkt|point)\s{0,2}[\])}>]")
-#: A worded address has a spoken dot, or an at sign with a space beside it or beside a later dot of its domain.
-_WORDED_SIGN = re.compile(r"(?i)[ _-]dot[ _-]| @|@ |@[A-Za-z0-9.-]+(?: \.|\. )")
+_BRACKETED = re.compile(r"(?i)[\[({<]\s*+(at|dot|@|\.|arroba|arobase?|punto|punkt|point)\s*+[\])}>]\s*+")
+#: At signs and their words, with what stands around them. Each run of separators is entered at its beginning alone.
+_AT = re.compile(r"(?i)(?<!\s)\s*+(@)\s*+|(?<![\s_-])[\s_-]++(at|arroba|arobase?)[\s_-]++")
+#: The words for a dot that go with each of them. "At this point in time" is no address.
+_DOTS = {"@": ("dot", "punto", "punkt"), "at": ("dot", "punkt"), "arroba": ("punto", "dot"), "arobas": ("point", "dot"), "arobase": ("point", "dot")}
+_LABEL = {at: re.compile(rf"(?i)[A-Za-z0-9]++(?:-++(?!(?:{'|'.join(dots)})[\s_-])[A-Za-z0-9]++)*+") for at, dots in _DOTS.items()}
+_DOT = {at: re.compile(rf"(?i)\s*+\.\s*+|[\s_-]++({'|'.join(dots)})[\s_-]++") for at, dots in _DOTS.items()}
+_TOP = re.compile(r"[A-Za-z]{2,}")
+#: A worded address has a word for a dot or an at sign, or white space beside an at sign or beside a dot of its domain.
+_WORDED_SIGN = re.compile(r"(?i)[\s_-](?:dot|punkt)[\s_-]|\s@|@\s|@[A-Za-z0-9.-]+(?:\s+\.|\.\s|[\s_-]+punto)|arroba|arobas")
 
 
 def _bracketed(text: str) -> Iterator[tuple[int, int, str]]:
+    done = 0
     for m in _BRACKETED.finditer(text):
-        yield m.start(), m.end(), "@" if m[1].lower() in ("at", "@", "arroba") else "."
+        i = m.start()
+        while i > done and text[i - 1].isspace():
+            i -= 1
+        done = m.end()
+        yield i, done, "." if m[1].lower() in ("dot", ".", "punto", "punkt", "point") else "@"
+
+
+def _domain(text: str, at: int, word: str) -> tuple[int, list[re.Match]]:
+    """Where the domain ends that starts at a place, and its dots; without dots there is none. The last label has letters alone. A dot before white
+    space ends a sentence, unless the domain's first dot is written so too."""
+    dots: list[re.Match] = []
+    end, kept = at, 0
+    while m := _LABEL[word].match(text, at):
+        if dots and _TOP.fullmatch(m[0]):
+            end, kept = m.end(), len(dots)
+        d = _DOT[word].match(text, m.end())
+        if d is None or dots and not d[1] and d[0][-1] != "." and d[0][0] == "." and (dots[0][1] or dots[0][0][-1] == "." or dots[0][0][0] != "."):
+            break
+        dots.append(d)
+        at = d.end()
+    return end, dots[:kept]
+
+
+def _local(text: str, end: int, least: int, word: str) -> tuple[int, list[tuple[int, int]]]:
+    """Where the local part starts that ends at a place, not before ``least``, and the words for dots within."""
+    dots: list[tuple[int, int]] = []
+    start = end
+    while True:
+        i = start
+        while i > least and text[i - 1] in _LOCAL:
+            i -= 1
+        if i == start:
+            return (dots.pop()[1], dots) if dots else (end, dots)
+        start = k = i
+        while k > least and text[k - 1].isspace():
+            k -= 1
+        dot = next((d for d in _DOTS[word] if text[max(least, k - len(d)) : k].lower() == d), None)
+        if dot is None or k == start:
+            return start, dots
+        j = i = k - len(dot)
+        while j > least and text[j - 1].isspace():
+            j -= 1
+        if j == i:
+            return start, dots
+        dots.append((j, start))
+        start = j
 
 
 def _worded(text: str) -> Iterator[tuple[int, int, str]]:
-    for m in _WORDED.finditer(text):
-        if m[2].strip() != "@" and not _SPOKEN_DOT.search(m[3]):
+    done = 0
+    for m in _AT.finditer(text):
+        word = (m[1] or m[2]).lower()
+        if m.start() < done:
+            continue
+        end, dots = _domain(text, m.end(), word)
+        if not dots or word == "at" and not any(d[1] for d in dots):
             continue  # "at" before a plain domain is ordinary prose
-        for k in (1, 2, 3):
-            if k == 2:
-                yield m.start(2), m.end(2), "@"
-            else:
-                for d in _WORD_DOT.finditer(m[k]):
-                    if d[0] != ".":
-                        yield m.start(k) + d.start(), m.start(k) + d.end(), "."
-
-
-_STEPS: tuple[tuple[re.Pattern, Callable], ...] = ((_ODD, _characters), (_MIXED_SIGN, _digit_looks), (_SPELLED_SIGN, _spelled), (_BRACKET_SIGN, _bracketed), (_WORDED_SIGN, _worded))
+        start, before = _local(text, m.start(), done, word)
+        if start == m.start():
+            continue
+        for i, j in reversed(before):
+            yield i, j, "."
+        yield m.start(), m.end(), "@"
+        for d in dots:
+            yield d.start(), d.end(), "."
+        done = end
+
+
+_STEPS: tuple[tuple[re.Pattern, Callable], ...] = ((_ODD, _characters), (_MIXED_SIGN, _digit_looks), (_SPELLED_SIGN, _spelled), (_BRACKETED, _bracketed), (_WORDED_SIGN, _worded))
 #: A run of digits without a plus sign that has a telephone number's length. Nothing else checks it: at least 4 of its digits
 #: are spelled, and 3 are different.
 _BARE = re.compile(r"(?<![0-9+])[0-9]{9,15}(?![0-9])")

@@ -8,11 +8,11 @@ Two documents of one source are paired, and word mass moves from one to the othe
 fraction of one becomes 0 or 1; the chances make both means stay what they were, and the words of the pair stay exactly the
 same. The other goes on to meet the next. So a source's words miss its target by less than one document.
 
-The tree: documents are dealt by a hash of their ids into buckets of about ``bucket``; one task row folds a bucket and leaves one
+The tree: documents are dealt by a hash of their ids and numbers into buckets of about ``bucket``; one task row folds a bucket and leaves one
 residual. Residuals of a source are dealt again until one is left, which a last coin rounds. Levels number log(rows) / log(bucket),
 each is written to the shared folder, and no group is larger than a bucket whatever the size of a source.
 
-All random numbers are hashes of seed, level and document, so reruns agree, whatever the partitioning. Null and empty texts have no
+All random numbers are hashes of seed, level, document and, of equal rows, their number, so reruns agree, whatever the partitioning. Null and empty texts have no
 words: size 0, taken 0. A null source is a source of its own. Rows that repeat a doc_id are rounded each on its own. An
 empty table gives no rows. Other columns are kept by ``mixed_documents`` and left out by ``mix``.
 """
@@ -92,9 +92,9 @@ def _draw(of: str) -> str:
 
 
 def _rounded(units: DataFrame, scratch: Scratch, bucket: int, seed: int) -> DataFrame:
-    """units (doc_id, source, n, size, p), 0 < p < 1, size > 0, n units in the source -> (doc_id, source, size, bit)."""
+    """units (doc_id, source, n, size, copy, p), 0 < p < 1, size > 0, n units in the source -> (doc_id, source, size, bit)."""
     level, done = 0, None
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), "copy")
     unit = F.struct("size", key.alias("key"), F.col("doc_id").cast("long").alias("doc"), "p", F.lit(0).alias("bit"))
     state = units.select("source", F.col("n").alias("left"), unit.alias("unit"))
     while True:
@@ -122,6 +122,21 @@ def _with_source(rows: DataFrame, sources: DataFrame, few: bool, total: int) ->
     return salted_join(rows, sources, ["of"], hot_keys(sources, ["of"], total, "rows"), F.xxhash64("doc_id", "size"))
 
 
+#: Equal rows that one task numbers.
+RUN = 10_000
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, source, size) with ``copy``, which tells rows apart that are equal: they are counted, and each count is dealt out again. Long runs are
+    dealt to several tasks."""
+    counted = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    run = lambda first, last: F.explode(F.sequence(first, last)).alias("copy")
+    short = counted.filter(F.col("n") <= RUN).select("doc_id", "source", "size", run(F.lit(1).cast("long"), F.col("n")))
+    first = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(RUN).cast("long"))).alias("first")
+    runs = counted.filter(F.col("n") > RUN).select("doc_id", "source", "size", "n", first).repartition("doc_id", "source", "size", "first")
+    return short.unionByName(runs.select("doc_id", "source", "size", run(F.col("first"), F.least(F.col("n"), F.col("first") + (RUN - 1)))))
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, bucket: int = 96, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken; one row per row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "mixing")
@@ -133,8 +148,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     sources = sources.select(of, "source_size", "n.worded", "n.rows", "target", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("p"))
     few, total = sources.count() <= BROADCAST_SOURCES, rows.count()
 
-    keyed = _with_source(rows.select("*", of), sources, few, total).withColumn("open", (F.col("p") > 0) & (F.col("size") > 0))
-    bits = _rounded(keyed.filter("open").select("doc_id", "source", F.col("worded").alias("n"), "size", "p"), scratch, bucket, seed)
+    keyed = _with_source(_numbered(rows).select("*", of), sources, few, total).withColumn("open", (F.col("p") > 0) & (F.col("size") > 0))
+    bits = _rounded(keyed.filter("open").select("doc_id", "source", F.col("worded").alias("n"), "size", "copy", "p"), scratch, bucket, seed)
     fixed = keyed.filter("not open").select("doc_id", "source", "size", F.lit(0).alias("bit"))
     out = _with_source(fixed.unionByName(bits).select("*", of), sources, few, total)
     copies = (F.col("whole") + F.col("bit")).cast("long")
@@ -147,10 +162,10 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """The mix itself: each row of ``docs``, all columns, as often as it is taken. Rows without words are taken as their source's are
     at least."""
     chosen = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    words, doc, source, size, copies, own, again = free_names(docs.columns, "_words", "_doc", "_source", "_size", "_copies", "_own", "_again")
-    chosen = chosen.groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size)).agg(F.sort_array(F.collect_list("copies")).alias(copies))
+    words, doc, source, size, least, more, own, again = free_names(docs.columns, "_words", "_doc", "_source", "_size", "_least", "_more", "_own", "_again")
+    chosen = chosen.groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size)).agg(F.min("copies").alias(least), (F.sum("copies") - F.min("copies") * F.count("*")).alias(more))
     keyed = docs.withColumn(words, n_words(text_col))
     match = keyed[id_col].cast("long").eqNullSafe(F.col(doc)) & keyed[source_col].cast("string").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
     place = f"row_number() over (partition by {doc}, {source}, {size} order by 1)"
-    with_copies = keyed.join(chosen, match).withColumn(own, F.when(F.size(copies) == 1, F.element_at(copies, 1)).otherwise(F.element_at(copies, F.expr(place))))
+    with_copies = keyed.join(chosen, match).withColumn(own, F.col(least) + F.when(F.expr(place) <= F.col(more), 1).otherwise(0))
     return with_copies.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(own, F.lit(1).cast("long"))))).filter(F.col(again) <= F.col(own)).select(*docs.columns)

@@ -181,11 +181,12 @@ def _shards(path: str, special: bool, end_id: int, shard_ids: int):
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = 1 << 21, special: bool = True) -> None:
-    """Writes the ids of all documents below ``path``, in ascending order of doc_id, in shards of about ``shard_ids``. ``special``:
+    """Writes the ids of all documents below ``path``, in ascending order of doc_id, rows of one id by their text's hash, in shards of about ``shard_ids``. ``special``:
     literals of added tokens become their ids, as the library has it."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(F.col(text_col)).alias("utf8"))
-    ordered = source.repartitionByRange(n_shuffle(spark, source), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
+    order = F.asc_nulls_first("doc_id"), F.xxhash64("utf8")  # rows of one id are dealt out too, and keep their order
+    ordered = source.repartitionByRange(n_shuffle(spark, source), *order).sortWithinPartitions(*order)
     write_blobs(ordered.mapInArrow(_shards(tokenizer_path, special, end_id, shard_ids), "shard binary"), path, "shard")
 
 

@@ -203,3 +203,16 @@ def test_a_third_of_all_rows_is_no_large_task(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_names_of_two_common_words_are_no_pairs(spark):
+    """All of 5000 names are partners: 12.5 million pairs, of which no row is made."""
+    names = spark.range(5000).select("id", F.concat(F.lit("ALFA BETA Z"), F.md5(F.col("id").cast("string")), F.when(F.col("id") % 9 == 0, " GAMMA").otherwise("")).alias("nombre"))
+    seen = []
+    stored = name_join.stage
+    name_join.stage = lambda df, *done: seen.append(out := stored(df, *done)) or seen.append(out.count()) or out
+    try:
+        out = {tuple(r)[1:] for r in name_join.within(names).collect()}
+    finally:
+        name_join.stage = stored
+    assert out == {(4999, 0), (4999, 1)} and max(n for n in seen if isinstance(n, int)) <= 12 * 5000

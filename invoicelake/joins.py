@@ -35,3 +35,9 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner
     dealt = rows.join(few, keys, "left").withColumn("_way", F.pmod(spread, ways).cast("int")).drop("_ways")
     copied = table.join(few, keys, "left").withColumn("_way", F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1))).drop("_ways")
     return dealt.join(copied, [*keys, "_way"], how).drop("_way")
+
+
+def by_rows(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """A left join with a stored table that has as many rows as ``rows`` may have, by a shuffle of both. Stored files are compressed, often a
+    hundredfold, and by their size alone the planner would send such a table through the driver to every executor."""
+    return rows.join(stored.hint("merge"), key, "left")

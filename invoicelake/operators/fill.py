@@ -18,7 +18,7 @@ def _headers(lines: DataFrame) -> DataFrame:
 
 def _apply(lines: DataFrame, fixes: DataFrame) -> DataFrame:
     """fixes (doc_seq, _nif or null, _aviso), stored, on all lines of their invoices; ``release`` of the result deletes them."""
-    out = lines.join(fixes, "doc_seq", "left")
+    out = joins.by_rows(lines, fixes, "doc_seq")
     out = out.withColumn("nif", F.coalesce("_nif", "nif")).withColumn("aviso", texts.added(F.col("aviso"), F.col("_aviso"))).select(*lines.columns)
     out._stage_path = fixes._stage_path
     return out

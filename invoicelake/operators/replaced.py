@@ -31,7 +31,7 @@ def mark(lines: DataFrame) -> DataFrame:
     per = joins.lookup(old, by_target(heads), ["k"], spread=F.xxhash64("doc_seq")).select("doc_seq", F.filter("news", lambda n: n["new"] != F.col("doc_seq")).alias("_news")).filter("size(_news) > 0")
     per = per.select("doc_seq", F.element_at("_news", -1)["num"].alias("_por"), F.array_join(F.transform("_news", lambda n: texts.filled(M.WARN_REPLACED, new=n["num"])), " ").alias("_msg"))
     per = stage(per, heads)
-    out = lines.join(per, "doc_seq", "left")
+    out = joins.by_rows(lines, per, "doc_seq")
     out = out.withColumn("sustituida_por", F.coalesce("_por", "sustituida_por")).withColumn("aviso", texts.added(F.col("aviso"), F.col("_msg"))).select(*lines.columns)
     out._stage_path = per._stage_path
     return out

@@ -205,6 +205,21 @@ def test_a_third_of_all_rows_is_no_large_task(spark):
             spark.conf.set(k, v)
 
 
+def test_stored_rows_are_no_broadcast(spark):
+    """Stored tables are small in files and large in memory."""
+    from invoicelake.operators import fill, replaced
+    from invoicelake.stages import stage
+
+    lines = spark.range(20_000).select(
+        F.col("id").alias("doc_seq"), F.lit(0).alias("line_no"), F.concat(F.lit("NOMBRE LARGO "), F.col("id") % 5).alias("nombre"), F.when(F.col("id") % 7 == 0, "12345678Z").alias("nif"),
+        F.concat(F.lit("F-"), "id").alias("num_factura"), F.concat(F.lit("F-"), F.col("id") - 1).alias("sustituye_a"), F.lit("").alias("aviso"), F.lit(None).cast("string").alias("sustituida_por"),
+    )
+    lines = stage(lines)
+    for out in (fill.from_siblings(lines), replaced.mark(lines)):
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 20_000
+
+
 def test_names_of_two_common_words_are_no_pairs(spark):
     """All of 5000 names are partners: 12.5 million pairs, of which no row is made."""
     names = spark.range(5000).select("id", F.concat(F.lit("ALFA BETA Z"), F.md5(F.col("id").cast("string")), F.when(F.col("id") % 9 == 0, " GAMMA").otherwise("")).alias("nombre"))

@@ -16,7 +16,7 @@ def _headers(lines: DataFrame) -> DataFrame:
     return lines.filter("line_no = 0").select("doc_seq", "nombre", "nif", names.provider_key(F.col("nombre")).alias("clave"), taxid.normalize(F.col("nif")).alias("norm")).withColumn("valido", taxid.is_valid(F.col("norm")))
 
 
-def _apply(lines: DataFrame, fixes: DataFrame) -> DataFrame:
+def apply(lines: DataFrame, fixes: DataFrame) -> DataFrame:
     """fixes (doc_seq, _nif or null, _aviso), stored, on all lines of their invoices; ``release`` of the result deletes them."""
     out = joins.by_rows(lines, fixes, "doc_seq")
     out = out.withColumn("nif", F.coalesce("_nif", "nif")).withColumn("aviso", texts.added(F.col("aviso"), F.col("_aviso"))).select(*lines.columns)
@@ -24,7 +24,7 @@ def _apply(lines: DataFrame, fixes: DataFrame) -> DataFrame:
     return out
 
 
-def _sibling_fixes(lines: DataFrame) -> DataFrame:
+def sibling_fixes(lines: DataFrame) -> DataFrame:
     # pages that can't be read share one name and have no id: they are no siblings, however many they are
     head = stage(_headers(lines).filter((F.col("clave") != "") & (F.col("clave") != names.provider_key(F.lit(M.UNREADABLE)))))
     valid = head.filter("valido").groupBy("clave", "norm").agg(F.min(F.struct("doc_seq", "nombre")).alias("donor"))
@@ -43,12 +43,12 @@ def from_siblings(lines: DataFrame) -> DataFrame:
     """Invoices without a valid id take the one valid id that others of exactly the same name words have. With several, none is
     taken and a warning says so. A valid id is never replaced. Keys are summed up before the join, and the invoices of a common name are
     dealt out in it, so it is no large group. ``lines`` are read twice."""
-    return _apply(lines, _sibling_fixes(lines))
+    return apply(lines, sibling_fixes(lines))
 
 
 def from_memory(lines: DataFrame, memory: DataFrame) -> DataFrame:
     """The stored id for invoices without a valid one; a warning where a valid id differs from the stored one."""
-    return _apply(lines, _memory_fixes(lines, memory))
+    return apply(lines, memory_fixes(lines, memory))
 
 
 def counted(fixes: DataFrame) -> DataFrame:
@@ -57,14 +57,14 @@ def counted(fixes: DataFrame) -> DataFrame:
 
 
 def sibling_counts(lines: DataFrame) -> DataFrame:
-    return counted(_sibling_fixes(lines))
+    return counted(sibling_fixes(lines))
 
 
 def memory_counts(lines: DataFrame, memory: DataFrame) -> DataFrame:
-    return counted(_memory_fixes(lines, memory))
+    return counted(memory_fixes(lines, memory))
 
 
-def _memory_fixes(lines: DataFrame, memory: DataFrame) -> DataFrame:
+def memory_fixes(lines: DataFrame, memory: DataFrame) -> DataFrame:
     known = memory.filter("clave <> '' and coalesce(nif, '') <> ''").select("clave", F.col("nif").alias("guardado"))
     read = F.regexp_replace(F.coalesce("nif", F.lit("")), r"(?U)^\s+|\s+$", "")
     why = F.when(read != "", texts.filled(M.WHY_MEMORY_BAD, read=read)).otherwise(M.WHY_MEMORY_NONE)

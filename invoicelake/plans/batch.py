@@ -33,12 +33,12 @@ def run(raw: DataFrame, providers: DataFrame, *, collapse: bool = False, period:
     """
     who = stage(client.detect(raw))
     built = stage(build.build(raw, who))
-    copied = stage(fill.sibling_counts(built))
-    filled = fill.from_siblings(built)
-    siblings = stage(filled, filled, built)
-    from_memory = stage(fill.memory_counts(siblings, providers))
-    filled = fill.from_memory(siblings, providers)
-    lines = stage(filled, filled, siblings)
+    fixes = fill.sibling_fixes(built)
+    copied = stage(fill.counted(fixes))
+    siblings = stage(fill.apply(built, fixes), fixes, built)
+    fixes = fill.memory_fixes(siblings, providers)
+    from_memory = stage(fill.counted(fixes))
+    lines = stage(fill.apply(siblings, fixes), fixes, siblings)
     learned = stage(memory.upsert_providers(providers, memory.learnable(lines)))
     counts = copied.toDF("copiadas", "dudosas").join(from_memory.toDF("de_memoria", "distintas"), F.lit(True)).join(memory.learned_count(lines, providers), F.lit(True))
     counts = stage(counts.join(replaced.counted(lines), F.lit(True)), copied, from_memory)

@@ -5,25 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .texts import let
-
+# The forms of dates, and how each becomes y-m-d. Two-digit years from 69 are of the last century.
 _SHAPES = (
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"), (r"^\d{1,2}[.]\d{1,2}[.]\d{4}$", "d.M.yyyy"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$", "$4-$3-$1"), (r"^(\d{1,2})/(\d{1,2})/(69|[78]\d|9\d)$", "19$3-$2-$1"), (r"^(\d{1,2})/(\d{1,2})/([0-5]\d|6[0-8])$", "20$3-$2-$1"),
 )
 
 
 def period(c: Column) -> Column:
     """Of d/m/y, d-m-y, d.m.y, y-m-d and d/m/yy; null for what isn't a date. Two-digit years from 69 are of the last century."""
-    return let(F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", ""), _quarter)
-
-
-def _quarter(t: Column) -> Column:
-    short = F.regexp_extract(t, r"^\d{1,2}/\d{1,2}/(\d{2})$", 1)
-    century = F.when(short.try_cast("int") >= 69, "19").otherwise("20")
-    wide = F.when(short != "", F.concat(F.substring(t, F.lit(1), F.length(t) - 2), century, short)).otherwise(t)
-    date = let(wide, lambda w: F.coalesce(*(F.when(w.rlike(shape), F.try_to_date(w, form)) for shape, form in _SHAPES)))
-    return let(date, lambda d: (F.year(d) * 10 + F.quarter(d)).cast("long"))
+    t = F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
+    for shape, form in _SHAPES:
+        t = F.regexp_replace(t, shape, form)
+    date = F.try_to_date(F.regexp_extract(t, r"^\d{4}-\d{1,2}-\d{1,2}$", 0), "yyyy-M-d")
+    return (F.year(date) * 10 + F.quarter(date)).cast("long")
 
 
 def period_text(p: Column) -> Column:

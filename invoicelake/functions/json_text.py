@@ -12,8 +12,12 @@ _TRAILING = re.compile(r",\s*([}\]])")
 _BRACED = re.compile(r"\{.*\}", re.S)
 
 
+#: No JSON begins with these; to see that costs less than a parser's exception.
+_PROSE = "^[`A-HJ-MO-Z]"
+
+
 def _valid(t: Column) -> Column:
-    return F.try_parse_json(t).isNotNull()
+    return ~t.rlike(_PROSE) & F.try_parse_json(t).isNotNull()
 
 
 def repaired(t: Column) -> Column:

@@ -31,14 +31,12 @@ def _bare(c: Column) -> Column:
 def parse_number(c: Column) -> Column:
     """Printed amounts: a comma is the decimal sign, dots beside a comma group thousands, a minus sign may follow. Else null;
     text of infinities and NaN is null too."""
-    return let(_bare(c), _printed)
-
-
-def _printed(t: Column) -> Column:
-    negative = t.endswith("-")
-    digits = F.when(negative, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
-    number = let(digits, lambda d: _guarded(F.when(d.contains(",") & d.contains("."), F.replace(F.replace(d, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(d, F.lit(","), F.lit(".")))))
-    return F.when(negative, -number).otherwise(number)
+    text = c.cast("string")
+    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    # conditions look at the text itself and each value is used once, so nothing needs ``let``, which would take it out of the generated code
+    digits = F.when(text.contains(","), F.translate(bare, ",.€ ", ".")).otherwise(F.translate(bare, "€ ", ""))
+    number = lambda end: F.regexp_extract(digits, rf"^({_DECIMAL[1:-1]})(\r?\n|\r)?{end}\z", 1).try_cast("double")
+    return F.when(text.rlike(r"(?U)-[€\s]*$"), -number("-")).otherwise(number(""))
 
 
 def parse_typed_number(c: Column) -> Column:

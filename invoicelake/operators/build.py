@@ -24,15 +24,19 @@ def role(client_id: Column, client_name: Column) -> Column:
         return (
             F.when((s["e"] == s["c"]) & (s["r"] != s["c"]), out("venta", "receptor", quiet))
             .when((s["r"] == s["c"]) & (s["e"] != s["c"]), out("gasto", "emisor", quiet))
-            .when(s["is_e"] & ~s["is_r"], out("venta", "receptor", F.when(s["e"] == "", M.WARN_NO_ID).otherwise("")))
-            .when(s["is_r"] & ~s["is_e"], out("gasto", "emisor", quiet))
+            .otherwise(texts.let(named, lambda n: by_name(s, n)))
+        )
+
+    def by_name(s: Column, n: Column) -> Column:
+        return (
+            F.when(n["is_e"] & ~n["is_r"], out("venta", "receptor", F.when(s["e"] == "", M.WARN_NO_ID).otherwise("")))
+            .when(n["is_r"] & ~n["is_e"], out("gasto", "emisor", F.lit("")))
             .otherwise(out("gasto", "emisor", F.lit(M.WARN_ROLE)))
         )
 
-    sides = F.struct(
-        taxid.normalize(client_id).alias("c"), taxid.normalize(F.col("emisor_nif")).alias("e"), taxid.normalize(F.col("receptor_nif")).alias("r"),
-        names.same_name(F.col("emisor_nombre"), client_name).alias("is_e"), names.same_name(F.col("receptor_nombre"), client_name).alias("is_r"),
-    )
+    sides = F.struct(taxid.normalize(client_id).alias("c"), taxid.normalize(F.col("emisor_nif")).alias("e"), taxid.normalize(F.col("receptor_nif")).alias("r"))
+    # names are cut into words only where ids don't decide
+    named = F.struct(names.same_name(F.col("emisor_nombre"), client_name).alias("is_e"), names.same_name(F.col("receptor_nombre"), client_name).alias("is_r"))
     return texts.let(sides, decide)
 
 

@@ -114,3 +114,13 @@ def test_numbers_in_messages(spark):
     values = [0.0, 1.0, -2.5, 12500000.0, 123456789.12, 1e15, 1e16, 0.05, 0.0001, 1e-5, -9999999.99, 10000000.01, None]
     df = spark.createDataFrame([(x,) for x in values], "x double").select("x", numbers.plain_text(F.col("x")).alias("t"))
     assert [r["t"] for r in df.collect()] == [None if x is None else {1e16: "1.0E16", 1e-5: "1.0E-5"}.get(x, repr(x)) for x in values]
+
+
+def test_numbers_and_dates_are_generated_code(spark):
+    """Lambdas are interpreted, value by value; amounts and dates are in every line."""
+    from invoicelake.functions import dates, numbers
+
+    odd = {"-5-": 5.0, "5--": None, "0,-.": None, "5-\n€": None, "57\n-": -57.0, " 1.234,50- €": -1234.5, "12d": None, "0,00-": 0.0}
+    df = spark.createDataFrame([(t,) for t in odd], "t string").select("t", numbers.parse_number(F.col("t")).alias("n"), dates.period(F.col("t")).alias("p"))
+    assert {r["t"]: r["n"] for r in df.collect()} == odd
+    assert "lambda" not in df._jdf.queryExecution().toString()

@@ -231,3 +231,21 @@ def test_names_of_two_common_words_are_no_pairs(spark):
     finally:
         name_join.stage = stored
     assert out == {(4999, 0), (4999, 1)} and max(n for n in seen if isinstance(n, int)) <= 12 * 5000
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 7, 0])
+def test_keywords_within_words_meet_the_vocabulary(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(joins, "HOT_ROWS", 5)
+    monkeypatch.setattr(rule_index, "FEW", 0)
+    cut = []
+    plainly = rule_index._cut
+    monkeypatch.setattr(rule_index, "_cut", lambda texts, *a: cut.append(texts.count()) or plainly(texts, *a))
+    rules, texts = some_rules(7, 150, "abcdx")
+    table = lambda r: spark.createDataFrame(r, "prio int, codigo string, clave string")
+    df = spark.createDataFrame(texts * 3, "id long, texto string").repartition(5)
+    assert {r["id"]: r["codigo"] for r in rule_index.by_index(df, "id", F.col("texto"), table(rules), "none").collect()} == rules_by_hand(texts, rules, "none")
+    vocabulary = len({w for _, t in texts for w in (t or "").lower().split()})
+    assert cut == [vocabulary]  # each distinct word once, however many texts have it
+    rules += [(0, "two", "b c"), (1, "sign", "\U0001f600 x"), (2, "capital", "A"), (3, "tab", "\t"), (4, "word", "本語")]
+    assert {r["id"]: r["codigo"] for r in rule_index.by_index(df, "id", F.col("texto"), table(rules), None).collect()} == rules_by_hand(texts, rules, None)

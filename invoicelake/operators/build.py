@@ -49,14 +49,26 @@ def _account(kind: Column) -> tuple[Column, Column]:
 
 
 def reconciliation(lines: Column, total: Column, withholding: Column) -> Column:
-    """A warning where two or more VAT lines don't add up to the printed total, before the lines are exploded; else empty."""
+    """lines: array<struct<base, cuota_iva, cuota_re>> of numbers. A warning where two or more VAT lines don't add up to the printed total, before the lines are exploded; else empty."""
     zero = F.lit(0.0)
-    part = lambda line: F.coalesce(_N(line["base"]), zero) + F.coalesce(_N(line["cuota_iva"]), zero) + F.coalesce(line["cuota_re"], zero)
+    part = lambda line: F.coalesce(line["base"], zero) + F.coalesce(line["cuota_iva"], zero) + F.coalesce(line["cuota_re"], zero)
     total_of = F.aggregate(lines, zero, lambda s, line: s + part(line)) - F.coalesce(withholding, zero)
     wrong = (F.size(lines) >= 2) & total.isNotNull() & (F.abs(numbers.round2(total_of) - total) > TOLERANCE)
     return F.when(wrong, texts.filled(M.WARN_SUM, total=numbers.fixed2(total), n=F.size(lines), sum=numbers.fixed2(total_of))).otherwise("")
 
 
+def _amounts(line: Column) -> Column:
+    """A VAT line's texts as numbers."""
+    of = {"base": "base", "tipo_iva": "tipo_iva", "cuota_iva": "cuota_iva", "pct_re": "pct_requiv", "cuota_re": "cuota_requiv"}
+    return F.struct(*(_N(line[c]).alias(name) for name, c in of.items()))
+
+
+def _with_surcharge(line: Column, falls: Column) -> Column:
+    """A line's numbers; with the record's surcharge where that falls to it."""
+    surcharge = (F.when(falls, F.col(f"_{c}quiv")).otherwise(line[c]).alias(c) for c in ("pct_re", "cuota_re"))
+    return F.struct(*(line[c].alias(c) for c in ("base", "tipo_iva", "cuota_iva")), *surcharge)
+
+
 def build(raw: DataFrame, client: DataFrame) -> DataFrame:
     """Records (doc_seq, origen, pagina and the raw fields; all may be null) and the one-row client -> lines.
 
@@ -68,25 +80,26 @@ def build(raw: DataFrame, client: DataFrame) -> DataFrame:
     account, sub = _account(F.col("_role.tipo"))
     df = df.withColumn("cuenta", account).withColumn("gxx", sub)
     size = F.greatest(F.coalesce(F.size("lineas_iva"), F.lit(0)), F.lit(1))
-    df = df.withColumn("lineas_factura", size).withColumn("total_impreso", _N(F.col("total")))
-    own = lambda line: _N(line["pct_requiv"]).isNull() & _N(line["cuota_requiv"]).isNull()
-    with_re = F.transform("lineas_iva", lambda line, k: F.struct(line["base"].alias("base"), line["cuota_iva"].alias("cuota_iva"), F.when(own(line) & (k == 0), _N(F.col("cuota_requiv"))).otherwise(_N(line["cuota_requiv"])).alias("cuota_re")))
-    check = F.coalesce(reconciliation(with_re, F.col("total_impreso"), _N(F.col("cuota_irpf"))), F.lit(""))
+    # amounts are read once, before they are used: those of the record, and those of its lines with the surcharge that falls to line 0
+    df = df.withColumns({"lineas_factura": size, "total_impreso": _N(F.col("total"))} | {f"_{c}": _N(F.col(c)) for c in ("base_irpf", "pct_irpf", "cuota_irpf", "base_requiv", "pct_requiv", "cuota_requiv")})
+    df = df.withColumn("_read", F.transform("lineas_iva", _amounts))
+    df = df.withColumn("_lines", F.transform("_read", lambda x, k: _with_surcharge(x, (k == 0) & x["pct_re"].isNull() & x["cuota_re"].isNull())))
+    check = F.coalesce(reconciliation(F.col("_lines"), F.col("total_impreso"), F.col("_cuota_irpf")), F.lit(""))
     hand = F.when(F.coalesce(F.col("hay_anotaciones_manuscritas"), F.lit(False)), M.WARN_HANDWRITTEN).otherwise("")
     df = df.withColumn("aviso", texts.added(texts.added(F.col("_role.aviso"), check), hand))
 
-    df = df.select("*", F.posexplode_outer("lineas_iva").alias("_pos", "_line")).withColumn("line_no", F.coalesce("_pos", F.lit(0)))
-    first, line = F.col("line_no") == 0, F.col("_line")
-    fall = first & _N(line["pct_requiv"]).isNull() & _N(line["cuota_requiv"]).isNull()
-    base = _N(line["base"])
-    pct_re = F.when(fall, _N(F.col("pct_requiv"))).otherwise(_N(line["pct_requiv"]))
-    cuota_re = F.when(fall, _N(F.col("cuota_requiv"))).otherwise(_N(line["cuota_requiv"]))
-    base_re = F.when(pct_re.isNotNull() | cuota_re.isNotNull(), F.coalesce(F.when(F.col("lineas_factura") == 1, _N(F.col("base_requiv"))), base))
+    df = df.select("*", F.posexplode_outer("_lines").alias("_pos", "_line")).withColumn("line_no", F.coalesce("_pos", F.lit(0)))
+    first, line, read = F.col("line_no") == 0, F.col("_line"), lambda c: F.col(f"_{c}")
+    # a record without lines has no line to hold its surcharge
+    bare = F.col("_pos").isNull()
+    pct_re = F.when(bare, read("pct_requiv")).otherwise(line["pct_re"])
+    cuota_re = F.when(bare, read("cuota_requiv")).otherwise(line["cuota_re"])
+    base_re = F.when(pct_re.isNotNull() | cuota_re.isNotNull(), F.coalesce(F.when(F.col("lineas_factura") == 1, read("base_requiv")), line["base"]))
     keep = lambda c: texts.present(F.col(c))
     return df.select(
         "doc_seq", "line_no", keep("num_factura").alias("num_factura"), keep("fecha").alias("fecha"), keep("fecha_operacion").alias("fecha_operacion"), F.lit(None).cast("string").alias("fecha_deduccion"),
-        keep("cuenta").alias("concepto"), base.alias("base_iva"), _N(line["tipo_iva"]).alias("pct_iva"), _N(line["cuota_iva"]).alias("cuota_iva"),
-        F.when(first, _N(F.col("base_irpf"))).alias("base_irpf"), F.when(first, _N(F.col("pct_irpf"))).alias("pct_irpf"), F.when(first, _N(F.col("cuota_irpf"))).alias("cuota_irpf"),
+        keep("cuenta").alias("concepto"), line["base"].alias("base_iva"), line["tipo_iva"].alias("pct_iva"), line["cuota_iva"].alias("cuota_iva"),
+        F.when(first, read("base_irpf")).alias("base_irpf"), F.when(first, read("pct_irpf")).alias("pct_irpf"), F.when(first, read("cuota_irpf")).alias("cuota_irpf"),
         base_re.alias("base_requiv"), pct_re.alias("pct_requiv"), cuota_re.alias("cuota_requiv"), texts.present(F.col("_role.nif")).alias("nif"), texts.present(F.col("_role.nombre")).alias("nombre"),
         *(F.lit(None).cast("string").alias(c) for c in ("descripcion_sii", "tipo_factura", "clave_reg_esp", "isp", "recc")), *(F.lit(None).cast("double").alias(c) for c in ("base_sujeta_cero", "suplidos", "no_sujeta")),
         "total_impreso", "lineas_factura", F.col("_role.tipo").alias("tipo"), "cuenta", "gxx", "origen", "pagina", "aviso", F.trim(F.coalesce("sustituye_a", F.lit(""))).alias("sustituye_a"), F.lit(None).cast("string").alias("sustituida_por"),

@@ -17,7 +17,7 @@ from ..schema import RAW
 
 def parse(texts: DataFrame) -> DataFrame:
     """(doc_seq, origen, pagina, texto) -> the raw record's fields, null where the text can't be repaired, and ``legible``."""
-    fixed = texts.withColumn("_json", json_text.repaired(F.col("texto")))
+    fixed = json_text.with_repaired(texts, "texto", "_json")
     rec = fixed.withColumn("_r", F.from_json("_json", RAW))
     return rec.select("doc_seq", "origen", "pagina", "_r.*", F.col("_json").isNotNull().alias("legible"))
 

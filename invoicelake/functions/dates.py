@@ -16,7 +16,7 @@ def period(c: Column) -> Column:
     t = F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
     for shape, form in _SHAPES:
         t = F.regexp_replace(t, shape, form)
-    date = F.try_to_date(F.regexp_extract(t, r"^\d{4}-\d{1,2}-\d{1,2}$", 0), "yyyy-M-d")
+    date = F.regexp_extract(t, r"^\d{4}-\d{1,2}-\d{1,2}$", 0).try_cast("date")
     return (F.year(date) * 10 + F.quarter(date)).cast("long")
 
 

@@ -17,7 +17,10 @@ def fixed2(x: Column) -> Column:
 
 
 def round2(x: Column) -> Column:
-    return fixed2(x).cast("double")
+    """Cents far from a half need no text: their nearest double is what the text would give. The others, and those that may become a negative zero, go through it."""
+    cents = x.cast("double") * 100.0
+    clear = (F.abs(cents) >= 1) & (F.abs(cents) < 1e11) & (F.abs(cents - F.floor(cents) - 0.5) > 1e-4)
+    return F.when(clear, F.floor(cents + 0.5) / 100.0).otherwise(fixed2(x).cast("double"))
 
 
 def _guarded(t: Column) -> Column:
@@ -36,7 +39,8 @@ def parse_number(c: Column) -> Column:
     # conditions look at the text itself and each value is used once, so nothing needs ``let``, which would take it out of the generated code
     digits = F.when(text.contains(","), F.translate(bare, ",.€ ", ".")).otherwise(F.translate(bare, "€ ", ""))
     number = lambda end: F.regexp_extract(digits, rf"^({_DECIMAL[1:-1]})(\r?\n|\r)?{end}\z", 1).try_cast("double")
-    return F.when(text.rlike(r"(?U)-[€\s]*$"), -number("-")).otherwise(number(""))
+    simple = F.translate(text, ",", ".").try_cast("double")
+    return F.when(text.rlike(r"^[0-9]+([.,][0-9]+)?\z"), simple).when(text.rlike(r"(?U)-[€\s]*$"), -number("-")).otherwise(number(""))
 
 
 def parse_typed_number(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import messages as M
 from ..functions import cells, numbers
 from ..schema import FIELDS
+from ..stages import release, stage
 from .summary import numbered
 
 
@@ -36,7 +37,10 @@ def sheet(lines: DataFrame, layout: DataFrame, mode: str = "texto") -> DataFrame
     """(fila, columna, letra, valor, formato): header cells in row 1 if the layout has them, one row for each line from its first row on.
     Null and empty fields leave no cell; numbers as texts get the format @."""
     fields = ", ".join(f"'{f}', _v_{f}" for f in FIELDS)
-    rows = numbered(lines)
+    # stored first: the ranges for numbers are drawn from a run of their own
+    kept = stage(lines.select("doc_seq", "line_no", *FIELDS))
+    rows = numbered(kept)
+    release(kept)
     rows = rows.select("fila", *(cells.cell_value(f, F.col(f), mode).alias(f"_v_{f}") for f in FIELDS))
     long = rows.select("fila", F.expr(f"stack({len(FIELDS)}, {fields}) as (campo, valor)")).filter("valor is not null")
     placed = layout.filter("letra <> ''")

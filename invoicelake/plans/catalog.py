@@ -381,6 +381,12 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate(lines(spark, sf_dir), F.lit(QUARTER).cast("long"))
 
 
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their states and duplicates. What nothing here asks for, such as messages, isn't stored."""
+    asked = ("doc_seq", "line_no", "num_factura", "nif", "base_iva", "pct_iva", "fecha", "tipo", "aviso", "estado")
+    return duplicates.mark(stage(_checked(spark, sf_dir).select(*asked)))
+
+
 @_query(f"SELECT {_LINE}, {_RULE_IDS} AS reglas FROM lines")
 def q_validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir).select("doc_seq", "line_no", F.array_join(F.transform("issues", lambda i: i["rule"].cast("string")), ",").alias("reglas"))
@@ -391,12 +397,12 @@ _FINAL = f"CASE WHEN dup_doc IS NOT NULL THEN 'error' ELSE {_STATE} END"
 
 @_query(f"{_DUP} SELECT {_LINE}, {_FINAL} AS estado FROM x")
 def q_validate_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.final_state(duplicates.mark(stage(_checked(spark, sf_dir)))).select("doc_seq", "line_no", "estado")
+    return validate.final_state(_marked(spark, sf_dir)).select("doc_seq", "line_no", "estado")
 
 
 @_query(f"{_DUP}, e AS (SELECT {_FINAL} AS estado, tipo FROM x) SELECT count(*) AS total, count(*) FILTER (estado = 'ok') AS ok, count(*) FILTER (estado = 'revisar') AS revisar, count(*) FILTER (estado = 'error') AS error, count(*) FILTER (tipo = 'gasto') AS gastos, count(*) FILTER (tipo = 'venta') AS ventas FROM e")
 def q_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.state_counts(validate.final_state(duplicates.mark(stage(_checked(spark, sf_dir)))))
+    return summary.state_counts(validate.final_state(_marked(spark, sf_dir)))
 
 
 _SUM = "CAST(sum(CAST(printf('%.2f', coalesce({0}, 0)) AS DECIMAL(18,2))) AS DOUBLE)"
@@ -420,7 +426,7 @@ def q_out_of_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_DUP} SELECT count(dup_doc) AS duplicadas, count(*) FILTER ({_SEVERITY} = 2) AS errores, count(*) FILTER ({_PER} IS DISTINCT FROM {QUARTER}) AS fuera FROM x")
 def q_export_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.export_problems(duplicates.mark(stage(_checked(spark, sf_dir))), QUARTER)
+    return summary.export_problems(_marked(spark, sf_dir), QUARTER)
 
 
 # A whole batch ----------------------------------------------------------------------------------------------------------
@@ -467,7 +473,7 @@ def q_batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_DUP} SELECT {_LINE}, estado FROM (SELECT {_LINE}, {_FINAL} AS estado FROM x) e WHERE estado = 'revisar'")
 def q_filter_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.in_state(validate.final_state(duplicates.mark(stage(_checked(spark, sf_dir)))), "revisar").select("doc_seq", "line_no", "estado")
+    return summary.in_state(validate.final_state(_marked(spark, sf_dir)), "revisar").select("doc_seq", "line_no", "estado")
 
 
 def _eur_sql(x: str) -> str:
@@ -506,7 +512,7 @@ CURRENT = 100
 
 @_query(f"{_NUMBERED} SELECT fila, estado FROM z WHERE estado <> 'ok' ORDER BY ((fila - {CURRENT + 1}) % (SELECT count(*) FROM z) + (SELECT count(*) FROM z)) % (SELECT count(*) FROM z) LIMIT 1")
 def q_next_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = summary.numbered(validate.final_state(duplicates.mark(stage(_checked(spark, sf_dir))))).select("fila", "estado")
+    rows = summary.numbered(validate.final_state(_marked(spark, sf_dir)).select("doc_seq", "line_no", "estado")).select("fila", "estado")
     return summary.next_incident(rows, CURRENT)
 
 
@@ -515,7 +521,8 @@ def q_next_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT clase, fila, 'Línea ' || (fila + 1) || ': factura ' || num_factura || ' de ' || nombre || CASE clase WHEN 0 THEN ' — repetida de la línea ' || (primera + 1) || '.' ELSE ' — sustituida por otra del lote.' END AS texto, (SELECT count(*) FROM dd) AS avisos
   FROM dd ORDER BY clase, fila LIMIT 6""")
 def q_top_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = summary.numbered(duplicates.mark(stage(replaced.mark(stage(lines(spark, sf_dir))))))
+    every = lines(spark, sf_dir).select("doc_seq", "line_no", "num_factura", "nombre", "nif", "base_iva", "pct_iva", "sustituye_a", "sustituida_por", "aviso")
+    rows = summary.numbered(duplicates.mark(stage(replaced.mark(stage(every)))).select("doc_seq", "line_no", "num_factura", "nombre", "aviso", "dup_doc", "dup_line"))
     first = rows.select(F.col("doc_seq").alias("dup_doc"), F.col("line_no").alias("dup_line"), F.col("fila").alias("dup_fila"))
     rows = rows.join(first, ["dup_doc", "dup_line"], "left").withColumn("sustituida", F.col("aviso").contains("SUSTITUIDA"))
     return summary.alerts(rows)
@@ -626,7 +633,7 @@ def q_clients_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""{_NUMBERED} SELECT fila, coalesce(min(CASE WHEN estado <> 'ok' THEN fila END) OVER (ORDER BY fila ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), (SELECT min(fila) FROM z WHERE estado <> 'ok')) AS siguiente FROM z""")
 def q_next_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every line the next one to look at, going round."""
-    rows = stage(summary.numbered(validate.final_state(duplicates.mark(stage(_checked(spark, sf_dir))))).select("fila", "estado"))
+    rows = stage(summary.numbered(validate.final_state(_marked(spark, sf_dir)).select("doc_seq", "line_no", "estado")).select("fila", "estado"))
     return incidents.next_incidents(rows)
 
 

@@ -48,6 +48,12 @@ def release(*frames: DataFrame) -> None:
             jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets go of finished shuffles' files. Spark deletes them once the driver's collector sees that no plan names them any more; a driver with
+    memory to spare collects seldom, and until then the files of all steps lie on the executors' disks together."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_numbers(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """df with ``name``: 0, 1, 2 ... in the order of ``order``. Numbers within range partitions plus the rows before them: no single task.
 

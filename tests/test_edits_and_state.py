@@ -7,6 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from invoicelake import joins
 from invoicelake.functions import names, nfd
 from invoicelake.operators import duplicates, edit_log, edits, memory, revalidate, validate
 from invoicelake.stages import stage
@@ -126,6 +127,37 @@ def test_no_edits_and_edits_of_nothing(spark):
     assert results.lines().count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 1])
+def test_groups_of_buckets_and_equal_hashes(spark, monkeypatch, broadcast):
+    """Edits in many buckets, which are computed anew group by group; all keys with one hash, so that only the keys tell lines apart."""
+    monkeypatch.setattr(revalidate, "GROUP", 3)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast)
+    lines = stage(some_lines(spark, 120))
+    typed = lines.filter("line_no = 0 and doc_seq % 3 = 0").selectExpr("doc_seq", "line_no", "'num_factura' as campo", "concat('F-', doc_seq % 5) as valor", "1 as orden")
+    gone = lines.filter("doc_seq % 7 = 0 and line_no = 1")
+    expected = whole_run(stage(edits.without_rows(edits.apply(lines, typed), gone)))
+    results = revalidate.Results(lines, PERIOD, buckets=8)
+    assert len(results.apply(typed, gone)) > 3 and stored(results) == expected
+    monkeypatch.setattr(duplicates, "digest", lambda k: F.lit(7).cast("long"))
+    results = revalidate.Results(lines, PERIOD, buckets=8)
+    results.apply(typed, gone)
+    assert stored(results) == expected
+
+
+def test_results_shuffle_whole_lines_once_and_store_no_messages(spark):
+    results = revalidate.Results(stage(some_lines(spark, 40)), PERIOD, buckets=4)
+    kept = spark.read.parquet(*results.folders.values()).columns
+    assert "issues" not in kept and "issues" in results.lines().columns
+    hashed = results._hashed(stage(some_lines(spark, 40)))
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        plan = duplicates.mark_in_place(hashed.withColumn("_bucket", results._bucket()), "_hash", 4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # that of the lines, and where it isn't broadcast that of the few keys that several lines have
+    assert 1 <= plan.count("Exchange hashpartitioning(_hash") <= 2
+
+
 # Keyed state -------------------------------------------------------------------------------------------------------------
 @pytest.fixture
 def rocks(spark):

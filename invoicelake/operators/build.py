@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import messages as M
 from ..functions import names, numbers, taxid, texts
+from ..schema import RAW_LINE
 from . import rules
 
 TOLERANCE = 0.02
@@ -104,3 +105,8 @@ def build(raw: DataFrame, client: DataFrame) -> DataFrame:
         *(F.lit(None).cast("string").alias(c) for c in ("descripcion_sii", "tipo_factura", "clave_reg_esp", "isp", "recc")), *(F.lit(None).cast("double").alias(c) for c in ("base_sujeta_cero", "suplidos", "no_sujeta")),
         "total_impreso", "lineas_factura", F.col("_role.tipo").alias("tipo"), "cuenta", "gxx", "origen", "pagina", "aviso", F.trim(F.coalesce("sustituye_a", F.lit(""))).alias("sustituye_a"), F.lit(None).cast("string").alias("sustituida_por"),
     )
+
+
+def heads(raw: DataFrame, client: DataFrame) -> DataFrame:
+    """The first line of each record without what its VAT lines say: amounts aren't read, records not exploded."""
+    return build(raw.withColumn("lineas_iva", F.lit(None).cast(f"array<{RAW_LINE}>")), client)

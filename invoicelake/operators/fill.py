@@ -11,9 +11,9 @@ from ..functions import names, taxid, texts
 from ..stages import stage
 
 
-def _headers(lines: DataFrame) -> DataFrame:
+def headers(lines: DataFrame, *more: str) -> DataFrame:
     """The first line of each invoice."""
-    return lines.filter("line_no = 0").select("doc_seq", "nombre", "nif", names.provider_key(F.col("nombre")).alias("clave"), taxid.normalize(F.col("nif")).alias("norm")).withColumn("valido", taxid.is_valid(F.col("norm")))
+    return lines.filter("line_no = 0").select("doc_seq", "nombre", "nif", *more, names.provider_key(F.col("nombre")).alias("clave"), taxid.normalize(F.col("nif")).alias("norm")).withColumn("valido", taxid.is_valid(F.col("norm")))
 
 
 def apply(lines: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -24,19 +24,32 @@ def apply(lines: DataFrame, fixes: DataFrame) -> DataFrame:
     return out
 
 
+def fixed_headers(head: DataFrame, fixes: DataFrame) -> DataFrame:
+    """The headers as the lines are after ``apply``: an id that was taken over is normalised and judged like one that was read."""
+    out = joins.by_rows(head, fixes.select("doc_seq", "_nif"), "doc_seq").withColumn("_norm", taxid.normalize(F.col("_nif")))
+    new = F.col("_nif").isNotNull()
+    out = out.withColumns({"nif": F.coalesce("_nif", "nif"), "norm": F.when(new, F.col("_norm")).otherwise(F.col("norm")), "valido": F.when(new, taxid.is_valid(F.col("_norm"))).otherwise(F.col("valido"))})
+    return out.select(*head.columns)
+
+
 def sibling_fixes(lines: DataFrame) -> DataFrame:
+    head = stage(headers(lines))
+    return stage(sibling_fixes_of(head), head)
+
+
+def sibling_fixes_of(head: DataFrame) -> DataFrame:
+    """Fixes of stored headers."""
     # pages that can't be read share one name and have no id: they are no siblings, however many they are
-    head = stage(_headers(lines).filter((F.col("clave") != "") & (F.col("clave") != names.provider_key(F.lit(M.UNREADABLE)))))
+    head = head.filter((F.col("clave") != "") & (F.col("clave") != names.provider_key(F.lit(M.UNREADABLE))))
     valid = head.filter("valido").groupBy("clave", "norm").agg(F.min(F.struct("doc_seq", "nombre")).alias("donor"))
     per_name = valid.groupBy("clave").agg(F.count("*").alias("n"), F.min("norm").alias("bueno"), F.min_by("donor.nombre", "norm").alias("de"), F.array_join(F.array_sort(F.collect_list("norm")), ", ").alias("ids"))
     read = F.regexp_replace(F.coalesce("nif", F.lit("")), r"(?U)^\s+|\s+$", "")
     why = F.when(read != "", texts.filled(M.WHY_COPIED_BAD, read=read)).otherwise(M.WHY_COPIED_NONE)
     asking = joins.lookup(head.filter("not valido"), per_name, ["clave"], spread=F.xxhash64("doc_seq"))
-    fixes = asking.select(
+    return asking.select(
         "doc_seq", F.when(F.col("n") == 1, F.col("bueno")).alias("_nif"),
         F.when(F.col("n") == 1, texts.filled(M.WARN_COPIED, name=F.col("de"), stored=F.col("bueno"), why=why)).otherwise(texts.filled(M.WARN_SEVERAL, n=F.col("n"), ids=F.col("ids"))).alias("_aviso"),
     )
-    return stage(fixes, head)
 
 
 def from_siblings(lines: DataFrame) -> DataFrame:
@@ -65,12 +78,16 @@ def memory_counts(lines: DataFrame, memory: DataFrame) -> DataFrame:
 
 
 def memory_fixes(lines: DataFrame, memory: DataFrame) -> DataFrame:
+    head = stage(headers(lines))
+    return stage(memory_fixes_of(head, memory), head)
+
+
+def memory_fixes_of(head: DataFrame, memory: DataFrame) -> DataFrame:
+    """Fixes of stored headers."""
     known = memory.filter("clave <> '' and coalesce(nif, '') <> ''").select("clave", F.col("nif").alias("guardado"))
     read = F.regexp_replace(F.coalesce("nif", F.lit("")), r"(?U)^\s+|\s+$", "")
     why = F.when(read != "", texts.filled(M.WHY_MEMORY_BAD, read=read)).otherwise(M.WHY_MEMORY_NONE)
     differs = texts.filled(M.WARN_MEMORY_DIFFERS, name=F.col("nombre"), stored=F.col("guardado"), read=F.col("norm"))
     filled = texts.filled(M.WARN_FROM_MEMORY, stored=F.col("guardado"), name=F.col("nombre"), why=why)
-    head = stage(_headers(lines).filter("clave <> ''"))
-    fixes = joins.lookup(head, known, ["clave"], spread=F.xxhash64("doc_seq")).filter("not valido or norm <> guardado")
-    fixes = fixes.select("doc_seq", F.when(~F.col("valido"), F.col("guardado")).alias("_nif"), F.when(F.col("valido"), differs).otherwise(filled).alias("_aviso"))
-    return stage(fixes, head)
+    fixes = joins.lookup(head.filter("clave <> ''"), known, ["clave"], spread=F.xxhash64("doc_seq")).filter("not valido or norm <> guardado")
+    return fixes.select("doc_seq", F.when(~F.col("valido"), F.col("guardado")).alias("_nif"), F.when(F.col("valido"), differs).otherwise(filled).alias("_aviso"))

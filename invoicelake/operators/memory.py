@@ -10,14 +10,23 @@ from ..functions import names, taxid
 
 def learnable(lines: DataFrame) -> DataFrame:
     """What a batch, after its fills, teaches: (clave, nif, nombre, seq) of invoices with a name and a valid id."""
-    head = lines.filter("line_no = 0").select(names.provider_key(F.col("nombre")).alias("clave"), taxid.normalize(F.col("nif")).alias("nif"), F.trim(F.coalesce("nombre", F.lit(""))).alias("nombre"), F.col("doc_seq").alias("seq"))
+    return taught(lines.filter("line_no = 0").withColumn("clave", names.provider_key(F.col("nombre"))))
+
+
+def taught(heads: DataFrame) -> DataFrame:
+    """``learnable`` of first lines with their key in ``clave``."""
+    head = heads.select("clave", taxid.normalize(F.col("nif")).alias("nif"), F.trim(F.coalesce("nombre", F.lit(""))).alias("nombre"), F.col("doc_seq").alias("seq"))
     return head.filter((F.col("clave") != "") & taxid.is_valid(F.col("nif")))
 
 
 def learned_count(lines: DataFrame, memory: DataFrame) -> DataFrame:
     """One row (aprendidas): readings that a batch's invoices leave in the memory; what a person wrote takes none."""
+    return counted_of(learnable(lines), memory)
+
+
+def counted_of(news: DataFrame, memory: DataFrame) -> DataFrame:
     by_hand = memory.filter("manual").select("clave")
-    return learnable(lines).join(by_hand, "clave", "left_anti").agg(F.count("*").alias("aprendidas"))
+    return news.join(by_hand, "clave", "left_anti").agg(F.count("*").alias("aprendidas"))
 
 
 def upsert_providers(memory: DataFrame, news: DataFrame, manual: bool = False) -> DataFrame:
